@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracemill.llm import simhash
+from tracemill.llm import simhash, substrings
 from tracemill.llm.common import table
 
 QUERIES = {
     "op2_simhash": lambda spark, d: simhash.op2_simhash(table(spark, d, "documents")),
+    "op4_substring": lambda spark, d: substrings.op4_substring(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tracemill.llm import sharding, simhash, substrings
+from tracemill.llm import mixing, sharding, simhash, substrings
 from tracemill.llm.common import table
 
 QUERIES = {
     "op2_simhash": lambda spark, d: simhash.op2_simhash(table(spark, d, "documents")),
     "op4_substring": lambda spark, d: substrings.op4_substring(table(spark, d, "documents")),
+    "op9_mixing": lambda spark, d: mixing.op9_mixing(table(spark, d, "documents")),
     "op8_sharding": lambda spark, d: sharding.op8_sharding(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
     "op8_sharding": sharding.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
 }

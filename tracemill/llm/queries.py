@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import mixing, quality, sharding, simhash, substrings
+from tracemill.llm import mixing, quality, sharding, simhash, substrings, toxicity
 from tracemill.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op9_mixing": lambda spark, d: mixing.op9_mixing(table(spark, d, "documents")),
     "op8_sharding": lambda spark, d: sharding.op8_sharding(table(spark, d, "documents")),
     "op10_quality": lambda spark, d: quality.op10_quality(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op7_toxicity": lambda spark, d: toxicity.op7_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLES: dict[str, str] = {

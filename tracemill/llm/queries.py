@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import mixing, quality, sharding, simhash, substrings, toxicity
+from tracemill.llm import licenses, mixing, quality, sharding, simhash, substrings, toxicity
 from tracemill.llm.common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op8_sharding": lambda spark, d: sharding.op8_sharding(table(spark, d, "documents")),
     "op10_quality": lambda spark, d: quality.op10_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_toxicity": lambda spark, d: toxicity.op7_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op5_licenses": lambda spark, d: licenses.op5_licenses(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import decontaminate, licenses, mixing, quality, sharding, simhash, substrings, toxicity
+from tracemill.llm import ann, decontaminate, licenses, mixing, quality, sharding, simhash, substrings, toxicity
 from tracemill.llm.common import table
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": lambda spark, d: toxicity.op7_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_licenses": lambda spark, d: licenses.op5_licenses(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontaminate.op6_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op3_ann": lambda spark, d: ann.op3_ann(table(spark, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {

@@ -166,3 +166,21 @@ def op2_simhash(docs: DataFrame) -> DataFrame:
     """The contract's digest: doc_id, fingerprint (16 hex digits), component_id."""
     out = near_duplicates(docs)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more, unchanged) that stay when one document of each group is kept, that of the least id.
+
+    Only the ids that go meet the texts. Rows that share an id are one document:
+    it goes if any of its rows links to a smaller id, and one of its rows stays
+    otherwise. Rows without an id can't be named and stay.
+    """
+    out = cut(near_duplicates(docs, shingle=shingle, distance=distance).select("id", "component_id"))
+    gone = out.where("component_id < id").select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = out.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
+    if again.isEmpty():
+        return kept
+    # ids that stand in several rows, if there are any: one row of each
+    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return single.union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -2,5 +2,428 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.functions import scalars as S
+from tracemill.operators import admission, fetch, hybrid, logstore, metrics, replay
+from tracemill.plans import oracles as O
+from tracemill.plans.config import BlockConfig, Fifo, HybridConfig, Lfu, Lru, MemoryConfig, S3Fifo, Sieve
+from tracemill.sources.traces import events_trace, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+POLICIES = {
+    "fifo": Fifo(),
+    "lru": Lru(1.0),
+    "lru_priority": Lru(0.5),
+    "lfu": Lfu(),
+    "s3fifo": S3Fifo(0.2, 1.0, 1),
+    "s3fifo_no_ghost": S3Fifo(0.2, 0.0, 1),
+    "sieve": Sieve(),
+}
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    return events_trace(table(spark, d, "events"), reads_only=True)
+
+
+def ops(spark: SparkSession, d: str) -> DataFrame:
+    return events_trace(table(spark, d, "events"))
+
+
+def policy_trace(spark: SparkSession, d: str, policy: str) -> DataFrame:
+    """Reads with hints; plain LRU knows none."""
+    trace = reads(spark, d)
+    return trace.withColumn("hint", F.lit("normal")) if policy == "lru" else trace
+
+
+def _log(policy: str):
+    def run(spark, d):
+        log = replay.replay(policy_trace(spark, d, policy), MemoryConfig(O.CAPACITY, O.SHARDS, POLICIES[policy]))
+        return log.select("shard", "seq", "key", (F.col("result") == "hit").alias("hit"), F.get("evicted", F.lit(0)).alias("evicted"))
+
+    return run
+
+
+for _p in POLICIES:
+    query(f"{_p}_access_log", O.access_log(_p))(_log(_p))
+
+
+@query("policy_hit_ratios", O.hit_ratios())
+def policy_hit_ratios(spark, d):
+    parts = [replay.hit_ratio(replay.replay(policy_trace(spark, d, p), MemoryConfig(O.CAPACITY, O.SHARDS, c))).withColumn("policy", F.lit(p)) for p, c in POLICIES.items()]
+    return reduce(DataFrame.unionByName, parts).select("policy", "hits", "accesses", "hit_ratio")
+
+
+@query("fifo_hit_ratio_by_shard", f"SELECT shard, count(*) FILTER (WHERE hit) AS hits, count(*) AS accesses, round(count(*) FILTER (WHERE hit) / count(*), 6) AS hit_ratio FROM ({O.access_log('fifo')}) GROUP BY shard")
+def fifo_hit_ratio_by_shard(spark, d):
+    return replay.hit_ratio(replay.replay(reads(spark, d), MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())), ["shard"])
+
+
+@query("mixed_operations_log", O.mixed_log())
+def mixed_operations_log(spark, d):
+    log = replay.replay(ops(spark, d), MemoryConfig(O.CAPACITY, O.SHARDS, Fifo()))
+    return log.select("shard", "seq", "op", "key", "result", F.get("evicted", F.lit(0)).alias("evicted"))
+
+
+@query("residual_state", O.mixed_residual())
+def residual_state(spark, d):
+    return replay.residual(ops(spark, d), MemoryConfig(O.CAPACITY, O.SHARDS, Fifo()))
+
+
+@query("weighted_fifo_oversize", O.weighted_log())
+def weighted_fifo_oversize(spark, d):
+    log = replay.replay(reads(spark, d), MemoryConfig(O.WEIGHTED_CAPACITY, O.SHARDS, Fifo()), weight=F.col("size"))
+    return log.select("shard", "seq", "key", (F.col("result") == "hit").alias("hit"), F.size("evicted").cast("long").alias("n_evicted"), "usage")
+
+
+@query("leavings_by_reason", f"""
+WITH m AS ({O.mixed_log()})
+SELECT 'evict' AS reason, count(evicted) AS n FROM m UNION ALL
+SELECT 'replace', count(*) FROM m WHERE result = 'replace' UNION ALL
+SELECT 'remove', count(*) FROM m WHERE result = 'removed'""")
+def leavings_by_reason(spark, d):
+    return metrics.counters(replay.leavings(ops(spark, d), MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())), ["reason"])
+
+
+@query("trace_shard_route", f"SELECT event_id AS seq, user_id AS key, CAST(user_id % {O.SHARDS} AS INTEGER) AS shard FROM events")
+def trace_shard_route(spark, d):
+    return reads(spark, d).select("seq", "key", S.shard_of(F.col("key"), O.SHARDS).cast("int").alias("shard"))
+
+
+@query("shard_capacity_split", "SELECT range AS shard, CAST(1003 // 8 + CAST(range < 1003 % 8 AS INTEGER) AS BIGINT) AS capacity FROM range(8)")
+def shard_capacity_split(spark, d):
+    return spark.range(8).select(F.col("id").alias("shard"), S.shard_capacity(F.lit(1003), 8, F.col("id")).alias("capacity"))
+
+
+@query("cache_usage_by_shard", f"SELECT shard, arg_max(usage, seq) AS usage FROM ({O.weighted_log()}) GROUP BY shard")
+def cache_usage_by_shard(spark, d):
+    log = replay.replay(reads(spark, d), MemoryConfig(O.WEIGHTED_CAPACITY, O.SHARDS, Fifo()), weight=F.col("size"))
+    return log.groupBy("shard").agg(F.max_by("usage", "seq").alias("usage"))
+
+
+@query("memory_filter_phantom", f"""
+WITH RECURSIVE {O.TRACE.replace("event_type IN ('view', 'click') AS low", 'value > 20 AS low')},
+w(shard, i, q, seq, result) AS (
+  SELECT shard, CAST(0 AS BIGINT), {O.NONE}, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) {O.START}
+  UNION ALL
+  SELECT t.shard, t.i, CASE WHEN list_contains(r.q, t.key) THEN r.q WHEN t.low THEN r.q WHEN len(r.q) >= {O.PER_SHARD} THEN list_append(r.q[2:], t.key) ELSE list_append(r.q, t.key) END,
+    t.seq, CASE WHEN list_contains(r.q, t.key) THEN 'hit' ELSE 'miss' END FROM w r JOIN t ON t.shard = r.shard AND t.i = r.i + 1)
+SELECT CAST(shard AS INTEGER) AS shard, seq, result, CAST(len(q) AS BIGINT) AS entries FROM w WHERE i > 0""")
+def memory_filter_phantom(spark, d):
+    trace = reads(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("seq"), "value"), "seq")
+    log = replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Fifo()), phantom=F.col("value") > 20)
+    return log.select("shard", "seq", "result", "entries")
+
+
+@query("admission_size_range", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE n_chars >= 500 AND n_chars < 4000 GROUP BY source")
+def admission_size_range(spark, d):
+    docs = table(spark, d, "documents")
+    ok = admission.all_of(admission.admit_all(), admission.estimated_size(F.col("n_chars"), 500, 4000))
+    return docs.where(ok).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("admission_verdicts", """
+SELECT CASE WHEN n_chars >= 20000 THEN 'reject' WHEN n_chars > 4000 THEN 'throttle' ELSE 'admit' END AS result, count(*) AS n,
+  round(sum(CASE WHEN n_chars < 20000 AND n_chars > 4000 THEN (n_chars - 4000) / 1000.0 + 0.5 ELSE 0 END), 3) AS wait FROM documents GROUP BY 1""")
+def admission_verdicts(spark, d):
+    n = F.col("n_chars")
+    over = F.when(n > 4000, (n - 4000) / 1000.0)
+    v = admission.verdict([n >= 20000], [over, F.when(n > 4000, F.lit(0.5))])
+    return table(spark, d, "documents").select(v.alias("v")).groupBy("v.result").agg(F.count("*").alias("n"), F.round(F.sum("v.wait"), 3).alias("wait"))
+
+
+def version_log(spark, d):
+    """The events as a log of versions: users are hashes, errors are tombstones."""
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("hash"), F.col("event_id").alias("sequence"), (F.col("event_type") == "error").alias("is_tombstone"), F.ceil("value").cast("long").alias("size"))
+
+
+@query("log_latest_version", "SELECT user_id AS hash, max(event_id) AS sequence, arg_max(CAST(ceil(value) AS BIGINT), event_id) AS size FROM events GROUP BY user_id")
+def log_latest_version(spark, d):
+    return logstore.latest(version_log(spark, d)).select("hash", "sequence", "size")
+
+
+@query("tombstone_resolution", "SELECT user_id AS hash, max(event_id) AS sequence FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def tombstone_resolution(spark, d):
+    return logstore.live(version_log(spark, d)).select("hash", "sequence")
+
+
+@query("next_sequence", "SELECT max(event_id) + 1 AS next_sequence FROM events")
+def next_sequence(spark, d):
+    return logstore.next_sequence(version_log(spark, d))
+
+
+def block_entries(spark, d):
+    """Entries laid out in blocks of a ring of 40 with 100 entries each, so that later rounds overwrite the front of earlier ones."""
+    log = version_log(spark, d).where("NOT is_tombstone")
+    place = F.col("sequence") % 4000
+    written = log.select("hash", "sequence", F.floor(place / 100).cast("long").alias("block"), (place % 100).alias("offset"), "size")
+    return logstore.latest(written.withColumn("slot", F.col("block") * 100 + F.col("offset")), "slot").drop("slot")
+
+
+BLOCKS_SQL = """
+e AS (
+  SELECT user_id AS hash, event_id AS sequence, event_id % 4000 // 100 AS block, event_id % 100 AS off, event_type FROM events WHERE event_type <> 'error'
+  QUALIFY row_number() OVER (PARTITION BY event_id % 4000 ORDER BY event_id DESC) = 1),
+f AS (SELECT *, coalesce(sequence < lag(sequence) OVER (PARTITION BY block ORDER BY off), false) AS fall FROM e),
+v AS (SELECT *, sum(CAST(fall AS INTEGER)) OVER (PARTITION BY block ORDER BY off) = 0 AS valid FROM f)"""
+
+
+@query("recovery_stop_on_sequence_drop", f"WITH {BLOCKS_SQL} SELECT block, count(*) FILTER (WHERE valid) AS valid, count(*) AS entries FROM v GROUP BY block")
+def recovery_stop_on_sequence_drop(spark, d):
+    return logstore.before_drop(block_entries(spark, d)).groupBy("block").agg(F.count_if("valid").alias("valid"), F.count("*").alias("entries"))
+
+
+@query("recovery_index", f"""
+WITH {BLOCKS_SQL}, b AS (SELECT hash, max(sequence) AS sequence, arg_max(block, sequence) AS block FROM v WHERE valid GROUP BY hash),
+d AS (SELECT user_id AS hash, max(event_id) AS dead FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT b.hash, sequence, block FROM b LEFT JOIN d USING (hash) WHERE dead IS NULL OR sequence > dead""")
+def recovery_index(spark, d):
+    return logstore.recovered(block_entries(spark, d), version_log(spark, d).where("is_tombstone"))
+
+
+@query("index_remove_batch", """
+SELECT hash, sequence FROM (SELECT user_id AS hash, max(event_id) AS sequence FROM events GROUP BY user_id) i
+WHERE NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'signup' AND r.user_id = i.hash AND r.event_id >= i.sequence)""")
+def index_remove_batch(spark, d):
+    log = version_log(spark, d)
+    gone = table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").alias("hash"), F.col("event_id").alias("sequence"))
+    return logstore.without(logstore.latest(log).select("hash", "sequence"), gone)
+
+
+@query("entry_aligned_size", "SELECT page_id, CAST(ceil((strlen(html) + strlen(url) + 36) / 4096.0) * 4096 AS BIGINT) AS bytes FROM pages")
+def entry_aligned_size(spark, d):
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", S.aligned(S.entry_size(F.octet_length("url"), F.octet_length("html"))).alias("bytes"))
+
+
+PACK = BlockConfig(block_size=64 * 1024, index_size=4096)
+#: A blob's index names 170 entries, more than fit into a block of 64 KiB, so only blocks fill up.
+PACK_SQL = """
+WITH RECURSIVE e AS (
+  SELECT CAST(page_id % 4 AS INTEGER) AS flusher, row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) AS i, page_id AS sequence,
+    CAST(ceil((strlen(html) + strlen(url) + 36) / 4096.0) * 4096 AS BIGINT) AS len FROM pages),
+w(flusher, i, block, used, off) AS (
+  SELECT CAST(range AS INTEGER), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(4096 AS BIGINT), CAST(0 AS BIGINT) FROM range(4)
+  UNION ALL
+  SELECT e.flusher, e.i, CASE WHEN r.used + len > 65536 THEN r.block + 1 ELSE r.block END,
+    CASE WHEN r.used + len > 65536 THEN 4096 + len ELSE r.used + len END, CASE WHEN r.used + len > 65536 THEN 4096 ELSE r.used END
+  FROM w r JOIN e ON e.flusher = r.flusher AND e.i = r.i + 1)
+SELECT w.flusher, e.sequence, w.block, CAST(0 AS BIGINT) AS blob, w.off AS offset, e.len FROM w JOIN e USING (flusher, i)"""
+
+
+def page_entries(spark, d):
+    size = S.entry_size(F.octet_length("url"), F.octet_length("html")).cast("long")
+    return table(spark, d, "pages").select((F.col("page_id") % 4).cast("int").alias("flusher"), F.col("page_id").alias("sequence"), F.col("page_id").alias("hash"), size.alias("size"))
+
+
+@query("block_packing", PACK_SQL.replace("AS offset", 'AS "offset"'))
+def block_packing(spark, d):
+    return logstore.pack(page_entries(spark, d), PACK).drop("hash")
+
+
+def block_states(spark, d):
+    """Blocks of 1000 events: evictable but the last, invalid bytes from superseded versions."""
+    e = version_log(spark, d)
+    newest = logstore.latest(e).select("hash", F.col("sequence").alias("newest"))
+    per = e.join(newest, "hash").withColumn("block", F.floor(F.col("sequence") / 1000).cast("long"))
+    blocks = per.groupBy("block").agg(F.sum(F.when(F.col("sequence") < F.col("newest"), F.col("size")).otherwise(0)).alias("invalid"), F.min("sequence").alias("since"))
+    last = blocks.agg(F.max("block").alias("_last"))
+    return blocks.join(F.broadcast(last)).withColumn("evictable", F.col("block") < F.col("_last")).drop("_last")
+
+
+STATES_SQL = """
+WITH n AS (SELECT user_id, max(event_id) AS newest FROM events GROUP BY user_id),
+b AS (SELECT event_id // 1000 AS block, CAST(sum(CASE WHEN event_id < newest THEN CAST(ceil(value) AS BIGINT) ELSE 0 END) AS BIGINT) AS invalid, min(event_id) AS since FROM events JOIN n USING (user_id) GROUP BY 1),
+s AS (SELECT *, block < (SELECT max(block) FROM b) AS evictable FROM b)"""
+
+
+@query("block_pick_invalid_ratio", STATES_SQL + " SELECT block, invalid FROM s WHERE evictable AND invalid / 20000.0 >= 0.8 ORDER BY invalid DESC, block DESC LIMIT 1")
+def block_pick_invalid_ratio(spark, d):
+    return logstore.pick_by_invalid_ratio(block_states(spark, d), 20_000, 0.8)
+
+
+@query("block_pick_fifo", STATES_SQL + " SELECT block FROM s WHERE evictable ORDER BY since, block LIMIT 1")
+def block_pick_fifo(spark, d):
+    return logstore.pick_by_age(block_states(spark, d))
+
+
+@query("block_pick_default", STATES_SQL + """, c AS (
+  (SELECT 0 AS o, block, 'invalid_ratio' AS picker FROM s WHERE evictable AND invalid / 4194304.0 >= 0.8 ORDER BY invalid DESC, block DESC LIMIT 1) UNION ALL
+  (SELECT 1, block, 'fifo' FROM s WHERE evictable ORDER BY since, block LIMIT 1))
+SELECT block, picker FROM c ORDER BY o LIMIT 1""")
+def block_pick_default(spark, d):
+    return logstore.pick(block_states(spark, d), 4 << 20)
+
+
+@query("block_probation", STATES_SQL + " SELECT block FROM s WHERE evictable ORDER BY since, block LIMIT 3")
+def block_probation(spark, d):
+    return logstore.probation(block_states(spark, d), 40, 1, 0.1)
+
+
+@query("block_compaction", f"""
+WITH {BLOCKS_SQL}, b AS (SELECT hash, max(sequence) AS sequence, arg_max(block, sequence) AS block FROM v WHERE valid GROUP BY hash), c AS (SELECT min(block) AS block FROM b)
+SELECT hash, sequence, hash % 2 = 1 AS written_again FROM b JOIN c USING (block)""")
+def block_compaction(spark, d):
+    index = logstore.recovered(block_entries(spark, d), version_log(spark, d).limit(0))
+    victim = index.agg(F.min("block").alias("block"))
+    again, gone = logstore.compact(index, victim, F.col("hash") % 2 == 1)
+    return again.select("hash", "sequence", F.lit(True).alias("written_again")).union(gone.select("hash", "sequence", F.lit(False)))
+
+
+@query("buffer_efficiency", """
+SELECT CAST(page_id % 4 AS INTEGER) AS flusher, CAST(sum(n) AS BIGINT) AS used, CAST(sum(ceil(n / 4096.0) * 4096) AS BIGINT) AS reserved, round(sum(n) / sum(ceil(n / 4096.0) * 4096), 6) AS efficiency
+FROM (SELECT page_id, strlen(html) + strlen(url) + 36 AS n FROM pages) GROUP BY 1""")
+def buffer_efficiency(spark, d):
+    return logstore.footprint(page_entries(spark, d), "flusher")
+
+
+@query("fetch_dedup", """
+SELECT event_id AS seq, user_id AS key, event_id // 500 AS bucket, CASE WHEN row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY event_id) = 1 THEN 'lead' ELSE 'wait' END AS role FROM events""")
+def fetch_dedup(spark, d):
+    return fetch.deduplicated(reads(spark, d).select("seq", "key"), "key", F.floor(F.col("seq") / 500).cast("long")).select("seq", "key", "bucket", "role")
+
+
+@query("read_through", """
+SELECT event_id AS seq, user_id AS key, CASE WHEN user_id % 3 = 0 THEN 'memory' WHEN user_id % 3 = 1 AND user_id % 2 = 0 THEN 'disk' WHEN c.c_custkey IS NOT NULL THEN 'outer' ELSE 'none' END AS source,
+  c.c_mktsegment AS value FROM events LEFT JOIN customer c ON c.c_custkey = user_id""")
+def read_through(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    memory, disk = rows.where("key % 3 = 0"), rows.where("key % 3 = 1 AND key % 2 = 0")
+    return fetch.read_through(reads(spark, d).select("seq", "key"), memory, disk, rows).select("seq", "key", "source", "value")
+
+
+ORACLES["read_through"] = ORACLES["read_through"].replace("CASE WHEN user_id % 3 = 0", "CASE WHEN c.c_custkey IS NULL THEN 'none' WHEN user_id % 3 = 0")
+
+
+@query("hash_collision_lookup", "SELECT event_id AS seq, user_id AS key, o.c_custkey IS NOT NULL AND o.c_custkey = user_id AS hit FROM events LEFT JOIN (SELECT c_custkey % 100 AS h, min(c_custkey) AS c_custkey FROM customer GROUP BY 1) o ON h = user_id % 100")
+def hash_collision_lookup(spark, d):
+    store = table(spark, d, "customer").groupBy((F.col("c_custkey") % 100).alias("hash")).agg(F.min("c_custkey").alias("key")).withColumn("value", F.lit(1))
+    requests = reads(spark, d).select("seq", "key", (F.col("key") % 100).alias("hash"))
+    return fetch.collision_checked(requests, store).select("seq", "key", "hit")
+
+
+@query("contains_probe", "SELECT event_id AS seq FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def contains_probe(spark, d):
+    index = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("hash"))
+    return fetch.may_contain(reads(spark, d).select("seq", F.col("key").alias("hash")), index).select("seq")
+
+
+@query("hit_miss_counters", f"SELECT op, result, count(*) AS n FROM ({O.mixed_log()}) GROUP BY ALL")
+def hit_miss_counters(spark, d):
+    return metrics.counters(replay.replay(ops(spark, d), MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())), ["op", "result"])
+
+
+@query("usage_gauge", f"""
+SELECT user_id % {O.SHARDS} AS shard, event_id AS seq, CAST(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id % {O.SHARDS} ORDER BY event_id) AS BIGINT) AS gauge FROM events""")
+def usage_gauge(spark, d):
+    log = ops(spark, d).select(S.shard_of(F.col("key"), O.SHARDS).alias("shard"), "seq", "op")
+    return metrics.gauge(log, F.when(F.col("op") == "remove", -1).otherwise(1), "shard").select("shard", "seq", "gauge")
+
+
+@query("latency_histogram", "SELECT event_type, CAST(CASE WHEN value <= 1 THEN 0 ELSE least(greatest(ceil(log2(value)), 0), 23) END AS INTEGER) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def latency_histogram(spark, d):
+    return metrics.histogram(table(spark, d, "events"), S.exponential_bucket(F.col("value"), 1.0, 23), ["event_type"])
+
+
+@query("linear_histogram", "SELECT event_type, CAST(least(greatest(ceil(value / 25.0) - 1, 0), 10) AS INTEGER) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def linear_histogram(spark, d):
+    return metrics.histogram(table(spark, d, "events"), S.linear_bucket(F.col("value"), 25.0, 10), ["event_type"])
+
+
+_PCT = ", ".join(f"round(quantile_cont(value, {p}), 6) AS {n}" for n, p in metrics.PERCENTILES.items())
+
+
+@query("value_percentiles", f"SELECT event_type, {_PCT}, max(value) AS max FROM events GROUP BY event_type")
+def value_percentiles(spark, d):
+    out = metrics.latencies(table(spark, d, "events"), "value", ["event_type"], exact=True)
+    return out.select("event_type", *[F.round(n, 6).alias(n) for n in metrics.PERCENTILES], "max")
+
+
+@query("operation_throughput", """
+SELECT event_type, count(*) AS ops, CAST(sum(CAST(ceil(value) AS BIGINT)) AS BIGINT) AS bytes,
+  round(count(*) / (date_diff('microsecond', min(ts), max(ts)) / 1e6), 6) AS iops FROM events GROUP BY event_type""")
+def operation_throughput(spark, d):
+    rows = table(spark, d, "events").select("event_type", "ts", F.ceil("value").cast("long").alias("size"))
+    return metrics.throughput(rows, ["event_type"]).select("event_type", "ops", "bytes", "iops")
+
+
+@query("slow_operations", "SELECT event_id, event_type, value FROM events WHERE value > CASE event_type WHEN 'view' THEN 100 WHEN 'click' THEN 50 ELSE 0 END")
+def slow_operations(spark, d):
+    return metrics.slow(table(spark, d, "events"), "value", {"view": 100, "click": 50}, "event_type").select("event_id", "event_type", "value")
+
+
+@query("iops_count", "SELECT doc_id, CAST(ceil(n_chars / 4096.0) AS BIGINT) AS ios, CAST(1 AS BIGINT) AS per_io FROM documents")
+def iops_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.iops(F.col("n_chars"), 4096).alias("ios"), S.iops(F.col("n_chars")).alias("per_io"))
+
+
+#: 1000 bytes a second, in millionths; quotas refill by whole microseconds of event time.
+BUCKET_SQL = """
+WITH RECURSIVE e AS (
+  SELECT CAST(user_id % 8 AS INTEGER) AS part, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i, event_id AS seq, epoch_us(ts) AS us, CAST(ceil(value) AS BIGINT) * 1000000 AS cost FROM events),
+w(part, i, quota, us, seq, before) AS (
+  SELECT CAST(range AS INTEGER), CAST(0 AS BIGINT), CAST({rate} * 1000000 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM range(8)
+  UNION ALL
+  SELECT part, i, q - cost, us2, seq, q FROM (
+    SELECT e.part, e.i, e.seq, e.us AS us2, e.cost, CASE WHEN r.us IS NULL THEN r.quota ELSE least({rate} * 1000000, r.quota + CAST(trunc((e.us - r.us) * {rate}) AS BIGINT)) END AS q
+    FROM w r JOIN e ON e.part = r.part AND e.i = r.i + 1))
+SELECT part, seq, before AS quota, CASE WHEN before < 0 THEN -before * 1000000 // ({rate} * 1000000) ELSE 0 END AS wait_us, before < 0 AS throttled FROM w WHERE i > 0"""
+
+
+@query("token_bucket_throttle", BUCKET_SQL.format(rate=2))
+def token_bucket_throttle(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select((F.col("user_id") % 8).cast("int").alias("part"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.ceil("value").cast("long").alias("cost"))
+    return admission.token_bucket(rows, "part", 2)
+
+
+HYBRID = HybridConfig(MemoryConfig(O.CAPACITY, O.SHARDS, Fifo()), BlockConfig(blocks=64, block_size=1 << 20, clean_threshold=1))
+
+
+#: With a disk larger than the trace's keys nothing is lost there: a read hits memory as the FIFO walk says, else the disk if its
+#: key was evicted before (young entries are on the disk already), else the source.
+@query("hybrid_read_sources", f"""
+WITH l AS ({O.access_log('fifo')}), x AS (SELECT shard, seq, key, hit, min(seq) OVER (PARTITION BY key) AS first FROM l)
+SELECT shard, seq, key, CASE WHEN hit THEN 'memory' WHEN seq = first THEN 'outer' ELSE 'disk' END AS source FROM x""")
+def hybrid_read_sources(spark, d):
+    trace = reads(spark, d).withColumn("location", F.lit("default"))
+    return hybrid.replay_hybrid(trace, HYBRID).select("shard", "seq", "key", "source")
+
+
+@query("hybrid_write_on_insertion")
+def hybrid_write_on_insertion(spark, d):
+    config = HybridConfig(HYBRID.memory, BlockConfig(blocks=6, block_size=64 << 10), "write_on_insertion")
+    return hybrid.replay_hybrid(ops(spark, d), config, admission.estimated_size(F.col("size"), 1, 1000))
+
+
+@query("hybrid_locations")
+def hybrid_locations(spark, d):
+    config = HybridConfig(MemoryConfig(O.CAPACITY, O.SHARDS, Lru()), BlockConfig(blocks=6, block_size=64 << 10, pickers=("invalid_ratio", "fifo")))
+    log = hybrid.replay_hybrid(ops(spark, d), config)
+    return log.groupBy("op", "result", "source").agg(F.count("*").alias("n"))
+
+
+@query("hybrid_hit_accounting", f"""
+WITH l AS ({O.access_log('fifo')}), x AS (SELECT hit, seq = min(seq) OVER (PARTITION BY key) AS first FROM l)
+SELECT CASE WHEN first THEN 'miss' ELSE 'hit' END AS result, count(*) AS n FROM x GROUP BY 1""")
+def hybrid_hit_accounting(spark, d):
+    trace = reads(spark, d).withColumn("location", F.lit("default"))
+    log = hybrid.replay_hybrid(trace, HYBRID)
+    return log.groupBy(F.when(F.col("source") == "outer", "miss").otherwise("hit").alias("result")).agg(F.count("*").alias("n"))

@@ -23,3 +23,15 @@ def held_out(doc_id: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows up to which a narrow side of a join is sent to every task.
+SMALL_ROWS = 1_000_000
+
+
+def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``side`` marked for broadcast if it has at most ``rows`` rows, by count; else as it is, for a shuffled join.
+
+    Meant for materialised sides of a few fixed-width columns.
+    """
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracemill.llm import ann, decontaminate, licenses, mixing, quality, sharding, simhash, substrings, toxicity
+from tracemill.llm import ann, decontaminate, licenses, lines, mixing, quality, sharding, simhash, substrings, toxicity
 from tracemill.llm.common import table
 
 QUERIES = {
+    "op1_line_dedup": lambda spark, d: lines.op1_line_dedup(table(spark, d, "documents")),
     "op2_simhash": lambda spark, d: simhash.op2_simhash(table(spark, d, "documents")),
     "op4_substring": lambda spark, d: substrings.op4_substring(table(spark, d, "documents")),
     "op9_mixing": lambda spark, d: mixing.op9_mixing(table(spark, d, "documents")),
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": lines.OP1_SQL,
     "op8_sharding": sharding.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

@@ -1,4 +1,4 @@
-"""Substring dedup behind a count-min prefilter.
+"""Substring dedup behind count-min prefilters.
 
 A window is ``size`` consecutive words of one document; every word covered by a
 window whose word sequence also starts anywhere else goes.
@@ -9,24 +9,28 @@ window whose word sequence also starts anywhere else goes.
    starts of each of its windows from above, with 14 times fewer updates than
    windows. Anchor places are counted in a count-min sketch per task, sent as
    sparse blocks and merged block by block; only "at least two" is kept of the
-   merged counters, one bit each. The sketch is sized by the corpus and capped
-   at ``sketch_bits``; past the cap it lets more windows through, none is lost.
-2. A second pass over the texts emits the hashes of the windows whose anchor
-   the sketch estimates repeated, and these alone are grouped exactly. Texts
-   that the sketch's own row for whole texts estimates repeated are first
-   reduced to one each, so a group of copies costs one member's windows.
-3. Windows found repeated go back to their text; only texts that lose a part
+   merged counters, one bit each.
+2. A second sketch counts the windows themselves, of those alone that the first
+   estimates repeated. Both sketches are sized by the corpus and capped at
+   ``sketch_bits`` a row; past the cap they let more windows through, none is lost.
+3. Windows that both estimate repeated are emitted by runs and these alone are
+   grouped exactly. Texts that the first sketch's row for whole texts estimates
+   repeated are first reduced to one each, so a group of copies costs one
+   member's windows.
+4. Windows found repeated go back to their text; only texts that lose a part
    of their words are read again. The others' digests are known from step 1.
 
-Window and text identity is by 128 hash bits (texts: SHA-256).
+Window identity is by 96 hash bits, text identity by SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ from tracemill.llm.common import cut
 from tracemill.llm.textkit import U, Words, chunks, grams, mix, sliding
 
 GRAM = 8  # words in an anchor's gram, or the window's size if smaller
-ROWS = 3  # rows of the sketch for anchors; one more is for whole texts
+ROWS = 2  # rows of each sketch; the first has one more for whole texts
 BLOCK = 20  # log2 of the counters in a block
 
 
@@ -42,6 +46,16 @@ def _normal(batch_column) -> list[bytes]:
     return [b" ".join((t or "").encode("utf-8", "surrogatepass").split()) for t in batch_column.to_pylist()]
 
 
+def _pack(codes: np.ndarray) -> bytes:
+    """Sorted codes of 21 bits as three deflated byte planes; the high ones shrink to little."""
+    return zlib.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(3, -1)
+    return planes[0].astype(np.uint32) | planes[1].astype(np.uint32) << 8 | planes[2].astype(np.uint32) << 16
+
+
 def _cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
     """Counter of each key in a row of the sketch."""
     return mix(keys + U((0xA24BAED4963EE407 * (row + 1)) & (1 << 64) - 1)) >> U(64 - log2)
@@ -74,55 +88,97 @@ def _text_keys(shas: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(shas), dtype="<u8")[::4].astype(U)
 
 
+class _Partial:
+    """A task's partition sketch: updates gathered by row and sent as sparse blocks."""
+
+    def __init__(self, rows: int, log2: int):
+        self.updates: list[list[np.ndarray]] = [[] for _ in range(rows)]
+        self.log2, self.held = log2, 0
+
+    def add(self, row: int, keys: np.ndarray) -> None:
+        self.updates[row].append(_cells(keys, row, self.log2))
+        self.held += len(keys)
+
+    def blocks(self):
+        """(block, packed cells) of what is held, which is then forgotten."""
+        self.held = 0
+        for row, parts in enumerate(self.updates):
+            if parts:
+                cells, count = np.unique(np.concatenate(parts), return_counts=True)
+                code = (cells << U(1)) | (count > 1).astype(U)
+                cuts = np.flatnonzero(np.diff((cells >> U(BLOCK)).astype(np.int64))) + 1
+                for c in np.split(code, cuts):
+                    if len(c):
+                        yield (row << max(0, self.log2 - BLOCK)) + int(c[0] >> U(BLOCK + 1)), _pack((c & U((1 << (BLOCK + 1)) - 1)).astype("<u4"))
+                parts.clear()
+
+
+#: Updates a task holds before it sends them, so that its memory stays bounded whatever its partition holds.
+HELD = 6_000_000
+
+
 def _survey(docs: DataFrame, kind: str, size: int, log2: int) -> DataFrame:
     """First pass: a row per document, and per task the sparse blocks of its partition sketch."""
     schema = f"id {kind}, n long, sha binary, block int, cells binary"
 
     def run(batches):
-        updates: list[list[np.ndarray]] = [[] for _ in range(ROWS + 1)]
-
-        def flush():
-            for row, parts in enumerate(updates):
-                if parts:
-                    cells, count = np.unique(np.concatenate(parts), return_counts=True)
-                    code = (cells << U(1)) | (count > 1).astype(U)
-                    block = (cells >> U(BLOCK)).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(block)) + 1
-                    for c in np.split(code, cuts):
-                        number = (row << max(0, log2 - BLOCK)) + int(c[0] >> U(BLOCK + 1))
-                        yield number, (c & U((1 << (BLOCK + 1)) - 1)).astype("<u4").tobytes()
-                parts.clear()
+        partial, id_type = _Partial(ROWS + 1, log2), None
 
-        def blocks():
-            got = list(flush())
-            none = pa.nulls(len(got), b_type)
-            return pa.RecordBatch.from_arrays([none, pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.binary()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["id", "n", "sha", "block", "cells"])
+        def sent():
+            got = list(partial.blocks())
+            m = len(got)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["id", "n", "sha", "block", "cells"])
 
-        held, b_type = 0, None
         for b in batches:
-            normal, b_type = _normal(b.column(1)), b.column(0).type
-            shas, counts = _sha(normal), []
+            normal, id_type = _normal(b.column(1)), b.column(0).type
+            shas, counts = _sha(normal), [np.zeros(0, np.int64)]
             for i, j in chunks(normal):
                 w = Words(normal[i:j])
                 counts.append(w.counts)
-                x = w.hashes()
-                _, _, places = _anchors(x, w, size)
+                places = _anchors(w.hashes(), w, size)[2]
                 for row in range(ROWS):
-                    updates[row].append(_cells(places, row, log2))
-                held += len(places)
+                    partial.add(row, places)
                 # a text with a window counts as itself
-                updates[ROWS].append(_cells(_text_keys(shas[i:j])[w.counts >= size], ROWS, log2))
+                partial.add(ROWS, _text_keys(shas[i:j])[w.counts >= size])
             m = len(normal)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64()), pa.array(shas, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["id", "n", "sha", "block", "cells"])
-            if held > 4_000_000:  # a task's memory stays bounded whatever its partition holds
-                held = 0
-                yield blocks()
-        if b_type is not None:
-            yield blocks()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(counts), pa.int64()), pa.array(shas, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["id", "n", "sha", "block", "cells"])
+            if partial.held > HELD:
+                yield sent()
+        if id_type is not None:
+            yield sent()
 
     return docs.mapInArrow(run, schema)
 
 
+def _count_windows(docs: DataFrame, size: int, log2: int, sketch) -> DataFrame:
+    """Second pass: the sparse blocks of each task's sketch of the windows that the first sketch estimates repeated."""
+
+    def run(batches):
+        bits, partial = sketch.value, _Partial(ROWS, log2)
+
+        def sent():
+            got = list(partial.blocks())
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["block", "cells"])
+
+        for b in batches:
+            normal = _normal(b.column(0))
+            for i, j in chunks(normal):
+                w = Words(normal[i:j])
+                x = w.hashes()
+                valid, least, _ = _anchors(x, w, size)
+                cand = np.flatnonzero(valid)
+                cand = cand[_estimated(bits, least[cand], range(ROWS), log2)]
+                if len(cand):
+                    h1 = grams(x, size, 1)[cand]
+                    for row in range(ROWS):
+                        partial.add(row, h1)
+            if partial.held > HELD:
+                yield sent()
+        yield sent()
+
+    return docs.mapInArrow(run, "block int, cells binary")
+
+
 def _merged(parts: DataFrame, log2: int) -> dict[int, np.ndarray]:
     """Merge the partition sketches: per block, one bit a counter for "at least two". Bounded by the sketch's size."""
     width = 1 << min(BLOCK, log2)
@@ -139,7 +195,7 @@ def _merged(parts: DataFrame, log2: int) -> dict[int, np.ndarray]:
                     if number is not None:
                         yield out()
                     number, count = block, np.zeros(width, dtype=np.uint8)
-                c = np.frombuffer(cells, dtype="<u4")
+                c = _unpack(cells)
                 at = c >> 1  # distinct within one part
                 count[at] = np.minimum(2, count[at] + 1 + (c & 1).astype(np.uint8))
         if number is not None:
@@ -149,11 +205,11 @@ def _merged(parts: DataFrame, log2: int) -> dict[int, np.ndarray]:
     return {r["block"]: np.frombuffer(bytes(r["bits"]), dtype=np.uint8) for r in merged.toLocalIterator()}
 
 
-def _sketch(blocks: dict[int, np.ndarray], log2: int) -> np.ndarray:
+def _sketch(blocks: dict[int, np.ndarray], log2: int, rows: int) -> np.ndarray:
     """The merged rows as one array of packed bits, a row each."""
     per = 1 << max(0, log2 - BLOCK)
     width = 1 << (min(BLOCK, log2) - 3)
-    bits = np.zeros((ROWS + 1, per * width), dtype=np.uint8)
+    bits = np.zeros((rows, per * width), dtype=np.uint8)
     for number, part in blocks.items():
         at = (number % per) * width
         bits[number // per, at : at + width] = part
@@ -169,70 +225,111 @@ def _estimated(bits: np.ndarray, keys: np.ndarray, rows, log2: int) -> np.ndarra
     return out
 
 
-def _windows(docs: DataFrame, size: int, log2: int, sketch, split_copies: bool) -> DataFrame:
-    """Second pass: for each text with windows estimated repeated, its words and those windows' starts and hashes.
+#: A row is a text (sha and deflated words set), a text that may have copies (copied true too), or a run of windows that
+#: share an anchor place (start and the windows' hashes set). id numbers the texts that bring windows.
+PARTS = "id long, sha binary, words binary, copied boolean, start int, h1 array<long>, h2 array<int>"
+
+
+def _parts(rows: list[tuple]):
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "sha", "words", "copied", "start", "h1", "h2"])
 
-    With ``split_copies``, a text estimated to have copies is passed on with no windows yet (starts null).
+
+def _windows(docs: DataFrame, size: int, log2: int, sketch, second, again: bool) -> DataFrame:
+    """Third pass: the texts with windows that both sketches estimate repeated, and those windows' hashes by runs.
+
+    On (text) rows, a text estimated to have copies is passed on with no windows
+    yet. On those (``again``: deflated words, whether it does have copies), the
+    windows come, and the words of texts without copies.
     """
-    schema = "sha binary, words binary, starts array<int>, h1 array<long>, h2 array<long>"
 
     def run(batches):
-        bits = sketch.value
+        bits, bits2 = sketch.value, second.value
         seen: set[bytes] = set()
+        number = (int(again) << 62) + (TaskContext.get().partitionId() << 36)
         for b in batches:
-            normal = _normal(b.column(0))
-            out = []
+            normal = [zlib.decompress(t) for t in b.column(0).to_pylist()] if again else _normal(b.column(0))
+            real = np.array(b.column(1).to_pylist(), dtype=bool) if again else np.zeros(len(normal), dtype=bool)
             for i, j in chunks(normal):
-                part = normal[i:j]
+                out = []
+                part, copy = normal[i:j], real[i:j]
                 shas = _sha(part)
                 w = Words(part)
-                if split_copies:
+                if not again:
                     copied = _estimated(bits, _text_keys(shas), [ROWS], log2) & (w.counts >= size)
                     for k in np.flatnonzero(copied):
                         if shas[k] not in seen:
                             if len(seen) < 100_000:  # spares copies within a task; the exact step follows
                                 seen.add(shas[k])
-                            out.append((shas[k], part[k], None, None, None))
+                            out.append((None, shas[k], zlib.compress(part[k], 1), True, None, None, None))
                     if copied.any():
                         keep = np.flatnonzero(~copied)
-                        part, shas = [part[k] for k in keep], [shas[k] for k in keep]
+                        part, shas, copy = [part[k] for k in keep], [shas[k] for k in keep], copy[keep]
                         w = Words(part)
                 x = w.hashes()
                 valid, least, _ = _anchors(x, w, size)
                 cand = np.flatnonzero(valid)
                 cand = cand[_estimated(bits, least[cand], range(ROWS), log2)]
                 if len(cand):
-                    h1, h2 = grams(x, size, 1), grams(x, size, 2)
+                    h1 = grams(x, size, 1)
+                    cand = cand[_estimated(bits2, h1[cand], range(ROWS), log2)]
+                if len(cand):
+                    h1, h2 = h1.view(np.int64), grams(x, size, 2).view(np.int32)[::2]  # the lower halves
                     owner = np.searchsorted(w.first, cand, side="right") - 1
-                    cuts = np.flatnonzero(np.diff(owner)) + 1
-                    for c in np.split(cand, cuts):
-                        k = int(np.searchsorted(w.first, c[0], side="right") - 1)
-                        out.append((shas[k], part[k], (c - w.first[k]).astype(np.int32), h1[c].view(np.int64), h2[c].view(np.int64)))
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64()))], names=["sha", "words", "starts", "h1", "h2"])
+                    for k in np.unique(owner):
+                        if not copy[k]:
+                            out.append((number + int(k), shas[k], zlib.compress(part[k], 1), False, None, None, None))
+                    # runs of neighbouring windows with one anchor
+                    cuts = np.flatnonzero((np.diff(cand) != 1) | (np.diff(owner) != 0) | (least[cand[1:]] != least[cand[:-1]])) + 1
+                    for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cand)]])):
+                        k, c = owner[s], cand[s:e]
+                        out.append((number + int(k), None, None, False, int(c[0] - w.first[k]), h1[c], h2[c]))
+                number += len(part)
+                if out:
+                    yield _parts(out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, PARTS)
 
 
 def _strip(texts: DataFrame, size: int) -> DataFrame:
-    """(sha, words, covered starts) -> (sha, n_removed, kept words)."""
+    """(sha, words, at: repeated windows as start and number) -> (sha, n_removed, kept words)."""
 
     def run(batches):
         for b in batches:
-            shas, texts_, starts = (c.to_pylist() for c in b.columns)
             removed, kept = [], []
-            for text, at in zip(texts_, starts):
-                words = text.split()
+            for text, starts, counts in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                words = zlib.decompress(text).split()
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edge, np.array(at), 1)
-                np.add.at(edge, np.array(at) + size, -1)
+                np.add.at(edge, np.array(starts), 1)
+                np.add.at(edge, np.array(starts) + np.array(counts) - 1 + size, -1)
                 stays = np.cumsum(edge)[:-1] == 0
                 kept.append(b" ".join([words[k] for k in np.flatnonzero(stays)]))
                 removed.append(int(len(words) - stays.sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["sha", "n_removed", "kept"])
 
-    return texts.select("sha", "words", "at").mapInArrow(run, "sha binary, n_removed long, kept binary")
+    return texts.select("sha", "words", "at.start", "at.n").mapInArrow(run, "sha binary, n_removed long, kept binary")
+
+
+def _repeated(runs: DataFrame) -> DataFrame:
+    """(id, start, h1, h2) runs -> (id, start, n): the repeated windows.
+
+    Equal runs have equal first and last windows and lengths (two windows less
+    than a window apart fix every word between), so they are first grouped by
+    these. All windows of a run that stands twice are repeated. One of each
+    run then brings its windows to the exact grouping, and only runs that
+    stand once ask for its answer.
+    """
+    ends = [F.element_at("h1", 1), F.element_at("h2", 1), F.element_at("h1", -1), F.element_at("h2", -1), F.size("h1")]
+    keyed = runs.select("id", "start", F.xxhash64(*ends).alias("r1"), F.xxhash64(F.lit(1), *ends).alias("r2"), F.size("h1").alias("n"), "h1", "h2")
+    kinds = keyed.groupBy("r1", "r2").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("id", "start", "h1", "h2")])
+    whole = keyed.select("id", "start", "n", "r1", "r2").join(kinds.where("c > 1").select("r1", "r2"), ["r1", "r2"], "left_semi").select("id", "start", "n")
+    # both uses below read all columns of the grouping, so that its exchange, the largest one, is made once
+    single = (F.col("c") == 1) & F.col("id").isNotNull() & F.col("start").isNotNull()
+    each = kinds.select("id", single.alias("single"), F.col("start").alias("s"), F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h"))
+    each = each.select("id", "single", (F.col("s") + F.col("at")).alias("start"), "h.h1", "h.h2")
+    often = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("c")).where("c > 1").select("h1", "h2")
+    part = each.where("single").select("id", "start", "h1", "h2").join(often, ["h1", "h2"], "left_semi").select("id", "start", F.lit(1).alias("n"))
+    return whole.union(part)
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, sketch_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
@@ -247,26 +344,25 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    # about one anchor for each 14 words; eight counters for each anchor, within the bound
+    # about one anchor for each 14 words; four to eight counters for each anchor, within the bound
     total = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    log2 = int(np.clip(np.ceil(np.log2(max(1, total / 10))), 10, np.log2(sketch_bits)))
+    log2 = int(np.clip(np.ceil(np.log2(max(1, total / 20))), 10, np.log2(sketch_bits)))
     survey = cut(_survey(base, kind, size, log2))
     rows = survey.where("block IS NULL").select("id", "n", "sha")
-    bits = _sketch(_merged(survey.where("block IS NOT NULL").select("block", "cells"), log2), log2)
-    sketch = spark.sparkContext.broadcast(bits)  # (ROWS + 1) * sketch_bits / 8 bytes at most
-
-    first = cut(_windows(base.select("t"), size, log2, sketch, True))
-    copies = first.where("starts IS NULL").groupBy("sha").agg(F.first("words").alias("t"))
-    again = _windows(copies.select(F.col("t").cast("string").alias("t")), size, log2, sketch, False)
-    texts = cut(first.where("starts IS NOT NULL").union(again))
-
-    each = texts.select("sha", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select(F.substring("sha", 1, 16).alias("k"), "w.starts", "w.h1", "w.h2")
-    repeated = each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    at = each.join(repeated, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_list("starts").alias("at"))
-    # texts in several rows go whole; the sketch sent all of them through ``copies``, and some single ones
-    whole = rows.where(F.col("n") >= size).groupBy("sha").agg(F.count("*").alias("c")).where("c > 1").select("sha")
-    partly = texts.select("sha", "words", F.substring("sha", 1, 16).alias("k")).join(at, "k").join(whole, "sha", "left_anti")
-    lost = _strip(partly, size).union(whole.select("sha", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("binary").alias("kept")))
+    # (2 ROWS + 1) * sketch_bits / 8 bytes at most are sent to the tasks
+    sketch = spark.sparkContext.broadcast(_sketch(_merged(survey.where("block IS NOT NULL").select("block", "cells"), log2), log2, ROWS + 1))
+    second = spark.sparkContext.broadcast(_sketch(_merged(_count_windows(base.select("t"), size, log2, sketch), log2), log2, ROWS))
+
+    first = cut(_windows(base.select("t"), size, log2, sketch, second, False))
+    # texts in several rows go whole; the sketch sent all of them here, and some single ones
+    whole = cut(rows.where(F.col("n") >= size).groupBy("sha").agg(F.count("*").alias("c")).where("c > 1").select("sha", F.lit(True).alias("real")))
+    copies = first.where("copied").groupBy("sha").agg(F.first("words").alias("words")).join(whole, "sha", "left")
+    again = cut(_windows(copies.select("words", F.coalesce("real", F.lit(False)).alias("real")), size, log2, sketch, second, True))
+    parts = first.where("NOT copied").union(again)
+    at = _repeated(parts.where("start IS NOT NULL").select("id", "start", "h1", "h2")).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    texts = parts.where("words IS NOT NULL").select("id", "sha", "words")
+    partly = _strip(texts.join(at, "id"), size)
+    lost = partly.union(whole.select("sha", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("binary").alias("kept")))
     return rows, lost
 
 

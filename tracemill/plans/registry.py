@@ -94,9 +94,10 @@ def weighted_fifo_oversize(spark, d):
 
 @query("leavings_by_reason", f"""
 WITH m AS ({O.mixed_log()})
-SELECT 'evict' AS reason, count(evicted) AS n FROM m UNION ALL
-SELECT 'replace', count(*) FROM m WHERE result = 'replace' UNION ALL
-SELECT 'remove', count(*) FROM m WHERE result = 'removed'""")
+SELECT reason, count(*) AS n FROM (
+  SELECT 'evict' AS reason FROM m WHERE evicted IS NOT NULL UNION ALL
+  SELECT 'replace' FROM m WHERE result = 'replace' UNION ALL
+  SELECT 'remove' FROM m WHERE result = 'removed') GROUP BY reason""")
 def leavings_by_reason(spark, d):
     return metrics.counters(replay.leavings(ops(spark, d), MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())), ["reason"])
 

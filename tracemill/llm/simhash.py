@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut
+from tracemill.llm.common import cut, small
 from tracemill.llm.graph import components
+from tracemill.llm.textkit import mix
 
 BLOCKS, WIDTH = 8, 8
 #: Shingles hashed at a time, so that a very long text needs bounded memory beside itself.
@@ -77,8 +78,12 @@ def _probes(free: np.uint64, distance: int) -> np.ndarray:
     return np.array([np.bitwise_or.reduce(c) for k in range(1, distance + 1) for c in combinations(bits, k)], dtype=np.uint64)
 
 
-def _forest(fps: np.ndarray, free: np.uint64, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among the sorted distinct ``fps`` of one bucket."""
+def _forest(fps: np.ndarray, free: np.uint64, distance: int, direct: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links among the sorted distinct ``fps`` of one bucket.
+
+    With ``direct`` each value comes with its nearest and its least smaller
+    neighbour instead, so that every row is a link itself.
+    """
     m = len(fps)
     if m <= 64:
         i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance, 1))
@@ -90,6 +95,12 @@ def _forest(fps: np.ndarray, free: np.uint64, distance: int) -> tuple[np.ndarray
             left.append(hit)
             right.append(at[hit])
         i, j = np.concatenate(left), np.concatenate(right)
+    if direct:
+        near = np.lexsort((i, np.bitwise_count(fps[i] ^ fps[j]), j))
+        least = np.lexsort((i, j))
+        picks = [o[np.concatenate([[True], j[o][1:] != j[o][:-1]])] for o in (near, least) if len(o)]
+        own = np.unique(np.concatenate([np.zeros(0, np.int64), *picks]))
+        return fps[j[own]], fps[i[own]]
     label = np.arange(m)
     while len(i):
         low = np.minimum(label[i], label[j])
@@ -104,8 +115,8 @@ def _forest(fps: np.ndarray, free: np.uint64, distance: int) -> tuple[np.ndarray
     return fps[own], fps[label[own]]
 
 
-def links(values: DataFrame, distance: int = 2) -> DataFrame:
-    """(fp) distinct longs -> (a, b): links within ``distance`` bits, a spanning forest of each bucket."""
+def links(values: DataFrame, distance: int = 2, direct: bool = False) -> DataFrame:
+    """(fp) distinct longs -> (a, b): links within ``distance`` bits, a spanning forest of each bucket (or as ``_forest`` says)."""
     masks = block_masks(distance)
     key = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("t") + 1).bitwiseAND(F.col("fp"))
     # one pass over (table, value); each bucket is whole in one task and bounded by 2^(8 distance) values
@@ -123,7 +134,7 @@ def links(values: DataFrame, distance: int = 2) -> DataFrame:
             ends = np.append(starts[1:], len(t))
             left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                x, y = _forest(np.sort(f[s:e]), ~wide[t[s]], distance)
+                x, y = _forest(np.sort(f[s:e]), ~wide[t[s]], distance, direct)
                 left.append(x)
                 right.append(y)
             a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
@@ -168,19 +179,120 @@ def op2_simhash(docs: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and more, unchanged) that stay when one document of each group is kept, that of the least id.
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _content(words: list[bytes]) -> int:
+    """64-bit hash of a word sequence."""
+    return xxhash.xxh64_intdigest(b" ".join(words), 1)
+
+
+def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles (fewer words: the whole sequence)."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in parts), dtype=np.uint64))
+
+
+def word_prints(docs: DataFrame, prints: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, c, f0, f1, ...): a hash of the text's word sequence and ``prints`` independent fingerprints of its distinct words."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    salts = [np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & (1 << 64) - 1) for r in range(prints)]
+
+    def row(text):
+        words = _words(text)
+        c = _content(words)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), dtype=np.uint64)
+        out = [c]
+        for salt in salts:
+            bits = np.unpackbits(mix(h + salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(h) else np.zeros((1, 64), np.uint8)
+            out.append(int(np.packbits(2 * _column_sums(bits) > len(h), bitorder="little").view("<u8")[0]))
+        return out
+
+    names = ["c", *[f"f{r}" for r in range(prints)]]
+
+    def run(batches):
+        for b in batches:
+            x = np.array([row(t.as_py()) for t in b.column(1)], dtype=np.uint64).reshape(-1, prints + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(prints + 1))], names=["id", *names])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (a, b) edges whose texts' shingle sets have at least the Jaccard similarity. ``texts``: (t), all that are asked for."""
+
+    def sets(batches):
+        for b in batches:
+            words = [_words(t.as_py()) for t in b.column(0)]
+            c = np.array([_content(w) for w in words], dtype=np.uint64).view(np.int64)
+            s = pa.array([_shingles(w, shingle).view(np.int64) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c), s], names=["c", "s"])
+
+    def compare(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    s = cut(texts.mapInArrow(sets, "c long, s array<long>").dropDuplicates(["c"]))
+    pairs = edges.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return pairs.mapInArrow(compare, "a long, b long")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, prints: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) by links between texts whose sets of ``shingle``-word shingles are at least ``similarity`` alike.
+
+    Candidates come from ``prints`` independent SimHash fingerprints of the
+    distinct words: near copies differ in few words, so a fingerprint of words
+    moves by fewer bits than one of shingles does, and the further prints make up
+    for each one's misses. Each candidate link is then verified on the full
+    shingle sets, so no link is false; of J >= 0.8 pairs about nine in ten are
+    found directly, more over others of their group. Rows with equal word
+    sequences are always together. Null and empty texts are one group.
+    """
+    rows = cut(word_prints(docs, prints, id_col, text_col))
+    nodes = rows.select("c", *[f"f{r}" for r in range(prints)]).distinct()
+    edges = None
+    for r in range(prints):
+        least = nodes.groupBy(F.col(f"f{r}").alias("fp")).agg(F.min("c").alias("c"))
+        same = nodes.select("c", F.col(f"f{r}").alias("fp")).join(least.toDF("fp", "b"), "fp").where("c != b").select(F.col("c").alias("a"), "b")
+        close = links(least.select("fp"), distance, direct=True)
+        named = close.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        part = same.union(named)
+        edges = part if edges is None else edges.union(part)
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    asked = edges.select(F.col("a").alias("c")).union(edges.select("b")).distinct()
+    # one row of each text asked for; its id leads back to the text
+    one = cut(rows.where("id IS NOT NULL").join(asked, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(small(one.select("id").distinct()), "id", "left_semi").select("t")
+    roots = components(_verified(edges, text, shingle, similarity))
+    named = rows.select("id", "c").join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = cut(named.select("id", "root"))
+    return named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more, unchanged) that stay when one document of each group of ``similar`` is kept, that of the least id.
 
     Only the ids that go meet the texts. Rows that share an id are one document:
     it goes if any of its rows links to a smaller id, and one of its rows stays
     otherwise. Rows without an id can't be named and stay.
     """
-    out = cut(near_duplicates(docs, shingle=shingle, distance=distance).select("id", "component_id"))
-    gone = out.where("component_id < id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = cut(similar(docs, **options))
+    gone = cut(out.where("component_id < id").select(F.col("id").alias("doc_id")).distinct())
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
     again = out.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
     if again.isEmpty():
         return kept
     # ids that stand in several rows, if there are any: one row of each
-    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return single.union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    again = cut(again)
+    single = kept.join(small(again), "doc_id", "left_anti").select(*docs.columns)
+    return single.union(kept.join(small(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+

@@ -226,15 +226,12 @@ def op10_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and more, unchanged) that score at least ``threshold``."""
-    spark_cols = docs.columns
+    """The rows of ``docs`` (doc_id, text and more, unchanged) that score at least ``threshold``.
+
+    Texts are scored where they lie: there is no join and no shuffle of texts.
+    """
     x = cut(measured(docs, "doc_id", "text"))
     model = train(labelled(x, labels, "quality"))
-    return _with_score(docs, model).where(F.col("score") >= threshold).select(*spark_cols)
-
-
-def _with_score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with their score, computed from the text in place: no join, no shuffle of texts."""
     w, a, b = model["w"], model["a"], model["b"]
 
     @F.pandas_udf("double")
@@ -244,4 +241,4 @@ def _with_score(docs: DataFrame, model: dict) -> DataFrame:
         x = np.array([style(v) for v in t], dtype=np.float32).reshape(-1, DIM).astype(np.float64)
         return pd.Series(1 / (1 + np.exp(-(a * (x @ w) + b))))
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.where(score(F.col("text").cast("string")) >= threshold)

@@ -120,3 +120,14 @@ def footprint(entries: DataFrame, group: str) -> DataFrame:
     """Bytes used and reserved by group, and how well pages are filled."""
     used, held = F.sum("size"), F.sum(aligned(F.col("size")))
     return entries.groupBy(group).agg(used.alias("used"), held.alias("reserved"), F.round(used / held, 6).alias("efficiency"))
+
+
+def partial(entries: DataFrame, capacity: int, group: str) -> DataFrame:
+    """A view of each group's store that ends where its pages would exceed ``capacity``, in sequence order."""
+    w = Window.partitionBy(group).orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    return entries.withColumn("_end", F.sum(aligned(F.col("size"))).over(w)).where(F.col("_end") <= capacity).drop("_end")
+
+
+def intact(entries: DataFrame, stored: str = "checksum", key: str = "key", value: str = "value") -> DataFrame:
+    """Entries whose value and key still have their stored checksum; others read as absent."""
+    return entries.where(F.crc32(F.concat(value, key)) == F.col(stored))

@@ -38,6 +38,11 @@ def apply(shard: MemoryShard, op: str, key, weight: int, hint: str, phantom: boo
         left = shard.insert(key, Entry(int(weight), hint=hint), phantom).left
         found.left = left
         return found
+    if op == "get_or_fail":  # the fetch of a miss fails: every waiter hears of it, nothing is cached
+        found = shard.get(key)
+        if found.result == "miss":
+            found.result = "error"
+        return found
     if op == "insert":
         return shard.insert(key, Entry(int(weight), hint=hint), phantom)
     if op == "contains":

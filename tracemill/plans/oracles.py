@@ -216,3 +216,37 @@ def mixed_residual() -> str:
 
 def weighted_log() -> str:
     return f"WITH RECURSIVE {TRACE}, {WEIGHTED_FIFO_WALK} SELECT CAST(shard AS INTEGER) AS shard, seq, key, hit, evicted AS n_evicted, usage FROM w JOIN (SELECT shard AS s2, i AS i2, key FROM t) ON s2 = shard AND i2 = i"
+
+
+#: Errors read through with a failing fetch: they hit or fail, and never insert.
+FAILING = TRACE.replace("WHEN event_type = 'error' THEN 'remove' WHEN event_type IN ('purchase', 'signup') THEN 'insert'", "WHEN event_type = 'error' THEN 'get_or_fail'")
+
+
+def failing_log() -> str:
+    walk = f"""
+w(shard, i, q, seq, result) AS (
+  SELECT shard, CAST(0 AS BIGINT), {NONE}, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) {START}
+  UNION ALL
+  SELECT t.shard, t.i, CASE WHEN {_hit} OR t.op = 'get_or_fail' THEN r.q WHEN {_full} THEN list_append(r.q[2:], t.key) ELSE list_append(r.q, t.key) END,
+    t.seq, CASE WHEN {_hit} THEN 'hit' WHEN t.op = 'get_or_fail' THEN 'error' ELSE 'miss' END FROM w r JOIN t ON t.shard = r.shard AND t.i = r.i + 1)"""
+    return f"WITH RECURSIVE {FAILING}, {walk} SELECT CAST(shard AS INTEGER) AS shard, seq, result FROM w WHERE i > 0"
+
+
+#: A resize to half at a quarter of the trace, evict_all at half and clear at three quarters, on every shard.
+STEPS = {1: "resize", 2: "evict_all", 3: "clear"}
+
+
+def lifecycle_log() -> str:
+    at = "(SELECT max(event_id) + 1 FROM events) // 4"
+    extra = " UNION ALL ".join(f"SELECT CAST(range AS BIGINT), 2 * ({at} * {k}) - 1, '{op}' FROM range({SHARDS})" for k, op in STEPS.items())
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id AS key, 2 * event_id AS seq, 'get_or_fetch' AS op FROM events UNION ALL {extra}),
+t AS (SELECT key % {SHARDS} AS shard, row_number() OVER (PARTITION BY key % {SHARDS} ORDER BY seq) AS i, seq, key, op, CASE WHEN seq >= 2 * {at} - 1 THEN {PER_SHARD // 2} ELSE {PER_SHARD} END AS room FROM e),
+w(shard, i, q, seq, result) AS (
+  SELECT shard, CAST(0 AS BIGINT), {NONE}, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) {START}
+  UNION ALL
+  SELECT t.shard, t.i, CASE WHEN t.op IN ('evict_all', 'clear') THEN r.q[:0] WHEN t.op = 'resize' THEN r.q[greatest(1, len(r.q) - t.room + 1):]
+      WHEN list_contains(r.q, t.key) THEN r.q WHEN len(r.q) >= t.room THEN list_append(r.q[2:], t.key) ELSE list_append(r.q, t.key) END,
+    t.seq, CASE WHEN t.op <> 'get_or_fetch' THEN 'done' WHEN list_contains(r.q, t.key) THEN 'hit' ELSE 'miss' END
+  FROM w r JOIN t ON t.shard = r.shard AND t.i = r.i + 1)
+SELECT CAST(shard AS INTEGER) AS shard, seq, result, CAST(len(q) AS BIGINT) AS entries FROM w WHERE i > 0"""

@@ -428,3 +428,41 @@ def hybrid_hit_accounting(spark, d):
     trace = reads(spark, d).withColumn("location", F.lit("default"))
     log = hybrid.replay_hybrid(trace, HYBRID)
     return log.groupBy(F.when(F.col("source") == "outer", "miss").otherwise("hit").alias("result")).agg(F.count("*").alias("n"))
+
+
+@query("fetch_errors_log", O.failing_log())
+def fetch_errors_log(spark, d):
+    e = table(spark, d, "events")
+    failing = e.where("event_type = 'error'").select(F.col("event_id").alias("seq"), F.lit(True).alias("fails"))
+    trace = reads(spark, d).join(failing, "seq", "left").withColumn("op", F.when(F.col("fails"), "get_or_fail").otherwise("get_or_fetch")).drop("fails")
+    return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())).select("shard", "seq", "result")
+
+
+@query("lifecycle_operations_log", O.lifecycle_log())
+def lifecycle_operations_log(spark, d):
+    trace = reads(spark, d).select((F.col("seq") * 2).alias("seq"), "op", "key", "weight")
+    quarter = table(spark, d, "events").agg(F.expr("(max(event_id) + 1) div 4").alias("q"))
+    for k, op in O.STEPS.items():
+        rows = spark.range(O.SHARDS).join(F.broadcast(quarter)).select((2 * F.col("q") * k - 1).alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
+        trace = trace.unionByName(rows)
+    return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())).select("shard", "seq", "result", "entries")
+
+
+@query("partial_store_view", """
+SELECT CAST(page_id % 4 AS INTEGER) AS flusher, page_id AS sequence FROM pages
+QUALIFY sum(CAST(ceil((strlen(html) + strlen(url) + 36) / 4096.0) * 4096 AS BIGINT)) OVER (PARTITION BY page_id % 4 ORDER BY page_id) <= 200000""")
+def partial_store_view(spark, d):
+    return logstore.partial(page_entries(spark, d), 200_000, "flusher").select("flusher", "sequence")
+
+
+@query("corruption_check", "SELECT page_id FROM pages WHERE page_id % 7 <> 0")
+def corruption_check(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("key"), F.col("html").alias("value"), F.crc32(F.concat("html", "url")).alias("checksum"))
+    damaged = pages.withColumn("value", F.when(F.col("page_id") % 7 == 0, F.concat("value", F.lit("?"))).otherwise(F.col("value")))
+    return logstore.intact(damaged).select("page_id")
+
+
+@query("combined_stores", "SELECT 'orders' AS store, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def combined_stores(spark, d):
+    parts = [table(spark, d, t).select(F.lit(t).alias("store")) for t in ("orders", "lineitem")]
+    return parts[0].unionByName(parts[1]).groupBy("store").agg(F.count("*").alias("n"))

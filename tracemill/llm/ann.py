@@ -120,12 +120,19 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _train(index: DataFrame, rows: int) -> CodeBook | None:
-    """A code book from up to ``rows`` vectors, the least by a hash of the id; of the commonest length."""
-    got = index.select("v").where("v IS NOT NULL").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).collect()
-    if not got:
-        return None
-    return CodeBook(np.array([r["v"] for r in got]))
+def _train(index: DataFrame, rows: int) -> CodeBook:
+    """A code book from up to ``rows`` vectors (NUMBERS numbers), the least by a hash of the id."""
+    got = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("v").toArrow()
+    return CodeBook(_vectors(got.column(0).combine_chunks()))
+
+
+#: Numbers that are gathered on the driver or sent to the tasks at once.
+NUMBERS = 4_000_000
+
+
+def _vectors(column) -> np.ndarray:
+    """A list column of vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, keep: int = 100, sample: int = 20_000, query_block: int = 256) -> DataFrame:
@@ -149,7 +156,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     found = None
     for (dim,) in index.select("d").distinct().orderBy("d").collect():
         own = index.where(F.col("d") == dim)
-        book = _train(own, sample)
+        book = _train(own, min(sample, max(CENTRES, NUMBERS // dim)))
         asked = cut(queries.where(F.size("v") == dim))
         part = _search(own, asked, book, k, keep, query_block)
         found = part if found is None else found.union(part)
@@ -164,12 +171,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 def _search(index: DataFrame, queries: DataFrame, book: CodeBook, k: int, keep: int, query_block: int) -> DataFrame:
     """Exactly scored best of each block of the index for each query. The queries travel to the index in bounded blocks."""
     n = queries.count()
-    blocks = max(1, -(-n // (query_block * 64)))  # a broadcast holds 64 blocks of queries at most
+    blocks = max(1, -(-n // max(1, NUMBERS // (4 * book.dim))))  # so many queries travel at once, and so many passes are made
     parts = None
     for b in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        ids = np.array([r["vec_id"] for r in got], dtype=np.int64)
-        q = np.array([r["v"] for r in got]).reshape(len(got), -1)
+        got = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).orderBy("vec_id").select("vec_id", "v").toArrow()
+        ids, q = got.column(0).to_numpy(), _vectors(got.column(1).combine_chunks()) if len(got) else np.zeros((0, book.dim))
         part = index.select("v", "ids").mapInArrow(_scanner(book, ids, q, k, keep, query_block), "query_id long, qv int, vec_id long, score double")
         parts = part if parts is None else parts.union(part)
     return parts
@@ -179,7 +185,7 @@ def _scanner(book: CodeBook, ids: np.ndarray, q: np.ndarray, k: int, keep: int,
     def run(batches):
         best: list[list[tuple[float, int]]] = [[] for _ in ids]  # at most k rows a query leave a task
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            x = _vectors(batch.column(0))
             members = batch.column(1).to_pylist()
             codes = book.encode(x)
             half = (x * x).sum(axis=1) / 2

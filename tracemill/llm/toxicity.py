@@ -218,7 +218,7 @@ def train(pairs: list[tuple[str, int]], folds: int = 3) -> tuple[Grammar, np.nda
     return learned(pairs), logistic(np.array(x), np.array(y, dtype=float))
 
 
-def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, sample_chars: int = 50_000) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, sample_chars: int = 20_000) -> DataFrame:
     """(id, score) for every row of ``docs``: the higher, the likelier toxic.
 
     The fit takes a bounded sample of labelled rows (``sample_rows``, each of at

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut
+from tracemill.llm.common import cut, small
 from tracemill.llm.prefix import ranged, running
 
 STEPS = 60  # halvings of the exponent's interval
@@ -87,7 +87,7 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", seed: int = 42, block_toke
     w = cut(weights(docs, max_repeat, target_entropy, budget))
     size = w.agg(F.sum("quota")).first()[0] or 1
     blocks = -(-size // block_tokens)
-    use = docs.join(w.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    use = docs.join(small(w.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     last = F.when(F.col("rest") > 0, F.col("full")).otherwise(F.col("full") - 1)
     use = use.where(F.col("quota") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     use = use.withColumn("key", order_key(F.col(doc_id), F.col("epoch"), seed)).drop("exponent", "rest")
@@ -107,7 +107,7 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", seed: int = 42, block_toke
 def cutoffs(sized: DataFrame, doc_id: str = "doc_id", seed: int = 42, **kwargs) -> DataFrame:
     """Per source: full (whole passes) and end (the last key of the partial pass; null if there is none)."""
     w = cut(weights(sized, **kwargs))
-    rest = sized.join(w.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").where("rest > 0")
+    rest = sized.join(small(w.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").where("rest > 0")
     rest = rest.select("source", "full", "rest", "tokens", doc_id, order_key(F.col(doc_id), F.col("full"), seed).alias("key"))
     order = ["source", "key", doc_id, "tokens"]
     at = running(ranged(rest, order), order, ["source"], {"before": F.col("tokens")})
@@ -122,11 +122,12 @@ def mixed(docs: DataFrame, seed: int = 42, **kwargs) -> DataFrame:
     source's last key decides the partial pass.
     """
     sized = cut(docs.select("doc_id", "source", n_tokens(F.col("text").cast("string")).alias("tokens")))
-    ends = cutoffs(sized, "doc_id", seed, **kwargs).withColumnRenamed("source", "_source")
-    both = docs.join(ends, docs["source"].eqNullSafe(ends["_source"]))
-    taken = F.col("end").isNotNull() & (order_key(F.col("doc_id"), F.col("full"), seed) <= F.col("end"))
-    uses = F.col("full") + F.when(taken, 1).otherwise(0)
-    return both.where(uses > 0).withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), uses))).select(*docs.columns)
+    ends = cutoffs(sized, "doc_id", seed, **kwargs).toDF("__source", "__full", "__end")
+    both = docs.join(small(ends), docs["source"].eqNullSafe(ends["__source"]))
+    full, end = F.col("__full"), F.col("__end")
+    taken = end.isNotNull() & (order_key(F.col("doc_id"), full, seed) <= end)
+    uses = full + F.when(taken, 1).otherwise(0)
+    return both.where(uses > 0).withColumn("__use", F.explode(F.sequence(F.lit(1).cast("long"), uses))).select(*docs.columns)
 
 
 def op9_mixing(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ the longer, shifted by no more than the edits to its left and the length
 difference allow. So each line is indexed by (length, segment number, segment)
 and probes, for each length up to ``edits`` below its own, the few substrings at
 the allowed shifts. Shared keys make candidates, and a banded bit-parallel edit
-distance (one word of 2 edits + 3 bits a column) decides.
+distance (one word of 2 edits + 2 bits a column) decides.
 
 Line texts are shuffled only for candidates; all else moves 64-bit hashes. Equal
 lines are one class from the start.
@@ -75,6 +75,46 @@ def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
     return same.union(other).distinct().toDF("a", "b")
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: the optimiser would put the expression itself wherever it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+STRIDE = 32
+
+
+def _stripped(z: Column) -> Column:
+    """A pair of strings (x, y) without the leading strides of STRIDE characters that they share."""
+    blocks = F.floor(F.least(F.length(z["x"]), F.length(z["y"])) / STRIDE).cast("int")
+
+    def same(done, i):
+        at = i * STRIDE + 1
+        return F.when(done == i, F.when(z["x"].substr(at, F.lit(STRIDE)) == z["y"].substr(at, F.lit(STRIDE)), done + 1).otherwise(done)).otherwise(done)
+
+    count = F.when(blocks > 0, F.aggregate(F.sequence(F.lit(0), blocks - 1), F.lit(0), same)).otherwise(F.lit(0))
+    rest = lambda c, n: c.substr(n * STRIDE + 1, F.length(c))
+    return let(count, lambda n: F.struct(rest(z["x"], n).alias("x"), rest(z["y"], n).alias("y")))
+
+
+def close(x: Column, y: Column, edits: int) -> Column:
+    """Whether two strings are within ``edits``. What both begin or end with does not matter to that and is cut off by strides first."""
+
+    def decide(z):
+        swap = F.length(z["x"]) < F.length(z["y"])
+        chars = F.struct(F.split(F.when(swap, z["y"]).otherwise(z["x"]), "").alias("x"), F.split(F.when(swap, z["x"]).otherwise(z["y"]), "").alias("y"))
+        filled = lambda c: F.struct(_none_if_blank(c["x"]).alias("x"), _none_if_blank(c["y"]).alias("y"))
+        return let(chars, lambda c: let(filled(c), lambda f: within(f["x"], f["y"], edits)))
+
+    back = lambda z: F.struct(F.reverse(z["x"]).alias("x"), F.reverse(z["y"]).alias("y"))
+    pair = F.struct(x.alias("x"), y.alias("y"))
+    return let(pair, lambda a: let(_stripped(a), lambda b: let(back(b), lambda c: let(_stripped(c), decide))))
+
+
+def _none_if_blank(chars: Column) -> Column:
+    """Splitting an empty string gives one empty string; it has no characters."""
+    return F.filter(chars, lambda c: c != "")
+
+
 def within(longer: Column, shorter: Column, edits: int) -> Column:
     """Whether two arrays of characters are within ``edits``: banded bit-parallel columns folded over the shorter.
 
@@ -89,10 +129,6 @@ def within(longer: Column, shorter: Column, edits: int) -> Column:
     def word(x):
         return F.lit(x).cast("long")
 
-    def let(value, then):
-        """``then`` of a value that is computed once."""
-        return F.element_at(F.transform(F.array(value), then), 1)
-
     def matches(i):
         c = F.get(shorter, i)
         out = word(0)
@@ -120,7 +156,7 @@ def within(longer: Column, shorter: Column, edits: int) -> Column:
 
     start = F.struct(word(full ^ ((1 << (top - edits)) - 1)).alias("vp"), word(0).alias("vn"), F.least(F.lit(edits), m).alias("d"))
     distance = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["d"])
-    return F.when(m - n > edits, False).when(n == 0, m <= edits).otherwise(distance <= edits)
+    return F.when(m - n > edits, False).when(n <= 0, m <= edits).otherwise(distance <= edits)
 
 
 def links(lines: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
@@ -134,10 +170,7 @@ def links(lines: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
     texts = lines.where(n >= least).select(line_key(F.col("line")).alias("k"), "line").join(small(named), "k", "left_semi").groupBy("k").agg(F.min("line").alias("line"))
     texts = cut(texts)
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    swap = F.length("x") < F.length("y")
-    both = both.select("a", "b", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
-    both = both.select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-    return both.where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
+    return both.where(close(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 20) -> DataFrame:

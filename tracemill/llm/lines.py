@@ -5,8 +5,11 @@ within that many edits at least one segment of the shorter stands unchanged in
 the longer, shifted by no more than the edits to its left and the length
 difference allow. So each line is indexed by (length, segment number, segment)
 and probes, for each length up to ``edits`` below its own, the few substrings at
-the allowed shifts. Shared keys make candidates, and a banded bit-parallel edit
-distance (one word of 2 edits + 2 bits a column) decides.
+the allowed shifts. Lines that share a key are candidates only if their counts of
+some letters are as close as the edits allow (each edit changes two counts at
+most); this is tested inside the join, so that many lines with one long common
+segment do not come out of it in pairs. A banded bit-parallel edit distance (one
+word of 2 edits + 2 bits a column) then decides.
 
 Line texts are shuffled only for candidates; all else moves 64-bit hashes. Equal
 lines are one class from the start.
@@ -32,6 +35,29 @@ def line_key(line: Column) -> Column:
     return F.shiftleft(F.xxhash64(line), 1)
 
 
+#: Letters that are counted, modulo 16, in four bits each.
+LETTERS = "etaoinsrhldcumgb"
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of LETTERS, modulo 16, packed into a long."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft((n % 16).cast("long"), 4 * i))
+    return out
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """Sum over LETTERS of how far two packed counts are apart, the short way round 16: no more than the true sum."""
+    out = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        d = F.shiftright(a, 4 * i).bitwiseAND(F.lit(15).cast("long")) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15).cast("long"))
+        d = d.bitwiseAND(F.lit(15).cast("long"))
+        out = out + F.least(d, 16 - d)
+    return out
+
+
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """Start (from 1) and length of each segment of lines of a length; longer ones last."""
     n = edits + 1
@@ -45,7 +71,7 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
 
 
 def _signatures(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """(k, own: keys the line is indexed by, probes: keys it is looked up with), one row a class."""
+    """(k, own: keys the line is indexed by, probes: keys it is looked up with, c: letter counts), one row a class."""
     n = F.length("line")
     base = lines.where(n >= least).select(line_key(F.col("line")).alias("k"), "line", n.alias("n"))
 
@@ -58,20 +84,23 @@ def _signatures(lines: DataFrame, edits: int, least: int) -> DataFrame:
             for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
                 if gap or shift:  # at equal length without a shift it is the line's own key
                     cols[f"p{gap}_{i}_{shift + edits}"] = key(F.col("n") - gap, i, s + shift, size)
+    cols["c"] = letter_counts(F.col("line"))
     # all values of a class are equal: fixed-width minima, combined map-side
     one = base.select("k", *[c.alias(x) for x, c in cols.items()]).groupBy("k").agg(*[F.min(x).alias(x) for x in cols])
     own, probes = [x for x in cols if x[0] == "o"], [x for x in cols if x[0] == "p"]
-    return one.select("k", F.array(*own).alias("own"), F.array(*probes).alias("probes"))
+    return one.select("k", F.array(*own).alias("own"), F.array(*probes).alias("probes"), "c")
 
 
 def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(a, b) different classes, a < b, that share a key."""
     sig = _signatures(lines, edits, least)
     rows = cut(sig)
-    own = rows.select("k", F.explode("own").alias("h"))
-    probes = rows.select(F.col("k").alias("k2"), F.explode("probes").alias("h"))
-    same = own.join(own.select(F.col("k").alias("k2"), "h"), "h").where("k < k2").select("k", "k2")
-    other = own.join(probes, "h").where("k != k2").select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2"))
+    own = rows.select("k", "c", F.explode("own").alias("h"))
+    twin = own.select(F.col("k").alias("k2"), F.col("c").alias("c2"), "h")
+    probes = rows.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.explode("probes").alias("h"))
+    near = counts_apart(F.col("c"), F.col("c2")) <= 2 * edits
+    same = own.join(twin, "h").where((F.col("k") < F.col("k2")) & near).select("k", "k2")
+    other = own.join(probes, "h").where((F.col("k") != F.col("k2")) & near).select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2"))
     return same.union(other).distinct().toDF("a", "b")
 
 

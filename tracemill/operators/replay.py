@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.scalars import shard_of
 from tracemill.operators.fold import ordered_fold
 from tracemill.operators.memory import Entry, MemoryShard
-from tracemill.plans.config import MemoryConfig, split_capacity
+from tracemill.plans.config import MemoryConfig, Policy, split_capacity
 
 LOG = "shard int, seq long, op string, key long, result string, evicted array<long>, replaced boolean, usage long, entries long"
 
@@ -103,3 +103,32 @@ def hit_ratio(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     seen = log.where(F.col("result").isin("hit", "miss"))
     hits = F.count_if(F.col("result") == "hit")
     return seen.groupBy(*(by or [])).agg(hits.alias("hits"), F.count("*").alias("accesses"), F.round(hits / F.count("*"), 6).alias("hit_ratio"))
+
+
+def compare_policies(trace: DataFrame, capacity: int, shards: int, policies: dict[str, Policy], without_hints: set[str] = frozenset()) -> DataFrame:
+    """Hits, accesses and hit ratio of several policies over one trace: policy, hits, accesses, hit_ratio.
+
+    The trace is dealt, sorted and read once; every shard feeds each policy's
+    cache and hands out two numbers a policy. Policies in ``without_hints``
+    take every entry as normal.
+    """
+    capacities = split_capacity(capacity, shards)
+
+    def start(shard):
+        return {name: [MemoryShard(capacities[int(shard)], c), 0, 0] for name, c in policies.items()}
+
+    def step(states, row):
+        _, _, op, key, w, hint, ph = row
+        for name, state in states.items():
+            result = apply(state[0], op, key, w, "normal" if name in without_hints else hint, ph).result
+            state[1] += result == "hit"
+            state[2] += result in ("hit", "miss")
+        return ()
+
+    def end(shard, states):
+        for name, (_, hits, seen) in states.items():
+            yield shard, name, hits, seen
+
+    parts = ordered_fold(sharded(trace, shards), "shard", ["seq"], "shard int, policy string, hits long, accesses long", start, step, end)
+    out = parts.groupBy("policy").agg(F.sum("hits").alias("hits"), F.sum("accesses").alias("accesses"))
+    return out.withColumn("hit_ratio", F.round(F.col("hits") / F.col("accesses"), 6))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +64,7 @@ for _p in POLICIES:
 
 @query("policy_hit_ratios", O.hit_ratios())
 def policy_hit_ratios(spark, d):
-    parts = [replay.hit_ratio(replay.replay(policy_trace(spark, d, p), MemoryConfig(O.CAPACITY, O.SHARDS, c))).withColumn("policy", F.lit(p)) for p, c in POLICIES.items()]
-    return reduce(DataFrame.unionByName, parts).select("policy", "hits", "accesses", "hit_ratio")
+    return replay.compare_policies(reads(spark, d), O.CAPACITY, O.SHARDS, POLICIES, {"lru"})
 
 
 @query("fifo_hit_ratio_by_shard", f"SELECT shard, count(*) FILTER (WHERE hit) AS hits, count(*) AS accesses, round(count(*) FILTER (WHERE hit) / count(*), 6) AS hit_ratio FROM ({O.access_log('fifo')}) GROUP BY shard")

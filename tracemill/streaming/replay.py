@@ -25,7 +25,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class ReplayProcessor(StatefulProcessor):
-    """Holds a shard's cache as one pickled value and the last sequence seen."""
+    """Holds a shard's cache as one value of plain containers and the last sequence seen."""
 
     def __init__(self, config: MemoryConfig):
         self.config = config
@@ -37,7 +37,7 @@ class ReplayProcessor(StatefulProcessor):
         shard = int(key[0])
         if self.cache.exists():
             blob, last = self.cache.get()
-            state = pickle.loads(bytes(blob))
+            state = MemoryShard.restored(pickle.loads(bytes(blob)), self.config.policy)
         else:
             state, last = MemoryShard(split_capacity(self.config.capacity, self.config.shards)[shard], self.config.policy), -1
         out = []
@@ -49,7 +49,7 @@ class ReplayProcessor(StatefulProcessor):
             last = seq
             result = apply(state, op, k, weight, hint, False).result
             out.append((shard, seq, op, k, result, state.usage, len(state.entries)))
-        self.cache.update((pickle.dumps(state), int(last)))
+        self.cache.update((pickle.dumps(state.snapshot()), int(last)))
         yield pd.DataFrame(out, columns=["shard", "seq", "op", "key", "result", "usage", "entries"])
 
     def close(self) -> None:

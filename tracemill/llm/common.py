@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def slices(batches, rows: int = 1000):
+    """Arrow batches in pieces of ``rows``, so that only so many texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def keep_rows(docs: DataFrame, text_col: str, decide) -> DataFrame:
+    """The rows of ``docs``, unchanged, for which ``decide`` (texts -> booleans) says yes, scored where they lie."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in slices(batches):
+            yield b.filter(pa.array(decide(b.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: Rows up to which a narrow side of a join is sent to every task.

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import keep_rows, slices
 from tracemill.llm.textkit import U
 
 Q = 8
@@ -120,14 +121,13 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, width: int, k: int) -
 def leaks(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
     """For each text the items found: (item number, edits, where it ends), the best place of each item."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    xs = [normal(t) for t in texts]
     i = 0
-    while i < len(xs):
-        j, total = i, 0
-        while j < len(xs) and (j == i or total + len(xs[j]) <= CHUNK):
-            total += len(xs[j]) + 1
+    while i < len(texts):
+        j, total, part = i, 0, []
+        while j < len(texts) and (j == i or total < CHUNK):
+            part.append(normal(texts[j]))
+            total += len(part[-1]) + 1
             j += 1
-        part = xs[i:j]
         # a zero parts the texts: it stands in no item, so no q-gram crosses it
         ends = np.cumsum([len(x) + 1 for x in part])
         joined = np.zeros(int(ends[-1]), dtype=np.uint32)
@@ -183,7 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _finder(index: Index, item_kind: str):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = leaks(index, b.column(1).to_pylist())
             rows = [(i, *hit) for i, hits in enumerate(got) for hit in hits]
             if rows:
@@ -205,15 +205,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars:
     """The rows of ``docs`` that hold no benchmark item, unchanged; each block of items is one filter on the text in place."""
     out = docs
     for items in _blocks(benchmark, "item_id", "text", most_chars):
-        out = out.where(~_holds(Index(items, rate, least_chars))(F.col("text").cast("string")))
+        index = Index(items, rate, least_chars)
+        out = keep_rows(out, "text", lambda texts, index=index: [not hits for hits in leaks(index, texts)])
     return out
-
-
-def _holds(index: Index):
-    @F.pandas_udf("boolean")
-    def holds(t):
-        import pandas as pd
-
-        return pd.Series([bool(x) for x in leaks(index, t.tolist())], dtype=bool)
-
-    return holds

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut, held_out
+from tracemill.llm.common import cut, held_out, keep_rows
 
 BINS = 400
 SYMBOLS = b"#$%&*@^~=<>{}[]\\/_+`"
@@ -234,11 +234,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     model = train(labelled(x, labels, "quality"))
     w, a, b = model["w"], model["a"], model["b"]
 
-    @F.pandas_udf("double")
-    def score(t):
-        import pandas as pd
+    def decide(texts):
+        x = np.array([style(t) for t in texts], dtype=np.float32).reshape(-1, DIM).astype(np.float64)
+        return 1 / (1 + np.exp(-(a * (x @ w) + b))) >= threshold
 
-        x = np.array([style(v) for v in t], dtype=np.float32).reshape(-1, DIM).astype(np.float64)
-        return pd.Series(1 / (1 + np.exp(-(a * (x @ w) + b))))
-
-    return docs.where(score(F.col("text").cast("string")) >= threshold)
+    return keep_rows(docs, "text", decide)

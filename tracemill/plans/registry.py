@@ -405,10 +405,16 @@ def hybrid_read_sources(spark, d):
     return hybrid.replay_hybrid(trace, HYBRID).select("shard", "seq", "key", "source")
 
 
-@query("hybrid_write_on_insertion")
+#: On a disk that loses nothing, a key is there if it was inserted or fetched since it was last removed.
+@query("hybrid_write_on_insertion", f"""
+WITH m AS ({O.mixed_log()}), x AS (
+  SELECT *, max(CASE WHEN op = 'remove' THEN seq END) OVER p AS removed, max(CASE WHEN op <> 'remove' THEN seq END) OVER p AS written
+  FROM m WINDOW p AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT shard, seq, op, CASE WHEN op <> 'get_or_fetch' THEN NULL WHEN result = 'hit' THEN 'memory' WHEN written IS NOT NULL AND (removed IS NULL OR written > removed) THEN 'disk' ELSE 'outer' END AS source FROM x""")
 def hybrid_write_on_insertion(spark, d):
-    config = HybridConfig(HYBRID.memory, BlockConfig(blocks=6, block_size=64 << 10), "write_on_insertion")
-    return hybrid.replay_hybrid(ops(spark, d), config, admission.estimated_size(F.col("size"), 1, 1000))
+    config = HybridConfig(HYBRID.memory, HYBRID.disk, "write_on_insertion")
+    trace = ops(spark, d).withColumn("location", F.lit("default"))
+    return hybrid.replay_hybrid(trace, config, admission.estimated_size(F.col("size"), 0, 1 << 20)).select("shard", "seq", "op", "source")
 
 
 @query("hybrid_locations")

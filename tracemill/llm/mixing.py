@@ -98,8 +98,8 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", seed: int = 42, block_toke
     ends = room.where(F.col("epoch") == F.col("full")).groupBy("source").agg(F.max("key").alias("_end"))
     ends = ends.withColumnRenamed("source", "_s")
     kept = at.join(ends, at["source"].eqNullSafe(ends["_s"]), "left").where((F.col("epoch") < F.col("full")) | (F.col("key") <= F.col("_end")))
-    part = F.col("before").cast("decimal(20,0)") * blocks / F.col("quota")
-    kept = kept.withColumn("block", F.least(F.floor(part).cast("long"), F.lit(blocks - 1)))
+    part = F.expr(f"(CAST(before AS DECIMAL(20,0)) * {blocks}) div CAST(quota AS DECIMAL(20,0))")
+    kept = kept.withColumn("block", F.least(part, F.lit(blocks - 1)).cast("long"))
     inside = Window.partitionBy("block").orderBy("key", doc_id, "source", "tokens")
     return kept.withColumn("slot", (F.row_number().over(inside) - 1).cast("long")).select(*docs.columns, "epoch", "key", "weight", "block", "slot")
 

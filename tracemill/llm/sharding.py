@@ -27,9 +27,9 @@ def assign(keys: DataFrame, order: list[str], shards: int = 8, size: str = "size
     parts = ranged(keys, order)
     total = parts.agg(F.sum(size)).first()[0] or 1
     at = running(parts, order, [], {"_before": F.col(size), "_rank": F.lit(1).cast("long")})
-    # integer arithmetic in decimals: exact at any size
-    middle = (F.lit(2).cast("decimal(20,0)") * F.col("_before") + F.col(size)) * F.lit(shards)
-    at = cut(at.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / F.lit(2 * total).cast("decimal(20,0)"))).cast("int")))
+    # whole numbers of 38 digits and whole division: exact at any size
+    at = at.withColumn("_middle", F.expr(f"CAST((CAST(_before AS DECIMAL(20,0)) * 2 + `{size}`) AS DECIMAL(30,0)) * {shards}")).withColumn("_total", F.lit(2 * total).cast("decimal(30,0)"))
+    at = cut(at.withColumn("shard", F.least(F.lit(shards - 1), F.expr("_middle div _total")).cast("int")).drop("_middle", "_total"))
     starts = at.groupBy("shard").agg(F.min("_rank").alias("_start"))  # a row a shard
     return at.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_rank") - F.col("_start")).drop("_before", "_rank", "_start", "_tie", "_part")
 

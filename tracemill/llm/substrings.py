@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut
+from tracemill.llm.common import cut, slices
 from tracemill.llm.textkit import U, Words, chunks, grams, mix, sliding
 
 GRAM = 8  # words in an anchor's gram, or the window's size if smaller
@@ -129,7 +129,7 @@ def _survey(docs: DataFrame, kind: str, size: int, log2: int) -> DataFrame:
             m = len(got)
             return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["id", "n", "sha", "block", "cells"])
 
-        for b in batches:
+        for b in slices(batches):
             normal, id_type = _normal(b.column(1)), b.column(0).type
             shas, counts = _sha(normal), [np.zeros(0, np.int64)]
             for i, j in chunks(normal):
@@ -160,7 +160,7 @@ def _count_windows(docs: DataFrame, size: int, log2: int, sketch) -> DataFrame:
             got = list(partial.blocks())
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["block", "cells"])
 
-        for b in batches:
+        for b in slices(batches):
             normal = _normal(b.column(0))
             for i, j in chunks(normal):
                 w = Words(normal[i:j])
@@ -247,7 +247,7 @@ def _windows(docs: DataFrame, size: int, log2: int, sketch, second, again: bool)
         bits, bits2 = sketch.value, second.value
         seen: set[bytes] = set()
         number = (int(again) << 62) + (TaskContext.get().partitionId() << 36)
-        for b in batches:
+        for b in slices(batches):
             normal = [zlib.decompress(t) for t in b.column(0).to_pylist()] if again else _normal(b.column(0))
             real = np.array(b.column(1).to_pylist(), dtype=bool) if again else np.zeros(len(normal), dtype=bool)
             for i, j in chunks(normal):

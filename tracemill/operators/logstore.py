@@ -11,10 +11,14 @@ from tracemill.plans.config import BlockConfig
 
 
 def latest(log: DataFrame, key: str = "hash", sequence: str = "sequence") -> DataFrame:
-    """The latest version of each key. ``max_by`` combines map-side, so a hot key never fills a task."""
-    rest = [c for c in log.columns if c != key]
-    best = log.groupBy(key).agg(F.max_by(F.struct(*rest), sequence).alias("r"))
-    return best.select(key, "r.*")
+    """The latest version of each key. ``max_by`` combines map-side, so a hot key never fills a task.
+
+    One ``max_by`` a column keeps fixed-width logs in hash aggregation; all of
+    them see the same rows in the same order, so they pick the same row.
+    """
+    rest = [c for c in log.columns if c not in (key, sequence)]
+    best = log.groupBy(key).agg(F.max(sequence).alias(sequence), *[F.max_by(c, sequence).alias(c) for c in rest])
+    return best.select(*log.columns)
 
 
 def live(log: DataFrame, key: str = "hash", sequence: str = "sequence", tombstone: str = "is_tombstone") -> DataFrame:

@@ -114,7 +114,7 @@ class _Partial:
 
 
 #: Updates a task holds before it sends them, so that its memory stays bounded whatever its partition holds.
-HELD = 6_000_000
+HELD = 3_000_000
 
 
 def _survey(docs: DataFrame, kind: str, size: int, log2: int) -> DataFrame:
@@ -332,7 +332,7 @@ def _repeated(runs: DataFrame) -> DataFrame:
     return whole.union(part)
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, sketch_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, sketch_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
     """Find and cut repeated passages.
 
     Returns (per document: id, n, sha of its words; per distinct text that

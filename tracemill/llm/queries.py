@@ -20,6 +20,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": lines.OP1_SQL,
+    "op4_substring": substrings.OP4_SQL,
     "op8_sharding": sharding.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

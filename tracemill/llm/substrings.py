@@ -376,3 +376,16 @@ def op4_substring(docs: DataFrame) -> DataFrame:
         F.when(F.col("hit"), F.coalesce("n_removed", "n")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("hit"), F.col("kept_sha256")).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
     )
+
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM starts),
+repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT r, i FROM windows SEMI JOIN repeated USING (s)),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM hits)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

@@ -88,13 +88,14 @@ def _signatures(lines: DataFrame, edits: int, least: int) -> DataFrame:
     # all values of a class are equal: fixed-width minima, combined map-side
     one = base.select("k", *[c.alias(x) for x, c in cols.items()]).groupBy("k").agg(*[F.min(x).alias(x) for x in cols])
     own, probes = [x for x in cols if x[0] == "o"], [x for x in cols if x[0] == "p"]
+    # no value is null, so this keeps every row; it makes all uses read all columns, so that the exchange behind is made once
+    one = one.where(" AND ".join(f"{x} IS NOT NULL" for x in cols))
     return one.select("k", F.array(*own).alias("own"), F.array(*probes).alias("probes"), "c")
 
 
 def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(a, b) different classes, a < b, that share a key."""
-    sig = _signatures(lines, edits, least)
-    rows = cut(sig)
+    rows = _signatures(lines, edits, least)
     own = rows.select("k", "c", F.explode("own").alias("h"))
     twin = own.select(F.col("k").alias("k2"), F.col("c").alias("c2"), "h")
     probes = rows.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.explode("probes").alias("h"))

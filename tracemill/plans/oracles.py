@@ -250,3 +250,33 @@ w(shard, i, q, seq, result) AS (
     t.seq, CASE WHEN t.op <> 'get_or_fetch' THEN 'done' WHEN list_contains(r.q, t.key) THEN 'hit' ELSE 'miss' END
   FROM w r JOIN t ON t.shard = r.shard AND t.i = r.i + 1)
 SELECT CAST(shard AS INTEGER) AS shard, seq, result, CAST(len(q) AS BIGINT) AS entries FROM w WHERE i > 0"""
+
+
+def locations_log() -> str:
+    """Signups live in memory only, purchases on disk only; q holds keys and whether they are written when they leave, dsk the disk's keys.
+
+    What is read from the disk is young and not written again; the disk loses nothing.
+    """
+    kw = "CAST([] AS STRUCT(k BIGINT, w BOOLEAN)[])"
+    walk = f"""
+w(shard, i, q, dsk, seq, op, source) AS (
+  SELECT shard, CAST(0 AS BIGINT), {kw}, {NONE}, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) {START}
+  UNION ALL
+  SELECT shard, i,
+    CASE WHEN op = 'read' AND had THEN q WHEN op IN ('remove', 'on_disk') THEN list_filter(q, lambda x: x.k <> key)
+      ELSE list_append(list_filter(q1, lambda x: x.k <> key), {{'k': key, 'w': op = 'read' AND NOT stored}}) END,
+    CASE WHEN op = 'remove' THEN list_filter(dsk, lambda x: x <> key) WHEN op = 'on_disk' THEN list_append(list_filter(dsk, lambda x: x <> key), key)
+      WHEN goes AND q[1].w THEN list_append(list_filter(dsk, lambda x: x <> q[1].k), q[1].k) ELSE dsk END,
+    seq, op, CASE WHEN op = 'read' THEN CASE WHEN had THEN 'memory' WHEN stored THEN 'disk' ELSE 'outer' END END
+  FROM (
+    SELECT *, CASE WHEN goes THEN q[2:] ELSE q END AS q1
+    FROM (
+      SELECT *, len(q) >= {PER_SHARD} AND (op = 'in_mem' OR op = 'read' AND NOT had) AS goes
+      FROM (
+        SELECT t.shard, t.i, t.seq, t.key, t.kind AS op, r.q, r.dsk, list_contains(list_transform(r.q, lambda x: x.k), t.key) AS had, list_contains(r.dsk, t.key) AS stored
+        FROM w r JOIN t ON t.shard = r.shard AND t.i = r.i + 1))))"""
+    trace = f"""
+t AS (
+  SELECT user_id % {SHARDS} AS shard, row_number() OVER (PARTITION BY user_id % {SHARDS} ORDER BY event_id) AS i, event_id AS seq, user_id AS key,
+    CASE event_type WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'on_disk' WHEN 'signup' THEN 'in_mem' ELSE 'read' END AS kind FROM events)"""
+    return f"WITH RECURSIVE {trace}, {walk} SELECT CAST(shard AS INTEGER) AS shard, seq, source FROM w WHERE i > 0"

@@ -417,9 +417,14 @@ def hybrid_write_on_insertion(spark, d):
     return hybrid.replay_hybrid(trace, config, admission.estimated_size(F.col("size"), 0, 1 << 20)).select("shard", "seq", "op", "source")
 
 
-@query("hybrid_locations")
+@query("hybrid_locations", O.locations_log())
 def hybrid_locations(spark, d):
-    config = HybridConfig(MemoryConfig(O.CAPACITY, O.SHARDS, Lru()), BlockConfig(blocks=6, block_size=64 << 10, pickers=("invalid_ratio", "fifo")))
+    return hybrid.replay_hybrid(ops(spark, d), HYBRID).select("shard", "seq", "source")
+
+
+@query("hybrid_small_disk")
+def hybrid_small_disk(spark, d):
+    config = HybridConfig(MemoryConfig(O.CAPACITY, O.SHARDS, Lru()), BlockConfig(blocks=6, block_size=64 << 10))
     log = hybrid.replay_hybrid(ops(spark, d), config)
     return log.groupBy("op", "result", "source").agg(F.count("*").alias("n"))
 

@@ -242,8 +242,8 @@ def block_states(spark, d):
     newest = logstore.latest(e).select("hash", F.col("sequence").alias("newest"))
     per = e.join(newest, "hash").withColumn("block", F.floor(F.col("sequence") / 1000).cast("long"))
     blocks = per.groupBy("block").agg(F.sum(F.when(F.col("sequence") < F.col("newest"), F.col("size")).otherwise(0)).alias("invalid"), F.min("sequence").alias("since"))
-    last = blocks.agg(F.max("block").alias("_last"))
-    return blocks.join(F.broadcast(last)).withColumn("evictable", F.col("block") < F.col("_last")).drop("_last")
+    last = e.agg(F.floor(F.max("sequence") / 1000)).first()[0]
+    return blocks.withColumn("evictable", F.col("block") < F.lit(last))
 
 
 STATES_SQL = """
@@ -449,9 +449,9 @@ def fetch_errors_log(spark, d):
 @query("lifecycle_operations_log", O.lifecycle_log())
 def lifecycle_operations_log(spark, d):
     trace = reads(spark, d).select((F.col("seq") * 2).alias("seq"), "op", "key", "weight")
-    quarter = table(spark, d, "events").agg(F.expr("(max(event_id) + 1) div 4").alias("q"))
+    quarter = table(spark, d, "events").agg(F.expr("(max(event_id) + 1) div 4")).first()[0]
     for k, op in O.STEPS.items():
-        rows = spark.range(O.SHARDS).join(F.broadcast(quarter)).select((2 * F.col("q") * k - 1).alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
+        rows = spark.range(O.SHARDS).select(F.lit(2 * quarter * k - 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
         trace = trace.unionByName(rows)
     return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())).select("shard", "seq", "result", "entries")
 

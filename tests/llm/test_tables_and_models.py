@@ -147,6 +147,28 @@ def test_grammar_scores_clauses_not_words():
     assert score("They said idiot.") < score("Idiot.") and score("I will kill you.") > score("I will kill time.") and score("A fine day.") == 0
 
 
+def test_patterns_come_from_different_texts_not_from_copies():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts, labels = [], []
+    base = [word() for _ in range(80)]
+    for _ in range(20):
+        near = list(base)
+        near[rng.randrange(80)] = word()
+        texts.append(" ".join(near))
+        labels.append(1)
+    for k in range(20):
+        texts.append(" ".join([word() for _ in range(60)] + ["zonkus", "quibl" + word()[:3], "quibl" + word()[:3]]))
+        labels.append(1)
+    for _ in range(300):
+        texts.append(" ".join(word() for _ in range(60)))
+        labels.append(0)
+    words, beginnings = toxicity.learn_patterns(texts, labels)
+    assert set(words) == {"zonkus"} and set(beginnings) == {"quibl"}
+
+
 def brute_neighbours(rows, every, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}

@@ -16,8 +16,10 @@ into a score.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -137,6 +139,22 @@ class Grammar:
 MEASURES = 9
 
 
+def _unlike(texts: list[str], labels: list[int], shingle: int = 5, least: int = 4) -> tuple[list[str], list[int]]:
+    """One text of each group of near copies, so that copies don't make a text's rare words look significant.
+
+    Texts are near copies if they share one of their few least shingle hashes.
+    """
+    seen, out = set(), ([], [])
+    for text, label in zip(texts, labels):
+        words = text.lower().split()
+        own = heapq.nsmallest(least, {zlib.crc32(" ".join(words[i : i + shingle]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - shingle + 1))})
+        if seen.isdisjoint(own):
+            out[0].append(text)
+            out[1].append(label)
+        seen.update(own)
+    return out
+
+
 def learn_patterns(texts: list[str], labels: list[int], log_chance: float = 14.0, most: int = 2000) -> tuple[dict[str, float], dict[str, float]]:
     """Words and word beginnings that stand in toxic texts far more often than chance allows.
 
@@ -145,8 +163,10 @@ def learn_patterns(texts: list[str], labels: list[int], log_chance: float = 14.0
     than one pattern in a million passes, and an occurrence outside toxic texts
     weighs heavily against it. A beginning needs three different words in toxic
     texts, else the word itself is the pattern; of nested beginnings the
-    shortest is kept.
+    shortest is kept, made longer while that loses next to none of its texts.
+    Of near copies one text counts.
     """
+    texts, labels = _unlike(texts, labels)
     p = min(0.5, max(1e-3, sum(labels) / max(1, len(labels))))
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     split = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in texts]
@@ -173,7 +193,16 @@ def learn_patterns(texts: list[str], labels: list[int], log_chance: float = 14.0
     starts = {k[:-1] for k in keep if k[-1] == "*"}
     short = {b for b in starts if not any(b[:n] in starts for n in range(3, len(b)))}
     words = {k: strong[k] for k in keep if k[-1] != "*" and not any(k[:n] in short and len(k) > n for n in range(3, 9))}
-    return dict(list(words.items())[:most]), {b: strong[b + "*"] for b in sorted(short)[:most]}
+    longer: dict[str, list[str]] = {}
+    for b in begin:
+        longer.setdefault(b[:-1], []).append(b)
+
+    def grown(b):
+        while more := [x for x in longer.get(b, ()) if seen[1][x + "*"] >= 0.95 * seen[1][b + "*"]]:
+            b = more[0]
+        return b
+
+    return dict(list(words.items())[:most]), {grown(b): strong[b + "*"] for b in sorted(short)[:most]}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:

@@ -169,7 +169,8 @@ def learn_patterns(texts: list[str], labels: list[int], log_chance: float = 14.0
     texts, labels = _unlike(texts, labels)
     p = min(0.5, max(1e-3, sum(labels) / max(1, len(labels))))
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    split = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in texts]
+    same: dict[str, str] = {}  # one object a word, whatever texts it stands in
+    split = [{same.setdefault(w, w) for w in re.findall(r"[^\W\d_]{3,}", t.lower())} for t in texts]
     for ws, y in zip(split, labels):
         if y:
             seen[1].update(ws | {w[:n] + "*" for w in ws for n in range(3, min(9, len(w)))})

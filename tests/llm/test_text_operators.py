@@ -113,6 +113,40 @@ def test_one_of_each_catches_near_copies_and_leaves_others(docs_of, odd, nothing
     assert simhash.one_of_each(nothing).count() == 0
 
 
+def brute_groups(rows, similarity=0.8):
+    """[(id, text)] -> {id: least id of the group}, by the Jaccard similarity of all pairs."""
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    group = {i: i for i, _ in rows}
+
+    def find(i):
+        return i if group[i] == i else find(group[i])
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(rows[a][0]), find(rows[b][0])
+            group[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+def test_copies_with_a_passage_put_in_or_cut_are_found(docs_of):
+    rng = random.Random(11)
+    new = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(30):
+        size = rng.choice([60, 150, 500])
+        base = new(size)
+        at = rng.randrange(size)
+        rows += [(10 * g, " ".join(base), "a"), (10 * g + 1, " ".join(base + new(size // 6)), "a"), (10 * g + 2, " ".join(base[size // 8 :]), "a")]
+        rows += [(10 * g + 3, " ".join(base[:at] + new(size // 10) + base[at:]), "a")]
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs_of(rows)).collect()}
+    want = brute_groups([(i, t) for i, t, _ in rows])
+    assert got == want and len(set(want.values())) < 45
+
+
 # -- substrings ------------------------------------------------------------------------------------------------------
 
 

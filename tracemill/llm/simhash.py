@@ -12,6 +12,7 @@ only a spanning forest of the verified links leaves it (at most m-1 rows).
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -20,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut, small
+from tracemill.llm.common import cut, slices, small
 from tracemill.llm.graph import components
-from tracemill.llm.textkit import mix
+from tracemill.llm.textkit import Words, chunks, grams, mix
 
 BLOCKS, WIDTH = 8, 8
 #: Shingles hashed at a time, so that a very long text needs bounded memory beside itself.
@@ -78,12 +79,8 @@ def _probes(free: np.uint64, distance: int) -> np.ndarray:
     return np.array([np.bitwise_or.reduce(c) for k in range(1, distance + 1) for c in combinations(bits, k)], dtype=np.uint64)
 
 
-def _forest(fps: np.ndarray, free: np.uint64, distance: int, direct: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among the sorted distinct ``fps`` of one bucket.
-
-    With ``direct`` each value comes with its nearest and its least smaller
-    neighbour instead, so that every row is a link itself.
-    """
+def _forest(fps: np.ndarray, free: np.uint64, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links among the sorted distinct ``fps`` of one bucket."""
     m = len(fps)
     if m <= 64:
         i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance, 1))
@@ -95,12 +92,6 @@ def _forest(fps: np.ndarray, free: np.uint64, distance: int, direct: bool) -> tu
             left.append(hit)
             right.append(at[hit])
         i, j = np.concatenate(left), np.concatenate(right)
-    if direct:
-        near = np.lexsort((i, np.bitwise_count(fps[i] ^ fps[j]), j))
-        least = np.lexsort((i, j))
-        picks = [o[np.concatenate([[True], j[o][1:] != j[o][:-1]])] for o in (near, least) if len(o)]
-        own = np.unique(np.concatenate([np.zeros(0, np.int64), *picks]))
-        return fps[j[own]], fps[i[own]]
     label = np.arange(m)
     while len(i):
         low = np.minimum(label[i], label[j])
@@ -115,8 +106,8 @@ def _forest(fps: np.ndarray, free: np.uint64, distance: int, direct: bool) -> tu
     return fps[own], fps[label[own]]
 
 
-def links(values: DataFrame, distance: int = 2, direct: bool = False) -> DataFrame:
-    """(fp) distinct longs -> (a, b): links within ``distance`` bits, a spanning forest of each bucket (or as ``_forest`` says)."""
+def links(values: DataFrame, distance: int = 2) -> DataFrame:
+    """(fp) distinct longs -> (a, b): links within ``distance`` bits, a spanning forest of each bucket."""
     masks = block_masks(distance)
     key = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("t") + 1).bitwiseAND(F.col("fp"))
     # one pass over (table, value); each bucket is whole in one task and bounded by 2^(8 distance) values
@@ -134,7 +125,7 @@ def links(values: DataFrame, distance: int = 2, direct: bool = False) -> DataFra
             ends = np.append(starts[1:], len(t))
             left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                x, y = _forest(np.sort(f[s:e]), ~wide[t[s]], distance, direct)
+                x, y = _forest(np.sort(f[s:e]), ~wide[t[s]], distance)
                 left.append(x)
                 right.append(y)
             a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
@@ -188,47 +179,131 @@ def _content(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), 1)
 
 
-def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles (fewer words: the whole sequence)."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    parts = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in parts), dtype=np.uint64))
+def _normal(texts) -> list[bytes]:
+    return [b" ".join(_words(t)) for t in texts]
 
 
-def word_prints(docs: DataFrame, prints: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, c, f0, f1, ...): a hash of the text's word sequence and ``prints`` independent fingerprints of its distinct words."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    salts = [np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & (1 << 64) - 1) for r in range(prints)]
+def _sets(normal: list[bytes], shingle: int):
+    """Sorted distinct 64-bit hashes of each text's word shingles (fewer words: the whole sequence), text by text."""
+    for i, j in chunks(normal):
+        w = Words(normal[i:j])
+        g = grams(w.hashes(), shingle)
+        for t, at, n in zip(normal[i:j], w.first.tolist(), w.counts.tolist()):
+            if n >= shingle:
+                yield np.unique(g[at : at + n - shingle + 1])
+            else:
+                yield np.array([xxhash.xxh64_intdigest(t, 42)] if n else [], dtype=np.uint64)
 
-    def row(text):
-        words = _words(text)
-        c = _content(words)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), dtype=np.uint64)
-        out = [c]
-        for salt in salts:
-            bits = np.unpackbits(mix(h + salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(h) else np.zeros((1, 64), np.uint8)
-            out.append(int(np.packbits(2 * _column_sums(bits) > len(h), bitorder="little").view("<u8")[0]))
-        return out
 
-    names = ["c", *[f"f{r}" for r in range(prints)]]
+def contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, c): a hash of each text's word sequence."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        for b in slices(batches):
+            c = np.array([_content(_words(t)) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c)], names=["id", "c"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, c long")
+
+
+#: log2 of the counters that tell common shingles from rare ones, and of those in a piece.
+COUNTERS, PIECE = 22, 18
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _commonness(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Counts of shingles by slot (2^COUNTERS, up to 65535). They only order shingles, so what shares a slot does no harm."""
+    width = 1 << PIECE
+
+    def count(batches):
+        total = np.zeros(1 << COUNTERS, dtype=np.uint32)
+        for b in slices(batches):
+            for s in _sets(_normal(b.column(0).to_pylist()), shingle):
+                np.add.at(total, _slot(s), 1)
+        parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, width)
+        some = [i for i, x in enumerate(parts) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], names=["piece", "n"])
+
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            x = np.array([row(t.as_py()) for t in b.column(1)], dtype=np.uint64).reshape(-1, prints + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(prints + 1))], names=["id", *names])
+            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(n), dtype=np.uint8).astype(np.uint32)
+        some = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.minimum(total[i], 65535).astype("<u2").tobytes() for i in some], pa.binary())], names=["piece", "n"])
+
+    out = np.zeros(1 << COUNTERS, dtype=np.uint16)
+    for r in texts.mapInArrow(count, "piece int, n binary").repartition("piece").mapInArrow(merge, "piece int, n binary").toLocalIterator():
+        out[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(bytes(r["n"]), dtype="<u2")
+    return out
+
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+def _prefixes(texts: DataFrame, shingle: int, similarity: float, common) -> DataFrame:
+    """(h, c, n, pos): the rarest of the n shingles of each text, as many as sets that are ``similarity`` alike must share one of."""
+
+    def run(batches):
+        counts = common.value
+        for b in slices(batches):
+            normal = _normal(b.column(0).to_pylist())
+            out = [(np.zeros(0, np.uint64), 0, 0)]
+            for t, s in zip(normal, _sets(normal, shingle)):
+                n = len(s)
+                first = np.lexsort((s, counts[_slot(s)]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                out.append((s[first], xxhash.xxh64_intdigest(t, 1), n))
+            size = [len(h) for h, _, _ in out]
+            c = np.repeat(np.array([c for _, c, _ in out], dtype=np.uint64), size).view(np.int64)
+            pos = np.concatenate([np.arange(k) for k in size])
+            cols = [np.concatenate([h for h, _, _ in out]).view(np.int64), c, np.repeat([n for _, _, n in out], size).astype(np.int32), pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "c", "n", "pos"])
+
+    return texts.mapInArrow(run, "h long, c long, n int, pos int")
+
+
+def _grouped(batches):
+    """Arrow batches sorted by their first column as lists of arrays that hold whole groups."""
+    held = None
+    for b in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if len(held[0]):
+            at = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on in the next batch
+            if at:
+                yield [x[:at] for x in held]
+            held = [x[at:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(h, c, n, pos, low, high): the prefix shingles that stand in several texts, with the least and the greatest text of each."""
+
+    def run(batches):
+        for h, c, n, pos in _grouped(batches):
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])  # copies bring the same rows
+            h, c, n, pos = h[new], c[new], n[new], pos[new]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            ends = np.append(starts[1:], len(h))
+            size = np.repeat(ends - starts, ends - starts)
+            low, high = np.repeat(c[starts], ends - starts), np.repeat(c[ends - 1], ends - starts)
+            keep = size > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, n, pos, low, high)], names=["h", "c", "n", "pos", "low", "high"])
+
+    dealt = prefixes.repartition("h").sortWithinPartitions("h", "c")
+    return dealt.mapInArrow(run, "h long, c long, n int, pos int, low long, high long")
 
 
 def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The (a, b) edges whose texts' shingle sets have at least the Jaccard similarity. ``texts``: (t), all that are asked for."""
 
     def sets(batches):
-        for b in batches:
-            words = [_words(t.as_py()) for t in b.column(0)]
-            c = np.array([_content(w) for w in words], dtype=np.uint64).view(np.int64)
-            s = pa.array([_shingles(w, shingle).view(np.int64) for w in words], pa.list_(pa.int64()))
+        for b in slices(batches):
+            normal = _normal(b.column(0).to_pylist())
+            c = np.array([xxhash.xxh64_intdigest(t, 1) for t in normal], dtype=np.uint64).view(np.int64)
+            s = pa.array([x.view(np.int64) for x in _sets(normal, shingle)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c), s], names=["c", "s"])
 
     def compare(batches):
@@ -245,36 +320,42 @@ def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, prints: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) by links between texts whose sets of ``shingle``-word shingles are at least ``similarity`` alike.
 
-    Candidates come from ``prints`` independent SimHash fingerprints of the
-    distinct words: near copies differ in few words, so a fingerprint of words
-    moves by fewer bits than one of shingles does, and the further prints make up
-    for each one's misses. Each candidate link is then verified on the full
-    shingle sets, so no link is false; of J >= 0.8 pairs about nine in ten are
-    found directly, more over others of their group. Rows with equal word
-    sequences are always together. Null and empty texts are one group.
+    Candidates come from prefixes: of two sets of n and m shingles that are so
+    much alike, with all shingles in one order, the first n - ceil(similarity n)
+    + 1 of the one and as many of the other by m have one in common, wherever
+    words were put in, left out or replaced. Shingles are ordered by how common
+    they are, rare ones first, so that a passage that many texts hold seldom
+    makes candidates. The texts of one shingle are held against its least and
+    its greatest. Each candidate link is verified on the full shingle sets, so
+    no link is false. Rows with equal word sequences are always together. Null
+    and empty texts are one group.
     """
-    rows = cut(word_prints(docs, prints, id_col, text_col))
-    nodes = rows.select("c", *[f"f{r}" for r in range(prints)]).distinct()
-    edges = None
-    for r in range(prints):
-        least = nodes.groupBy(F.col(f"f{r}").alias("fp")).agg(F.min("c").alias("c"))
-        same = nodes.select("c", F.col(f"f{r}").alias("fp")).join(least.toDF("fp", "b"), "fp").where("c != b").select(F.col("c").alias("a"), "b")
-        close = links(least.select("fp"), distance, direct=True)
-        named = close.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        part = same.union(named)
-        edges = part if edges is None else edges.union(part)
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows = cut(contents(docs, id_col, text_col))
+    texts = docs.select(F.col(text_col).cast("string").alias("t"))
+    common = docs.sparkSession.sparkContext.broadcast(_commonness(texts, shingle))
+    shared = cut(_shared(_prefixes(texts, shingle, similarity, common)))
+    edges = _ordered(shared.select(F.col("c").alias("a"), F.col("low").alias("b")).union(shared.select("c", "high")))
+    roots = components(_checked(cut(edges), rows, docs, id_col, text_col, shingle, similarity))
+    named = rows.select("id", "c").join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = cut(named.select("id", "root"))
+    return named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """Each edge once, the greater end first."""
+    return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _checked(edges: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The materialised (a, b) ``edges`` that hold, with the texts read from ``docs``."""
     asked = edges.select(F.col("a").alias("c")).union(edges.select("b")).distinct()
     # one row of each text asked for; its id leads back to the text
     one = cut(rows.where("id IS NOT NULL").join(asked, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(small(one.select("id").distinct()), "id", "left_semi").select("t")
-    roots = components(_verified(edges, text, shingle, similarity))
-    named = rows.select("id", "c").join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    named = cut(named.select("id", "root"))
-    return named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+    return _verified(edges, text, shingle, similarity)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -147,6 +147,25 @@ def test_copies_with_a_passage_put_in_or_cut_are_found(docs_of):
     assert got == want and len(set(want.values())) < 45
 
 
+def test_copies_are_found_beside_texts_that_share_words_or_passages(docs_of):
+    """Pairs whose own link counts, among others of the same words or the same common passage that offer themselves first."""
+    rng = random.Random(12)
+    new = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    rows, common = [], new(40)
+    for g in range(12):
+        base = new(150)
+        for k in range(6):
+            mixed = list(base)
+            rng.shuffle(mixed)
+            rows.append((20 * g + k, " ".join(mixed), "a"))
+        # a chain in which each is near the next alone
+        for k in range(6):
+            rows.append((20 * g + 6 + k, " ".join(common + base[10 * k : 10 * k + 95]), "a"))
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs_of(rows)).collect()}
+    assert got == brute_groups([(i, t) for i, t, _ in rows])
+    assert all(got[20 * g + 11] == 20 * g + 6 and got[20 * g + 5] == 20 * g + 5 for g in range(12))
+
+
 # -- substrings ------------------------------------------------------------------------------------------------------
 
 

@@ -278,8 +278,15 @@ def _grouped(batches):
         yield held
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """(h, c, n, pos, low, high): the prefix shingles that stand in several texts, with the least and the greatest text of each."""
+def _may(x, i, y, j, similarity: float):
+    """Whether sets of x and y shingles whose first common one stands at places i and j can be ``similarity`` alike."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    return (np.minimum(x - i, y - j) >= similarity / (1 + similarity) * (x + y) - 1e-6) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
+
+
+def _shared(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(h, c, n, pos, low, high): the prefix shingles that stand in several texts, with the least and the greatest text of each, or
+    the own one where these can't be alike."""
 
     def run(batches):
         for h, c, n, pos in _grouped(batches):
@@ -288,7 +295,8 @@ def _shared(prefixes: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             ends = np.append(starts[1:], len(h))
             size = np.repeat(ends - starts, ends - starts)
-            low, high = np.repeat(c[starts], ends - starts), np.repeat(c[ends - 1], ends - starts)
+            at = [np.repeat(x, ends - starts) for x in (starts, ends - 1)]
+            low, high = (np.where(_may(n, pos, n[x], pos[x], similarity), c[x], c) for x in at)
             keep = size > 1
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, n, pos, low, high)], names=["h", "c", "n", "pos", "low", "high"])
 
@@ -328,22 +336,74 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     + 1 of the one and as many of the other by m have one in common, wherever
     words were put in, left out or replaced. Shingles are ordered by how common
     they are, rare ones first, so that a passage that many texts hold seldom
-    makes candidates. The texts of one shingle are held against its least and
-    its greatest. Each candidate link is verified on the full shingle sets, so
-    no link is false. Rows with equal word sequences are always together. Null
-    and empty texts are one group.
+    makes candidates. The texts of one shingle are first held against its least
+    and its greatest, which gathers most of a group at little cost; then all
+    its pairs that are not together yet are tried, so none is left out. Each
+    candidate link is verified on the full shingle sets, so no link is false.
+    Rows with equal word sequences are always together. Null and empty texts
+    are one group.
     """
     rows = cut(contents(docs, id_col, text_col))
     texts = docs.select(F.col(text_col).cast("string").alias("t"))
     common = docs.sparkSession.sparkContext.broadcast(_commonness(texts, shingle))
-    shared = cut(_shared(_prefixes(texts, shingle, similarity, common)))
-    edges = _ordered(shared.select(F.col("c").alias("a"), F.col("low").alias("b")).union(shared.select("c", "high")))
-    roots = components(_checked(cut(edges), rows, docs, id_col, text_col, shingle, similarity))
+    shared = cut(_shared(_prefixes(texts, shingle, similarity, common), similarity))
+    tried = cut(_ordered(shared.select(F.col("c").alias("a"), F.col("low").alias("b")).union(shared.select("c", "high"))))
+    held = cut(_checked(tried, rows, docs, id_col, text_col, shingle, similarity))
+    rest = _ordered(_apart(shared, components(held), similarity)).join(tried, ["a", "b"], "left_anti")
+    roots = components(held.union(_checked(cut(rest), rows, docs, id_col, text_col, shingle, similarity)))
     named = rows.select("id", "c").join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = cut(named.select("id", "root"))
     return named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
 
 
+#: Rows of a block that are held against its others at once.
+ROWS = 256
+
+
+def _apart(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts that share a prefix shingle, are not of one root and can be ``similarity`` alike.
+
+    Sizes and places decide that: texts whose first common shingle stands at
+    given places have no more in common than what follows in both.
+    """
+
+    def pairs(c, n, pos, root):
+        for s in range(0, len(c), ROWS):
+            e = min(s + ROWS, len(c))
+            # sizes ascend: partners come later and aren't too long for the longest here
+            far = int(np.searchsorted(n, n[e - 1] / similarity + 1e-6, side="right"))
+            i, j = slice(s, e), slice(s, far)
+            ok = (root[i, None] != root[None, j]) & (np.arange(s, e)[:, None] < np.arange(s, far)[None, :])
+            ok &= _may(n[i, None], pos[i, None], n[None, j], pos[None, j], similarity)
+            u, v = np.nonzero(ok)
+            if len(u):
+                yield c[s + u], c[s + v]
+
+    def run(batches):
+        for h, c, n, pos, root in _grouped(batches):
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            ends = np.append(starts[1:], len(h))
+            out, held = [], 0
+            for s, e in zip(starts, ends):
+                if (root[s:e] != root[s]).any():
+                    for a, b in pairs(c[s:e], n[s:e], pos[s:e], root[s:e]):
+                        out.append((a, b))
+                        held += len(a)
+                        if held > 1_000_000:
+                            yield sent(out)
+                            out, held = [], 0
+            if out:
+                yield sent(out)
+
+    def sent(out):
+        pairs_ = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs_[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    own = shared.select("h", "c", "n", "pos").join(small(roots).toDF("c", "root"), "c", "left")
+    dealt = own.select("h", "c", "n", "pos", F.coalesce("root", "c").alias("root")).repartition("h").sortWithinPartitions("h", "n")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Each edge once, the greater end first."""
     return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

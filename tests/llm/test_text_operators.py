@@ -206,6 +206,19 @@ def test_a_sketch_too_small_only_lets_more_through(spark, sf):
     assert sorted((bytes(r["sha"]), r["n_removed"]) for r in lost.collect() if r["n_removed"]) == sorted((bytes(r["sha"]), r["n_removed"]) for r in wide.collect() if r["n_removed"])
 
 
+def test_repeated_lines_with_one_changed_word_under_a_full_sketch(docs_of):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = [(1000 + i, " ".join(word() for _ in range(400)), "s") for i in range(150)]  # fills the sketch's 1,024 counters
+    for g in range(12):
+        line = [word() for _ in range(10)]
+        rows += [(2 * g + k, " ".join(line * 8 + [word()] + line * 8), "s") for k in range(2)]
+    docs = docs_of(rows)
+    n, lost = substrings.strip_repeats(docs, sketch_bits=1 << 10)
+    want = Counter(removed for _, _, removed, _ in brute_strip([(i, t) for i, t, _ in rows]).elements() if removed)
+    assert Counter(r["n_removed"] for r in lost.collect() if r["n_removed"] is None or r["n_removed"]) == want
+
+
 def test_grams_and_sliding():
     x = np.arange(50, dtype=np.uint64) % np.uint64(7)
     for size in (1, 2, 3, 5, 8, 35):

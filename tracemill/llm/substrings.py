@@ -279,8 +279,10 @@ def _windows(docs: DataFrame, size: int, log2: int, sketch, second, again: bool)
                     for k in np.unique(owner):
                         if not copy[k]:
                             out.append((number + int(k), shas[k], zlib.compress(part[k], 1), False, None, None, None))
-                    # runs of neighbouring windows with one anchor
-                    cuts = np.flatnonzero((np.diff(cand) != 1) | (np.diff(owner) != 0) | (least[cand[1:]] != least[cand[:-1]])) + 1
+                    # runs of neighbouring windows with one anchor place: an equal gram that comes in last is a new place
+                    gram = min(GRAM, size)
+                    last = grams(x, gram)[cand + size - gram] | U(1)
+                    cuts = np.flatnonzero((np.diff(cand) != 1) | (np.diff(owner) != 0) | (least[cand[1:]] != least[cand[:-1]]) | (last[1:] == least[cand[1:]])) + 1
                     for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cand)]])):
                         k, c = owner[s], cand[s:e]
                         out.append((number + int(k), None, None, False, int(c[0] - w.first[k]), h1[c], h2[c]))
@@ -313,9 +315,9 @@ def _strip(texts: DataFrame, size: int) -> DataFrame:
 def _repeated(runs: DataFrame) -> DataFrame:
     """(id, start, h1, h2) runs -> (id, start, n): the repeated windows.
 
-    Equal runs have equal first and last windows and lengths (two windows less
-    than a window apart fix every word between), so they are first grouped by
-    these. All windows of a run that stands twice are repeated. One of each
+    A run has one anchor place and so is no longer than a window. Equal runs
+    have equal first and last windows and lengths (two windows less than a
+    window apart fix every word between), so they are first grouped by these. All windows of a run that stands twice are repeated. One of each
     run then brings its windows to the exact grouping, and only runs that
     stand once ask for its answer.
     """

@@ -199,24 +199,79 @@ def test_substrings_on_odd_rows(odd, nothing, docs_of):
     check_strip(docs_of([(1, "a " * 36, "s"), (2, "a " * 35, "s"), (3, "b " * 34, "s"), (4, "c " * 35, "s")]))
 
 
-def test_a_sketch_too_small_only_lets_more_through(spark, sf):
-    docs = table(spark, sf, "documents").limit(60)
-    rows, lost = substrings.strip_repeats(docs, sketch_bits=1 << 10)
-    wide = substrings.strip_repeats(docs)[1]
-    assert sorted((bytes(r["sha"]), r["n_removed"]) for r in lost.collect() if r["n_removed"]) == sorted((bytes(r["sha"]), r["n_removed"]) for r in wide.collect() if r["n_removed"])
-
-
-def test_repeated_lines_with_one_changed_word_under_a_full_sketch(docs_of):
+def test_the_number_of_ranges_does_not_change_the_result(spark, sf):
+    docs = table(spark, sf, "documents").limit(120)
+    found = [sorted((bytes(r["sha"]), r["n_removed"], r["kept"]) for r in substrings.strip_repeats(docs, range_bytes=n)[1].collect() if r["n_removed"]) for n in (1 << 10, 1 << 25)]
+    assert found[0] == found[1] and found[0]
+
+
+def test_the_sketch_loses_nothing_and_lets_little_more_through():
+    rng = np.random.default_rng(5)
+    for keys in (10, 1000, 300_000):
+        prints = rng.integers(0, 1 << 32, keys, dtype=np.uint32)
+        again, twice = prints[: keys // 10], rng.integers(0, 1 << 32, keys // 20, dtype=np.uint32)
+        sketch = substrings.RangeSketch(keys + len(again) + len(twice))
+        for part in np.array_split(prints, 3):  # partition sketches, merged one by one
+            sketch.add(part, twice[:0])
+        sketch.add(again, twice)
+        count = Counter(prints.tolist()) + Counter(again.tolist())
+        often = np.array([count[p] > 1 for p in prints.tolist()])
+        assert sketch.repeated(prints)[often].all() and sketch.repeated(twice).all()
+        assert sketch.repeated(prints)[~often].mean() < 0.05
+
+
+def test_few_runs_pass_whatever_the_corpus_holds(spark, docs_of, monkeypatch):
+    """Ranges are sized by the text, so the share of windows that goes on doesn't grow."""
+    rng = random.Random(8)
+    docs = docs_of([(i, " ".join(f"w{rng.randrange(10**7)}" for _ in range(500)), "s") for i in range(400)])
+    sizes = []
+    kept = substrings.cut
+    monkeypatch.setattr(substrings, "cut", lambda df: sizes.append(out.where("start IS NOT NULL").count() if "h1" in (out := kept(df)).columns else None) or out)
+    for n in (100, 400):
+        sizes.clear()
+        substrings.strip_repeats(docs.limit(n))
+        assert max(x for x in sizes if x is not None) < 0.05 * n * 500 / 8
+
+
+def test_words_that_collide_in_polynomials_are_told_apart(docs_of):
+    """Thue-Morse words have equal polynomial hashes modulo 2^64, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    text = lambda w: " ".join(f"{w} x{i}" for i in range(20))
+    check_strip(docs_of([(1, text(one), "s"), (2, text(other), "s"), (3, text(one) + " y", "s")]))
+    w = textkit.Words([f"{one[:200]} {other[:200]} a a\0 ab {'q' * 300} {'q' * 301}".encode()])
+    assert len({*w.hashes().tolist(), *w.hashes(1).tolist()}) == 14
+
+
+def test_repeated_lines_with_one_changed_word(docs_of):
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(10**6)}"
-    rows = [(1000 + i, " ".join(word() for _ in range(400)), "s") for i in range(150)]  # fills the sketch's 1,024 counters
+    rows = [(1000 + i, " ".join(word() for _ in range(400)), "s") for i in range(50)]
     for g in range(12):
         line = [word() for _ in range(10)]
         rows += [(2 * g + k, " ".join(line * 8 + [word()] + line * 8), "s") for k in range(2)]
-    docs = docs_of(rows)
-    n, lost = substrings.strip_repeats(docs, sketch_bits=1 << 10)
-    want = Counter(removed for _, _, removed, _ in brute_strip([(i, t) for i, t, _ in rows]).elements() if removed)
-    assert Counter(r["n_removed"] for r in lost.collect() if r["n_removed"] is None or r["n_removed"]) == want
+    check_strip(docs_of(rows))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_hold_every_window_once(seed):
+    rng = random.Random(seed)
+    size = rng.choice([3, 8, 9, 20, 35])
+    texts = [" ".join(rng.choice("abcdefgh"[: rng.choice([2, 8])]) for _ in range(rng.randint(0, 90))) for _ in range(20)]
+    w = textkit.Words([t.encode() for t in texts])
+    start, count, key = substrings.runs(w.hashes(), w, size)
+    got = [s + k for s, c in zip(start.tolist(), count.tolist()) for k in range(c)]
+    words = [t.split() for t in texts]
+    want, at = [], 0
+    for ws in words:
+        want += [at + i for i in range(len(ws) - size + 1)]
+        at += len(ws)
+    assert got == want
+    flat, keys = [x for ws in words for x in ws], {}
+    for s, c, k in zip(start.tolist(), count.tolist(), key.tolist()):
+        for i in range(s, s + c):
+            assert keys.setdefault(tuple(flat[i : i + size]), k) == k  # equal windows have equal keys
+        assert len({tuple(flat[i : i + size]) for i in range(s, s + c)}) == c
 
 
 def test_grams_and_sliding():

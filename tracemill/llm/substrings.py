@@ -1,306 +1,331 @@
-"""Substring dedup behind count-min prefilters.
+"""Substring dedup behind a count-min prefilter.
 
 A window is ``size`` consecutive words of one document; every word covered by a
 window whose word sequence also starts anywhere else goes.
 
-1. Each task hashes its texts and reduces every window to an anchor: the least
-   hash among its short word grams. Equal windows have equal anchors at
-   different places, so the number of places of an anchor bounds the number of
-   starts of each of its windows from above, with 14 times fewer updates than
-   windows. Anchor places are counted in a count-min sketch per task, sent as
-   sparse blocks and merged block by block; only "at least two" is kept of the
-   merged counters, one bit each.
-2. A second sketch counts the windows themselves, of those alone that the first
-   estimates repeated. Both sketches are sized by the corpus and capped at
-   ``sketch_bits`` a row; past the cap they let more windows through, none is lost.
-3. Windows that both estimate repeated are emitted by runs and these alone are
-   grouped exactly. Texts that the first sketch's row for whole texts estimates
-   repeated are first reduced to one each, so a group of copies costs one
-   member's windows.
+1. Each window has an anchor, the place of the least hash among its short word
+   grams (the first of equal ones). Neighbouring windows with one anchor and the
+   same longer side of it are a run; all of them hold the anchor's gram and half
+   a window's words on that side. The hash of these words is the run's key.
+   Equal windows have equal keys in different runs, so the number of runs of a
+   key bounds the number of starts of each window in them from above, with about
+   seven times fewer updates than windows.
+2. Keys are counted in a count-min sketch that is dealt by ranges of the key's
+   hash, as many as the corpus needs, so it never fills up and no task or driver
+   holds it whole. A task sends each range what its texts' partition sketch has
+   there; the range merges the parts and answers which of the sender's runs it
+   estimates repeated. Answers meet the texts again by the sender's portion.
+3. Only windows of runs that are estimated repeated are grouped exactly. Of
+   texts that stand in several rows one brings its windows.
 4. Windows found repeated go back to their text; only texts that lose a part
    of their words are read again. The others' digests are known from step 1.
 
-Window identity is by 96 hash bits, text identity by SHA-256.
+Window identity is by two independent 64-bit hashes built from two independent
+hashes of each word, text identity by SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut, slices
+from tracemill.llm.common import cut, slices, small
 from tracemill.llm.textkit import U, Words, chunks, grams, mix, sliding
 
 GRAM = 8  # words in an anchor's gram, or the window's size if smaller
-ROWS = 2  # rows of each sketch; the first has one more for whole texts
-BLOCK = 20  # log2 of the counters in a block
+ROWS = 2  # rows of the sketch
+#: Runs in a portion of a task's texts, so that its memory stays bounded whatever its partition holds (one text alone may have more).
+HELD = 2_000_000
+#: Bytes of text to a range of the sketch.
+RANGE = 1 << 25
 
 
 def _normal(batch_column) -> list[bytes]:
     return [b" ".join((t or "").encode("utf-8", "surrogatepass").split()) for t in batch_column.to_pylist()]
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Sorted codes of 21 bits as three deflated byte planes; the high ones shrink to little."""
-    return zlib.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), 1)
+def _pack(ascending: np.ndarray) -> bytes:
+    """Ascending numbers below 2^32 as compressed byte planes of their differences."""
+    steps = np.diff(ascending, prepend=0).astype("<u4")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(3, -1)
-    return planes[0].astype(np.uint32) | planes[1].astype(np.uint32) << 8 | planes[2].astype(np.uint32) << 16
-
-
-def _cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
-    """Counter of each key in a row of the sketch."""
-    return mix(keys + U((0xA24BAED4963EE407 * (row + 1)) & (1 << 64) - 1)) >> U(64 - log2)
-
-
-def _anchors(x: np.ndarray, w: Words, size: int):
-    """Validity of each window start, its anchor hash, and the mask of anchor places."""
+    planes = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+
+
+def runs(x: np.ndarray, w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and key of each run of windows, in order."""
+    n, none = len(x), np.zeros(0, np.int64)
+    if n < size:
+        return none, none, np.zeros(0, U)
+    room = np.repeat(w.first[1:], w.counts) - np.arange(n)
+    s = np.flatnonzero(room[: n - size + 1] >= size)
+    if not len(s):
+        return none, none, np.zeros(0, U)
     gram = min(GRAM, size)
-    n = len(x)
-    valid = np.zeros(n, dtype=bool)
-    least = np.zeros(n, dtype=U)
-    if n >= size:
-        room = np.repeat(w.first[1:], w.counts) - np.arange(n)
-        valid[: n - size + 1] = room[: n - size + 1] >= size
-        g = grams(x, gram) | U(1)  # 0 marks no window below
-        span = size - gram + 1
-        least[: n - size + 1] = sliding(g, span, np.minimum)
-        least[~valid] = 0
-        padded = np.concatenate([np.zeros(span - 1, dtype=U), least[: len(g)]])
-        places = g == sliding(padded, span, np.maximum)
-        return valid, least, g[places]
-    return valid, least, x[:0]
+    rest = size - gram
+    half = (rest + 1) // 2
+    g = grams(x, gram)
+    # the upper half of the hash decides, then the place
+    least = sliding((g & U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=U), rest + 1, np.minimum)
+    place = (least & U(0xFFFFFFFF)).astype(np.int64)[s]
+    left = place - s >= half
+    new = (np.diff(s) != 1) | (np.diff(place) != 0) | (left[1:] != left[:-1]) | (room[s[1:]] > room[s[:-1]])
+    at = np.flatnonzero(np.concatenate([[True], new]))
+    before, after = grams(x, gram + half, 1), grams(x, size - half + 1 if rest else gram, 2)
+    p, is_left = place[at], left[at]
+    key = np.where(is_left, before[np.maximum(0, p - half)], after[np.minimum(p, len(after) - 1)])
+    return s[at], np.diff(np.append(at, len(s))), key
 
 
 def _sha(normal: list[bytes]) -> list[bytes]:
     return [hashlib.sha256(t).digest() for t in normal]
 
 
-def _text_keys(shas: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(shas), dtype="<u8")[::4].astype(U)
+class _Portion:
+    """Some texts of a task: their runs' keys, in order."""
 
+    def __init__(self, number: int):
+        self.number, self.keys, self.held, self.texts, self.seen = number, [], 0, 0, set()
 
-class _Partial:
-    """A task's partition sketch: updates gathered by row and sent as sparse blocks."""
+    def messages(self, ranges: int):
+        """Rows (range, cells, at, twice) to the sketch's ranges, and (None, None, at, None) of the runs known to be repeated.
 
-    def __init__(self, rows: int, log2: int):
-        self.updates: list[list[np.ndarray]] = [[] for _ in range(rows)]
-        self.log2, self.held = log2, 0
+        cells are fingerprints of keys that stand once here, ``at`` the numbers
+        of their runs, twice the fingerprints of keys that stand more often.
+        """
+        keys = np.concatenate([np.zeros(0, U), *self.keys])
+        distinct, first, which, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        sure = np.flatnonzero(count[which] > 1)
+        if len(sure):
+            yield None, None, _pack(sure), None
+        h = mix(distinct + U(1))
+        to = (((h >> U(32)) * U(ranges)) >> U(32)).astype(np.int64)
+        cell, more = (h & U(0xFFFFFFFF)).astype("<u4"), count > 1
+        order = np.lexsort((first, more, to))
+        to, cell, more, first = to[order], cell[order], more[order], first[order]
+        ends = np.flatnonzero(np.append(np.diff(to) != 0, [True])) + 1 if len(to) else to
+        begin = 0
+        for end in ends:
+            mid = begin + int(np.searchsorted(more[begin:end], True))
+            yield int(to[begin]), cell[begin:mid].tobytes(), _pack(first[begin:mid]), cell[mid:end].tobytes()
+            begin = end
 
-    def add(self, row: int, keys: np.ndarray) -> None:
-        self.updates[row].append(_cells(keys, row, self.log2))
-        self.held += len(keys)
 
-    def blocks(self):
-        """(block, packed cells) of what is held, which is then forgotten."""
-        self.held = 0
-        for row, parts in enumerate(self.updates):
-            if parts:
-                cells, count = np.unique(np.concatenate(parts), return_counts=True)
-                code = (cells << U(1)) | (count > 1).astype(U)
-                cuts = np.flatnonzero(np.diff((cells >> U(BLOCK)).astype(np.int64))) + 1
-                for c in np.split(code, cuts):
-                    if len(c):
-                        yield (row << max(0, self.log2 - BLOCK)) + int(c[0] >> U(BLOCK + 1)), _pack((c & U((1 << (BLOCK + 1)) - 1)).astype("<u4"))
-                parts.clear()
+#: A row is a document (id, n, sha; chunk, idx, first and words too if it brings its runs), or a message to a range of the sketch,
+#: or, with no range, the numbers of runs of a portion that are known to be repeated.
+SURVEY = [("n", pa.int64()), ("sha", pa.binary()), ("chunk", pa.int64()), ("idx", pa.int32()), ("first", pa.int32()), ("words", pa.binary()), ("range", pa.int32()), ("cells", pa.binary()), ("at", pa.binary()), ("twice", pa.binary())]
 
 
-#: Updates a task holds before it sends them, so that its memory stays bounded whatever its partition holds.
-HELD = 3_000_000
+def _survey(docs: DataFrame, kind: str, size: int, ranges: int) -> DataFrame:
+    """First pass: documents, their compressed words, and the messages of each portion to the sketch."""
+    schema = f"id {kind}, n long, sha binary, chunk long, idx int, first int, words binary, range int, cells binary, at binary, twice binary"
 
-
-def _survey(docs: DataFrame, kind: str, size: int, log2: int) -> DataFrame:
-    """First pass: a row per document, and per task the sparse blocks of its partition sketch."""
-    schema = f"id {kind}, n long, sha binary, block int, cells binary"
+    def batch(ids, **given):
+        m = len(ids)
+        cols = [pa.array(given[k], t) if k in given else pa.nulls(m, t) for k, t in SURVEY]
+        return pa.RecordBatch.from_arrays([ids, *cols], names=["id", *(k for k, _ in SURVEY)])
 
     def run(batches):
-        partial, id_type = _Partial(ROWS + 1, log2), None
+        press, id_type = zstandard.ZstdCompressor(level=1), None
+        number = TaskContext.get().partitionId() << 16
+        portion = _Portion(number)
 
         def sent():
-            got = list(partial.blocks())
-            m = len(got)
-            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["id", "n", "sha", "block", "cells"])
+            for to, cells, at, twice in portion.messages(ranges):
+                yield batch(pa.nulls(1, id_type), chunk=[portion.number], range=[to], cells=[cells], at=[at], twice=[twice])
 
         for b in slices(batches):
             normal, id_type = _normal(b.column(1)), b.column(0).type
-            shas, counts = _sha(normal), [np.zeros(0, np.int64)]
+            shas = _sha(normal)
             for i, j in chunks(normal):
+                if portion.held > HELD:
+                    yield from sent()
+                    number += 1
+                    portion = _Portion(number)
                 w = Words(normal[i:j])
-                counts.append(w.counts)
-                places = _anchors(w.hashes(), w, size)[2]
-                for row in range(ROWS):
-                    partial.add(row, places)
-                # a text with a window counts as itself
-                partial.add(ROWS, _text_keys(shas[i:j])[w.counts >= size])
-            m = len(normal)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(counts), pa.int64()), pa.array(shas, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["id", "n", "sha", "block", "cells"])
-            if partial.held > HELD:
-                yield sent()
+                enough = w.counts >= size
+                # copies within a portion bring their runs once
+                bring = [k for k in np.flatnonzero(enough).tolist() if not (shas[i + k] in portion.seen or portion.seen.add(shas[i + k]))]
+                own = w if len(bring) == j - i else Words([normal[i + k] for k in bring])
+                starts, _, keys = runs(own.hashes(), own, size)
+                firsts = np.searchsorted(starts, own.first[:-1]) + portion.held
+                portion.keys.append(keys)
+                portion.held += len(keys)
+                idx, first, words, chunk = ([None] * (j - i) for _ in range(4))
+                for at, k in enumerate(bring):
+                    idx[k], first[k], chunk[k], words[k] = portion.texts + at, int(firsts[at]), portion.number, press.compress(normal[i + k])
+                portion.texts += len(bring)
+                yield batch(b.column(0).slice(i, j - i), n=w.counts, sha=shas[i:j], chunk=chunk, idx=idx, first=first, words=words)
         if id_type is not None:
-            yield sent()
+            yield from sent()
 
     return docs.mapInArrow(run, schema)
 
 
-def _count_windows(docs: DataFrame, size: int, log2: int, sketch) -> DataFrame:
-    """Second pass: the sparse blocks of each task's sketch of the windows that the first sketch estimates repeated."""
+def _cells(prints: np.ndarray, row: int, log2: int) -> np.ndarray:
+    """Counter of each fingerprint in a row of the sketch."""
+    return (mix(prints.astype(U) + U((0xA24BAED4963EE407 * (row + 1)) & (1 << 64) - 1)) >> U(64 - log2)).astype(np.int64)
 
-    def run(batches):
-        bits, partial = sketch.value, _Partial(ROWS, log2)
 
-        def sent():
-            got = list(partial.blocks())
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["block", "cells"])
+class RangeSketch:
+    """One range of the merged count-min sketch: counters that stop at two, eight for each key."""
 
-        for b in slices(batches):
-            normal = _normal(b.column(0))
-            for i, j in chunks(normal):
-                w = Words(normal[i:j])
-                x = w.hashes()
-                valid, least, _ = _anchors(x, w, size)
-                cand = np.flatnonzero(valid)
-                cand = cand[_estimated(bits, least[cand], range(ROWS), log2)]
-                if len(cand):
-                    h1 = grams(x, size, 1)[cand]
-                    for row in range(ROWS):
-                        partial.add(row, h1)
-            if partial.held > HELD:
-                yield sent()
-        yield sent()
+    def __init__(self, keys: int):
+        self.log2 = int(np.clip(np.ceil(np.log2(8 * max(1, keys))), 10, 32))
+        self.one = np.zeros((ROWS, 1 << self.log2), dtype=bool)
+        self.two = np.zeros((ROWS, 1 << self.log2), dtype=bool)
 
-    return docs.mapInArrow(run, "block int, cells binary")
+    def add(self, prints: np.ndarray, twice: np.ndarray) -> None:
+        """Merge parts: fingerprints that stand once, or more often, in each of them."""
+        for row in range(ROWS):
+            cell = np.sort(_cells(prints, row, self.log2))
+            self.two[row, cell[1:][cell[1:] == cell[:-1]]] = True
+            self.two[row, cell[self.one[row, cell]]] = True
+            self.one[row, cell] = True
+            more = _cells(twice, row, self.log2)
+            self.one[row, more] = self.two[row, more] = True
 
+    def repeated(self, prints: np.ndarray) -> np.ndarray:
+        """Whether the sketch estimates at least two."""
+        out = np.ones(len(prints), dtype=bool)
+        for row in range(ROWS):
+            out &= self.two[row, _cells(prints, row, self.log2)]
+        return out
 
-def _merged(parts: DataFrame, log2: int) -> dict[int, np.ndarray]:
-    """Merge the partition sketches: per block, one bit a counter for "at least two". Bounded by the sketch's size."""
-    width = 1 << min(BLOCK, log2)
 
-    def run(batches):
-        number, count = None, None
+def _answers(messages: DataFrame) -> DataFrame:
+    """(range, chunk, cells, at, twice) -> (chunk, at): the runs of a portion whose key is estimated repeated."""
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+    def run(batches):
+        number, parts = None, []
+
+        def answered():
+            read = lambda x: np.frombuffer(x, dtype="<u4")
+            cells, twice = [read(p[1]) for p in parts], [read(p[3]) for p in parts]
+            sketch = RangeSketch(sum(map(len, cells)) + sum(map(len, twice)))
+            sketch.add(np.concatenate(cells), np.concatenate(twice))
+            chunk, at = [], []
+            for (c, _, packed, _), own in zip(parts, cells):
+                hit = np.flatnonzero(sketch.repeated(own))
+                if len(hit):
+                    chunk.append(c)
+                    at.append(_pack(_unpack(packed)[hit]))
+            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(at, pa.binary())], names=["chunk", "at"])
 
         for b in batches:
-            for block, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if block != number:
-                    if number is not None:
-                        yield out()
-                    number, count = block, np.zeros(width, dtype=np.uint8)
-                c = _unpack(cells)
-                at = c >> 1  # distinct within one part
-                count[at] = np.minimum(2, count[at] + 1 + (c & 1).astype(np.uint8))
-        if number is not None:
-            yield out()
-
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, bits binary")
-    return {r["block"]: np.frombuffer(bytes(r["bits"]), dtype=np.uint8) for r in merged.toLocalIterator()}
+            for to, *part in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if to != number and parts:
+                    yield answered()
+                    parts = []
+                number = to
+                parts.append(part)
+        if parts:
+            yield answered()
+
+    dealt = messages.select("range", "chunk", "cells", "at", "twice").repartition("range").sortWithinPartitions("range", "chunk")
+    return dealt.mapInArrow(run, "chunk long, at binary")
+
+
+#: Kinds of rows that meet by portion: answers, texts that have copies (one of each is kept, the others go), texts.
+ANSWER, KEPT, GONE, TEXT = range(4)
+#: A row is a text (id, sha, compressed words) or a run of windows estimated repeated (id, start and the windows' hashes).
+PARTS = "id long, sha binary, words binary, start int, h1 array<long>, h2 array<long>"
+
+
+def _selected(stream: DataFrame, size: int) -> DataFrame:
+    """(chunk, kind, first, idx, sha, data) rows -> the texts with runs estimated repeated, and these runs."""
+    names = ["id", "sha", "words", "start", "h1", "h2"]
+    lists = pa.list_(pa.int64())
+
+    def picked(chunk, flags, marks, texts):
+        """Rows of some texts (first, idx, sha, words) of a portion."""
+        raw = zstandard.ZstdDecompressor()
+        w = Words([raw.decompress(t[3]) for t in texts])
+        x = w.hashes()
+        start, count, _ = runs(x, w, size)
+        owner = np.searchsorted(w.first, start, side="right") - 1
+        number = np.arange(len(start)) - np.searchsorted(start, w.first[:-1])[owner] + np.array([t[0] for t in texts], dtype=np.int64)[owner]
+        hit = np.flatnonzero(flags[np.minimum(number, len(flags) - 1)] & (number < len(flags)))
+        if not len(hit):
+            return
+        start, count, owner = start[hit], count[hit], owner[hit]
+        ids = np.array([(chunk << 22) + t[1] for t in texts], dtype=np.int64)
+        own = [k for k in np.unique(owner).tolist() if marks.get(texts[k][0]) != KEPT]
+        if own:
+            cols = [pa.array(ids[own]), pa.array([texts[k][2] for k in own], pa.binary()), pa.array([texts[k][3] for k in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(own), pa.int32()), pa.nulls(len(own), lists), pa.nulls(len(own), lists)], names=names)
+        offsets = np.concatenate([[0], np.cumsum(count)])
+        windows = np.repeat(start - offsets[:-1], count) + np.arange(offsets[-1])
+        h = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams(v, size, 3 + k)[windows].view(np.int64))) for k, v in enumerate((x, w.hashes(1)))]
+        m = len(start)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array((start - w.first[owner]).astype(np.int32)), *h], names=names)
 
+    def run(batches):
+        chunk, hits, flags, marks, texts, held = None, [], None, {}, [], 0
+        for b in batches:
+            for c, kind, first, idx, sha, data in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if texts and (c != chunk or held > 1 << 19):
+                    yield from picked(chunk, flags, marks, texts)
+                    texts, held = [], 0
+                if c != chunk:
+                    chunk, hits, flags, marks = c, [], None, {}
+                if kind == ANSWER:
+                    hits.append(_unpack(data))
+                elif kind != TEXT:
+                    marks[first] = kind
+                elif hits and marks.get(first) != GONE:
+                    if flags is None:
+                        every = np.concatenate(hits)
+                        flags = np.zeros(int(every.max()) + 1, dtype=bool)
+                        flags[every] = True
+                    texts.append((first, idx, sha, data))
+                    held += len(data)
+        if texts:
+            yield from picked(chunk, flags, marks, texts)
+
+    return stream.repartition("chunk").sortWithinPartitions("chunk", "kind", "first").mapInArrow(run, PARTS)
+
+
+def _repeated(runs_: DataFrame) -> DataFrame:
+    """(id, start, h1, h2) runs -> (id, start, n): the repeated windows.
 
-def _sketch(blocks: dict[int, np.ndarray], log2: int, rows: int) -> np.ndarray:
-    """The merged rows as one array of packed bits, a row each."""
-    per = 1 << max(0, log2 - BLOCK)
-    width = 1 << (min(BLOCK, log2) - 3)
-    bits = np.zeros((rows, per * width), dtype=np.uint8)
-    for number, part in blocks.items():
-        at = (number % per) * width
-        bits[number // per, at : at + width] = part
-    return bits
-
-
-def _estimated(bits: np.ndarray, keys: np.ndarray, rows, log2: int) -> np.ndarray:
-    """Whether the sketch estimates at least two for each key: so do all the rows asked."""
-    out = np.ones(len(keys), dtype=bool)
-    for row in rows:
-        cell = _cells(keys, row, log2)
-        out &= (bits[row][(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
-#: A row is a text (sha and deflated words set), a text that may have copies (copied true too), or a run of windows that
-#: share an anchor place (start and the windows' hashes set). id numbers the texts that bring windows.
-PARTS = "id long, sha binary, words binary, copied boolean, start int, h1 array<long>, h2 array<int>"
-
-
-def _parts(rows: list[tuple]):
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "sha", "words", "copied", "start", "h1", "h2"])
-
-
-def _windows(docs: DataFrame, size: int, log2: int, sketch, second, again: bool) -> DataFrame:
-    """Third pass: the texts with windows that both sketches estimate repeated, and those windows' hashes by runs.
-
-    On (text) rows, a text estimated to have copies is passed on with no windows
-    yet. On those (``again``: deflated words, whether it does have copies), the
-    windows come, and the words of texts without copies.
+    A run is shorter than a window, so equal runs have equal first and last
+    windows and lengths (two windows less than a window apart fix every word
+    between); they are first grouped by these. All windows of a run that stands
+    twice are repeated. One of each run then brings its windows to the exact
+    grouping, and only runs that stand once ask for its answer.
     """
-
-    def run(batches):
-        bits, bits2 = sketch.value, second.value
-        seen: set[bytes] = set()
-        number = (int(again) << 62) + (TaskContext.get().partitionId() << 36)
-        for b in slices(batches):
-            normal = [zlib.decompress(t) for t in b.column(0).to_pylist()] if again else _normal(b.column(0))
-            real = np.array(b.column(1).to_pylist(), dtype=bool) if again else np.zeros(len(normal), dtype=bool)
-            for i, j in chunks(normal):
-                out = []
-                part, copy = normal[i:j], real[i:j]
-                shas = _sha(part)
-                w = Words(part)
-                if not again:
-                    copied = _estimated(bits, _text_keys(shas), [ROWS], log2) & (w.counts >= size)
-                    for k in np.flatnonzero(copied):
-                        if shas[k] not in seen:
-                            if len(seen) < 100_000:  # spares copies within a task; the exact step follows
-                                seen.add(shas[k])
-                            out.append((None, shas[k], zlib.compress(part[k], 1), True, None, None, None))
-                    if copied.any():
-                        keep = np.flatnonzero(~copied)
-                        part, shas, copy = [part[k] for k in keep], [shas[k] for k in keep], copy[keep]
-                        w = Words(part)
-                x = w.hashes()
-                valid, least, _ = _anchors(x, w, size)
-                cand = np.flatnonzero(valid)
-                cand = cand[_estimated(bits, least[cand], range(ROWS), log2)]
-                if len(cand):
-                    h1 = grams(x, size, 1)
-                    cand = cand[_estimated(bits2, h1[cand], range(ROWS), log2)]
-                if len(cand):
-                    h1, h2 = h1.view(np.int64), grams(x, size, 2).view(np.int32)[::2]  # the lower halves
-                    owner = np.searchsorted(w.first, cand, side="right") - 1
-                    for k in np.unique(owner):
-                        if not copy[k]:
-                            out.append((number + int(k), shas[k], zlib.compress(part[k], 1), False, None, None, None))
-                    # runs of neighbouring windows with one anchor place: an equal gram that comes in last is a new place
-                    gram = min(GRAM, size)
-                    last = grams(x, gram)[cand + size - gram] | U(1)
-                    cuts = np.flatnonzero((np.diff(cand) != 1) | (np.diff(owner) != 0) | (least[cand[1:]] != least[cand[:-1]]) | (last[1:] == least[cand[1:]])) + 1
-                    for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cand)]])):
-                        k, c = owner[s], cand[s:e]
-                        out.append((number + int(k), None, None, False, int(c[0] - w.first[k]), h1[c], h2[c]))
-                number += len(part)
-                if out:
-                    yield _parts(out)
-
-    return docs.mapInArrow(run, PARTS)
+    ends = [F.element_at("h1", 1), F.element_at("h2", 1), F.element_at("h1", -1), F.element_at("h2", -1), F.size("h1")]
+    keyed = runs_.select("id", "start", F.xxhash64(*ends).alias("r1"), F.xxhash64(F.lit(1), *ends).alias("r2"), F.size("h1").alias("n"), "h1", "h2")
+    kinds = keyed.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.first(F.struct("id", "start", "h1", "h2")).alias("x")).select("r1", "r2", "c", "x.*")
+    whole = keyed.select("id", "start", "n", "r1", "r2").join(kinds.where("c > 1").select("r1", "r2"), ["r1", "r2"], "left_semi").select("id", "start", "n")
+    # both uses below read all columns of the grouping, so that its exchange, the largest one, is made once
+    single = (F.col("c") == 1) & F.col("id").isNotNull() & F.col("start").isNotNull()
+    each = kinds.select("id", single.alias("single"), F.col("start").alias("s"), F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h"))
+    each = each.select("id", "single", (F.col("s") + F.col("at")).alias("start"), "h.h1", "h.h2")
+    often = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("c")).where("c > 1").select("h1", "h2")
+    part = each.where("single").select("id", "start", "h1", "h2").join(often, ["h1", "h2"], "left_semi").select("id", "start", F.lit(1).alias("n"))
+    return whole.union(part)
 
 
 def _strip(texts: DataFrame, size: int) -> DataFrame:
     """(sha, words, at: repeated windows as start and number) -> (sha, n_removed, kept words)."""
 
     def run(batches):
+        raw = zstandard.ZstdDecompressor()
         for b in batches:
             removed, kept = [], []
             for text, starts, counts in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                words = zlib.decompress(text).split()
+                words = raw.decompress(text).split()
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edge, np.array(starts), 1)
                 np.add.at(edge, np.array(starts) + np.array(counts) - 1 + size, -1)
@@ -312,59 +337,36 @@ def _strip(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("sha", "words", "at.start", "at.n").mapInArrow(run, "sha binary, n_removed long, kept binary")
 
 
-def _repeated(runs: DataFrame) -> DataFrame:
-    """(id, start, h1, h2) runs -> (id, start, n): the repeated windows.
-
-    A run has one anchor place and so is no longer than a window. Equal runs
-    have equal first and last windows and lengths (two windows less than a
-    window apart fix every word between), so they are first grouped by these. All windows of a run that stands twice are repeated. One of each
-    run then brings its windows to the exact grouping, and only runs that
-    stand once ask for its answer.
-    """
-    ends = [F.element_at("h1", 1), F.element_at("h2", 1), F.element_at("h1", -1), F.element_at("h2", -1), F.size("h1")]
-    keyed = runs.select("id", "start", F.xxhash64(*ends).alias("r1"), F.xxhash64(F.lit(1), *ends).alias("r2"), F.size("h1").alias("n"), "h1", "h2")
-    kinds = keyed.groupBy("r1", "r2").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("id", "start", "h1", "h2")])
-    whole = keyed.select("id", "start", "n", "r1", "r2").join(kinds.where("c > 1").select("r1", "r2"), ["r1", "r2"], "left_semi").select("id", "start", "n")
-    # both uses below read all columns of the grouping, so that its exchange, the largest one, is made once
-    single = (F.col("c") == 1) & F.col("id").isNotNull() & F.col("start").isNotNull()
-    each = kinds.select("id", single.alias("single"), F.col("start").alias("s"), F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h"))
-    each = each.select("id", "single", (F.col("s") + F.col("at")).alias("start"), "h.h1", "h.h2")
-    often = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("c")).where("c > 1").select("h1", "h2")
-    part = each.where("single").select("id", "start", "h1", "h2").join(often, ["h1", "h2"], "left_semi").select("id", "start", F.lit(1).alias("n"))
-    return whole.union(part)
-
-
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, sketch_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, range_bytes: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """Find and cut repeated passages.
 
     Returns (per document: id, n, sha of its words; per distinct text that
     loses words: sha, n_removed, kept words as bytes, null if nothing stays).
     Null and empty texts have no words; texts shorter than a window lose none;
     a text that also stands in another row is repeated whole; repeated rows
-    count as rows of their own; other columns are ignored.
+    count as rows of their own; other columns are ignored. ``range_bytes`` is
+    the text to a range of the sketch: it decides about memory, not the result.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    # about one anchor for each 14 words; four to eight counters for each anchor, within the bound
     total = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    log2 = int(np.clip(np.ceil(np.log2(max(1, total / 20))), 10, np.log2(sketch_bits)))
-    survey = cut(_survey(base, kind, size, log2))
-    rows = survey.where("block IS NULL").select("id", "n", "sha")
-    # (2 ROWS + 1) * sketch_bits / 8 bytes at most are sent to the tasks
-    sketch = spark.sparkContext.broadcast(_sketch(_merged(survey.where("block IS NOT NULL").select("block", "cells"), log2), log2, ROWS + 1))
-    second = spark.sparkContext.broadcast(_sketch(_merged(_count_windows(base.select("t"), size, log2, sketch), log2), log2, ROWS))
-
-    first = cut(_windows(base.select("t"), size, log2, sketch, second, False))
-    # texts in several rows go whole; the sketch sent all of them here, and some single ones
-    whole = cut(rows.where(F.col("n") >= size).groupBy("sha").agg(F.count("*").alias("c")).where("c > 1").select("sha", F.lit(True).alias("real")))
-    copies = first.where("copied").groupBy("sha").agg(F.first("words").alias("words")).join(whole, "sha", "left")
-    again = cut(_windows(copies.select("words", F.coalesce("real", F.lit(False)).alias("real")), size, log2, sketch, second, True))
-    parts = first.where("NOT copied").union(again)
+    survey = cut(_survey(base, kind, size, int(np.clip(-(-total // range_bytes), 32, 1 << 18))))
+    rows = survey.where("n IS NOT NULL").select("id", "n", "sha")
+    texts = survey.where("idx IS NOT NULL")
+    answers = _answers(survey.where("range IS NOT NULL")).union(survey.where("n IS NULL AND range IS NULL").select("chunk", "at"))
+    # texts in several rows go whole; the first portion that has one keeps it, for its windows
+    whole = cut(rows.where(F.col("n") >= size).groupBy("sha").agg(F.count("*").alias("c")).where("c > 1").select("sha"))
+    copies = texts.select("chunk", "first", "sha").join(small(whole), "sha", "left_semi")
+    one = copies.groupBy("sha").agg(F.min(F.struct("chunk", "first")).alias("k")).select("sha", "k.*", F.lit(KEPT).alias("kind"))
+    marks = copies.join(one, ["sha", "chunk", "first"], "left").select("chunk", F.coalesce("kind", F.lit(GONE)).alias("kind"), "first")
+    none = lambda t: F.lit(None).cast(t)
+    stream = texts.select("chunk", F.lit(TEXT).alias("kind"), "first", "idx", "sha", F.col("words").alias("data"))
+    stream = stream.union(answers.select("chunk", F.lit(ANSWER), none("int"), none("int"), none("binary"), "at"))
+    stream = stream.union(marks.select("chunk", "kind", "first", none("int"), none("binary"), none("binary")))
+    parts = cut(_selected(stream, size))
     at = _repeated(parts.where("start IS NOT NULL").select("id", "start", "h1", "h2")).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    texts = parts.where("words IS NOT NULL").select("id", "sha", "words")
-    partly = _strip(texts.join(at, "id"), size)
-    lost = partly.union(whole.select("sha", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("binary").alias("kept")))
+    partly = _strip(parts.where("words IS NOT NULL").select("id", "sha", "words").join(at, "id"), size)
+    lost = partly.union(whole.select("sha", none("long").alias("n_removed"), none("binary").alias("kept")))
     return rows, lost
 
 

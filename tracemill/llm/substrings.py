@@ -14,9 +14,10 @@ window whose word sequence also starts anywhere else goes.
    hash, as many as the corpus needs, so it never fills up and no task or driver
    holds it whole. A task sends each range what its texts' partition sketch has
    there; the range merges the parts and answers which of the sender's runs it
-   estimates repeated. Answers meet the texts again by the sender's portion.
-3. Only windows of runs that are estimated repeated are grouped exactly. Of
-   texts that stand in several rows one brings its windows.
+   estimates repeated. Answers meet the texts' numbers by the sender's portion.
+3. Only texts that have such runs are read again, and only the windows of these
+   runs are grouped exactly. Of texts that stand in several rows one brings its
+   windows.
 4. Windows found repeated go back to their text; only texts that lose a part
    of their words are read again. The others' digests are known from step 1.
 
@@ -120,14 +121,14 @@ class _Portion:
             begin = end
 
 
-#: A row is a document (id, n, sha; chunk, idx, first and words too if it brings its runs), or a message to a range of the sketch,
+#: A row is a document (id, n, sha; chunk, idx, first and count too if it brings its runs), or a message to a range of the sketch,
 #: or, with no range, the numbers of runs of a portion that are known to be repeated.
-SURVEY = [("n", pa.int64()), ("sha", pa.binary()), ("chunk", pa.int64()), ("idx", pa.int32()), ("first", pa.int32()), ("words", pa.binary()), ("range", pa.int32()), ("cells", pa.binary()), ("at", pa.binary()), ("twice", pa.binary())]
+SURVEY = [("n", pa.int64()), ("sha", pa.binary()), ("chunk", pa.int64()), ("idx", pa.int32()), ("first", pa.int32()), ("count", pa.int32()), ("range", pa.int32()), ("cells", pa.binary()), ("at", pa.binary()), ("twice", pa.binary())]
 
 
 def _survey(docs: DataFrame, kind: str, size: int, ranges: int) -> DataFrame:
-    """First pass: documents, their compressed words, and the messages of each portion to the sketch."""
-    schema = f"id {kind}, n long, sha binary, chunk long, idx int, first int, words binary, range int, cells binary, at binary, twice binary"
+    """First pass: documents, and the messages of each portion to the sketch."""
+    schema = f"id {kind}, n long, sha binary, chunk long, idx int, first int, count int, range int, cells binary, at binary, twice binary"
 
     def batch(ids, **given):
         m = len(ids)
@@ -135,7 +136,7 @@ def _survey(docs: DataFrame, kind: str, size: int, ranges: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([ids, *cols], names=["id", *(k for k, _ in SURVEY)])
 
     def run(batches):
-        press, id_type = zstandard.ZstdCompressor(level=1), None
+        id_type = None
         number = TaskContext.get().partitionId() << 16
         portion = _Portion(number)
 
@@ -157,14 +158,14 @@ def _survey(docs: DataFrame, kind: str, size: int, ranges: int) -> DataFrame:
                 bring = [k for k in np.flatnonzero(enough).tolist() if not (shas[i + k] in portion.seen or portion.seen.add(shas[i + k]))]
                 own = w if len(bring) == j - i else Words([normal[i + k] for k in bring])
                 starts, _, keys = runs(own.hashes(), own, size)
-                firsts = np.searchsorted(starts, own.first[:-1]) + portion.held
+                edges = np.searchsorted(starts, own.first)
+                idx, first, count, chunk = ([None] * (j - i) for _ in range(4))
+                for at, k in enumerate(bring):
+                    idx[k], first[k], count[k], chunk[k] = portion.texts + at, portion.held + int(edges[at]), int(edges[at + 1] - edges[at]), portion.number
                 portion.keys.append(keys)
                 portion.held += len(keys)
-                idx, first, words, chunk = ([None] * (j - i) for _ in range(4))
-                for at, k in enumerate(bring):
-                    idx[k], first[k], chunk[k], words[k] = portion.texts + at, int(firsts[at]), portion.number, press.compress(normal[i + k])
                 portion.texts += len(bring)
-                yield batch(b.column(0).slice(i, j - i), n=w.counts, sha=shas[i:j], chunk=chunk, idx=idx, first=first, words=words)
+                yield batch(b.column(0).slice(i, j - i), n=w.counts, sha=shas[i:j], chunk=chunk, idx=idx, first=first, count=count)
         if id_type is not None:
             yield from sent()
 
@@ -237,66 +238,97 @@ def _answers(messages: DataFrame) -> DataFrame:
 
 #: Kinds of rows that meet by portion: answers, texts that have copies (one of each is kept, the others go), texts.
 ANSWER, KEPT, GONE, TEXT = range(4)
-#: A row is a text (id, sha, compressed words) or a run of windows estimated repeated (id, start and the windows' hashes).
-PARTS = "id long, sha binary, words binary, start int, h1 array<long>, h2 array<long>"
 
 
-def _selected(stream: DataFrame, size: int) -> DataFrame:
-    """(chunk, kind, first, idx, sha, data) rows -> the texts with runs estimated repeated, and these runs."""
-    names = ["id", "sha", "words", "start", "h1", "h2"]
-    lists = pa.list_(pa.int64())
-
-    def picked(chunk, flags, marks, texts):
-        """Rows of some texts (first, idx, sha, words) of a portion."""
-        raw = zstandard.ZstdDecompressor()
-        w = Words([raw.decompress(t[3]) for t in texts])
-        x = w.hashes()
-        start, count, _ = runs(x, w, size)
-        owner = np.searchsorted(w.first, start, side="right") - 1
-        number = np.arange(len(start)) - np.searchsorted(start, w.first[:-1])[owner] + np.array([t[0] for t in texts], dtype=np.int64)[owner]
-        hit = np.flatnonzero(flags[np.minimum(number, len(flags) - 1)] & (number < len(flags)))
-        if not len(hit):
-            return
-        start, count, owner = start[hit], count[hit], owner[hit]
-        ids = np.array([(chunk << 22) + t[1] for t in texts], dtype=np.int64)
-        own = [k for k in np.unique(owner).tolist() if marks.get(texts[k][0]) != KEPT]
-        if own:
-            cols = [pa.array(ids[own]), pa.array([texts[k][2] for k in own], pa.binary()), pa.array([texts[k][3] for k in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(own), pa.int32()), pa.nulls(len(own), lists), pa.nulls(len(own), lists)], names=names)
-        offsets = np.concatenate([[0], np.cumsum(count)])
-        windows = np.repeat(start - offsets[:-1], count) + np.arange(offsets[-1])
-        h = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams(v, size, 3 + k)[windows].view(np.int64))) for k, v in enumerate((x, w.hashes(1)))]
-        m = len(start)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array((start - w.first[owner]).astype(np.int32)), *h], names=names)
+def _hit(stream: DataFrame) -> DataFrame:
+    """(chunk, kind, first, count, idx, sha, at) rows -> (num, sha, copied, at): the texts with runs estimated repeated, and which these are."""
 
     def run(batches):
-        chunk, hits, flags, marks, texts, held = None, [], None, {}, [], 0
+        chunk, hits, before, marks = None, [], None, {}
         for b in batches:
-            for c, kind, first, idx, sha, data in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if texts and (c != chunk or held > 1 << 19):
-                    yield from picked(chunk, flags, marks, texts)
-                    texts, held = [], 0
+            out = [], [], [], []
+            for c, kind, first, count, idx, sha, at in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if c != chunk:
-                    chunk, hits, flags, marks = c, [], None, {}
+                    chunk, hits, before, marks = c, [], None, {}
                 if kind == ANSWER:
-                    hits.append(_unpack(data))
+                    hits.append(_unpack(at))
                 elif kind != TEXT:
                     marks[first] = kind
                 elif hits and marks.get(first) != GONE:
-                    if flags is None:
-                        every = np.concatenate(hits)
-                        flags = np.zeros(int(every.max()) + 1, dtype=bool)
-                        flags[every] = True
-                    texts.append((first, idx, sha, data))
-                    held += len(data)
-        if texts:
-            yield from picked(chunk, flags, marks, texts)
+                    if before is None:
+                        before = np.sort(np.concatenate(hits))
+                    low, high = np.searchsorted(before, (first, first + count))
+                    if high > low:
+                        for col, v in zip(out, ((chunk << 22) + idx, sha, first in marks, _pack(before[low:high] - first))):
+                            col.append(v)
+            kinds = (pa.int64(), pa.binary(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(out, kinds)], names=["num", "sha", "copied", "at"])
+
+    return stream.repartition("chunk").sortWithinPartitions("chunk", "kind", "first").mapInArrow(run, "num long, sha binary, copied boolean, at binary")
+
+
+def _reread(base: DataFrame, rows: DataFrame, hit: DataFrame) -> DataFrame:
+    """(sha, words): the words of each text in ``hit``, once, found by the id of one of its rows; rows without an id are all read."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for b in slices(batches):
+            normal = _normal(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(_sha(normal), pa.binary()), pa.array([press.compress(t) for t in normal], pa.binary())], names=["sha", "words"])
+
+    ids = rows.join(small(hit.select("sha")), "sha", "left_semi").groupBy("sha").agg(F.min("id").alias("id")).where("id IS NOT NULL").select("id").distinct()
+    texts = base.join(small(cut(ids)), "id", "left_semi").select("t").union(base.where("id IS NULL").select("t"))
+    return texts.mapInArrow(run, "sha binary, words binary").groupBy("sha").agg(F.first("words").alias("words"))
+
+
+#: A text with windows estimated repeated: its compressed words (null if the text has copies and so goes whole), the first window
+#: number of windows and windows before of each such run, and the hashes of all these windows.
+PARTS = "num long, sha binary, words binary, start array<int>, n array<int>, before array<int>, h1 array<long>, h2 array<long>"
+
+
+def _windows(texts: DataFrame, size: int) -> DataFrame:
+    """(num, sha, copied, at, words) -> PARTS."""
+
+    def parts(num, sha, copied, at, words, normal):
+        w = Words(normal)
+        x = w.hashes()
+        start, count, _ = runs(x, w, size)
+        edges = np.searchsorted(start, w.first)
+        picked = [_unpack(a) + e for a, e in zip(at, edges.tolist())]
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in picked])])
+        hit = np.concatenate(picked)
+        start, count = start[hit], count[hit]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        windows = np.repeat(start - ends[:-1], count) + np.arange(ends[-1])
+        own = np.repeat(w.first[:-1], np.diff(offsets))
+        of_runs = lambda v: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v.astype(np.int32)))
+        of_windows = lambda v, k: pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(grams(v, size, k)[windows].view(np.int64)))
+        kept = [None if c else t for c, t in zip(copied, words)]
+        cols = [pa.array(num, pa.int64()), pa.array(sha, pa.binary()), pa.array(kept, pa.binary()), of_runs(start - own), of_runs(count), of_runs(ends[:-1] - np.repeat(ends[offsets[:-1]], np.diff(offsets))), of_windows(x, 3), of_windows(w.hashes(1), 4)]
+        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in PARTS.split(", ")])
+
+    def run(batches):
+        raw = zstandard.ZstdDecompressor()
+        for b in slices(batches):
+            cols = [c.to_pylist() for c in b.columns]
+            normal = [raw.decompress(t) for t in cols[4]]
+            for i, j in chunks(normal):
+                yield parts(*(c[i:j] for c in cols), normal[i:j])
+
+    return texts.select("num", "sha", "copied", "at", "words").mapInArrow(run, PARTS)
+
 
-    return stream.repartition("chunk").sortWithinPartitions("chunk", "kind", "first").mapInArrow(run, PARTS)
+def _runs_of(parts: DataFrame) -> DataFrame:
+    """PARTS -> a row for each run: id (the text's number), start, n, r1 and r2 (hashes of its ends and length), h1, h2."""
+    each = parts.select(F.col("num").alias("id"), "h1", "h2", F.inline(F.arrays_zip("start", "n", "before")))
+    part = lambda h: F.slice(h, F.col("before") + 1, F.col("n"))
+    each = each.select("id", "start", "n", part("h1").alias("h1"), part("h2").alias("h2"))
+    ends = [F.element_at("h1", 1), F.element_at("h2", 1), F.element_at("h1", -1), F.element_at("h2", -1), F.col("n")]
+    return each.select("id", "start", "n", F.xxhash64(*ends).alias("r1"), F.xxhash64(F.lit(1), *ends).alias("r2"), "h1", "h2")
 
 
-def _repeated(runs_: DataFrame) -> DataFrame:
-    """(id, start, h1, h2) runs -> (id, start, n): the repeated windows.
+def _repeated(keyed: DataFrame) -> DataFrame:
+    """Runs -> (id, start, n): the repeated windows.
 
     A run is shorter than a window, so equal runs have equal first and last
     windows and lengths (two windows less than a window apart fix every word
@@ -304,8 +336,6 @@ def _repeated(runs_: DataFrame) -> DataFrame:
     twice are repeated. One of each run then brings its windows to the exact
     grouping, and only runs that stand once ask for its answer.
     """
-    ends = [F.element_at("h1", 1), F.element_at("h2", 1), F.element_at("h1", -1), F.element_at("h2", -1), F.size("h1")]
-    keyed = runs_.select("id", "start", F.xxhash64(*ends).alias("r1"), F.xxhash64(F.lit(1), *ends).alias("r2"), F.size("h1").alias("n"), "h1", "h2")
     kinds = keyed.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.first(F.struct("id", "start", "h1", "h2")).alias("x")).select("r1", "r2", "c", "x.*")
     whole = keyed.select("id", "start", "n", "r1", "r2").join(kinds.where("c > 1").select("r1", "r2"), ["r1", "r2"], "left_semi").select("id", "start", "n")
     # both uses below read all columns of the grouping, so that its exchange, the largest one, is made once
@@ -360,12 +390,13 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = copies.groupBy("sha").agg(F.min(F.struct("chunk", "first")).alias("k")).select("sha", "k.*", F.lit(KEPT).alias("kind"))
     marks = copies.join(one, ["sha", "chunk", "first"], "left").select("chunk", F.coalesce("kind", F.lit(GONE)).alias("kind"), "first")
     none = lambda t: F.lit(None).cast(t)
-    stream = texts.select("chunk", F.lit(TEXT).alias("kind"), "first", "idx", "sha", F.col("words").alias("data"))
-    stream = stream.union(answers.select("chunk", F.lit(ANSWER), none("int"), none("int"), none("binary"), "at"))
-    stream = stream.union(marks.select("chunk", "kind", "first", none("int"), none("binary"), none("binary")))
-    parts = cut(_selected(stream, size))
-    at = _repeated(parts.where("start IS NOT NULL").select("id", "start", "h1", "h2")).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    partly = _strip(parts.where("words IS NOT NULL").select("id", "sha", "words").join(at, "id"), size)
+    stream = texts.select("chunk", F.lit(TEXT).alias("kind"), "first", "count", "idx", "sha", none("binary").alias("at"))
+    stream = stream.union(answers.select("chunk", F.lit(ANSWER), none("int"), none("int"), none("int"), none("binary"), "at"))
+    stream = stream.union(marks.select("chunk", "kind", "first", none("int"), none("int"), none("binary"), none("binary")))
+    hit = cut(_hit(stream))
+    parts = cut(_windows(_reread(base, rows, hit).join(hit, "sha"), size))
+    at = _repeated(_runs_of(parts)).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("at")).withColumnRenamed("id", "num")
+    partly = _strip(parts.where("words IS NOT NULL").select("num", "sha", "words").join(at, "num"), size)
     lost = partly.union(whole.select("sha", none("long").alias("n_removed"), none("binary").alias("kept")))
     return rows, lost
 

@@ -1,7 +1,10 @@
 """The corpus pipeline: quality, near-dedup, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's docs.
+as Parquet and read again as the next stage's docs. All stages keep extra
+columns and take empty tables, empty and very long texts, ties and repeated
+rows; null texts count as empty, and rows without an id are never dropped for
+being copies. What each does with such rows is said at its operator.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every use of a document."""
-    return sharding.op8_sharding(docs)
+    """Every use of a document with its shard and slot, its text and other columns."""
+    return sharding.shards_of(docs)
 
 
 STAGES = [
@@ -53,14 +56,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    The last stage's files are the result and stay; the others are deleted as
+    soon as they were read, and all of them if a stage fails.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            _delete(spark, f"{folder}/{k - 1}")  # what a stage has read is not needed any more
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _delete(spark, f"{folder}/{k - 1}")
+    except BaseException:
+        _delete(spark, folder)
+        raise
     return docs
 
 

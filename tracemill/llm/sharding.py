@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import cut
@@ -22,7 +22,8 @@ def assign(keys: DataFrame, order: list[str], shards: int = 8, size: str = "size
     shards are contiguous in ``order``. Slots count a shard's rows from 0.
     Equal keys and repeated rows are told apart by arrival; identical rows are
     interchangeable, so the rows of the result are fixed. Nulls sort first. An
-    empty table gives an empty result.
+    empty table gives an empty result. Other columns are kept; names that begin
+    with an underscore are reserved.
     """
     parts = ranged(keys, order)
     total = parts.agg(F.sum(size)).first()[0] or 1
@@ -42,6 +43,24 @@ def op8_sharding(docs: DataFrame, shards: int = 8) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def shards_of(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """What ``op8_sharding`` says of each row, and then all other columns of ``docs``, text included.
+
+    Rows meet their places by id, size and checksum. Rows alike in these, as
+    uses of one document are, take the places of their kind one each. Columns
+    of ``docs`` that are named as one of the result's are left out; null ids,
+    null texts and repeated rows have places like any other row.
+    """
+    key = lambda size, crc: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size, crc)
+    text = F.col("text").cast("string")
+    places = op8_sharding(docs, shards)
+    numbered = places.withColumn("_key", key(F.col("size"), F.col("text_crc32"))).withColumn("_use", F.row_number().over(Window.partitionBy("_key").orderBy("shard", "slot")))
+    rest = [c for c in docs.columns if c not in places.columns]
+    rows = docs.select(*[F.col(c) for c in rest], key(size_of(text), F.crc32(F.coalesce(text.cast("binary"), F.lit(b"")))).alias("_key"))
+    rows = rows.withColumn("_use", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    return numbered.join(rows, ["_key", "_use"]).select(*places.columns, *rest)
+
+
 #: CRC-32 by its table, itself from the rule for polynomial 0xEDB88320 (eight shift steps an entry), since DuckDB has no such function.
 OP8_SQL = """
 WITH tbl AS (

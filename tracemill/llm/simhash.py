@@ -18,8 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracemill.llm.common import cut, slices, small
 from tracemill.llm.graph import components
@@ -195,16 +197,18 @@ def _sets(normal: list[bytes], shingle: int):
                 yield np.array([xxhash.xxh64_intdigest(t, 42)] if n else [], dtype=np.uint64)
 
 
-def contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, c): a hash of each text's word sequence."""
+def contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, c, fp): a hash of each text's word sequence, and its fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in slices(batches):
-            c = np.array([_content(_words(t)) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c)], names=["id", "c"])
+            texts = b.column(1).to_pylist()
+            c = np.array([_content(_words(t)) for t in texts], dtype=np.uint64).view(np.int64)
+            fp = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), fp], names=["id", "c", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, c long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, c long, fp long")
 
 
 #: log2 of the counters that tell common shingles from rare ones, and of those in a piece.
@@ -284,76 +288,155 @@ def _may(x, i, y, j, similarity: float):
     return (np.minimum(x - i, y - j) >= similarity / (1 + similarity) * (x + y) - 1e-6) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
 
 
-def _shared(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """(h, c, n, pos, low, high): the prefix shingles that stand in several texts, with the least and the greatest text of each, or
-    the own one where these can't be alike."""
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(h, c, n, pos): the prefix shingles that stand in several texts, once for each text."""
 
     def run(batches):
         for h, c, n, pos in _grouped(batches):
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])  # copies bring the same rows
             h, c, n, pos = h[new], c[new], n[new], pos[new]
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            ends = np.append(starts[1:], len(h))
-            size = np.repeat(ends - starts, ends - starts)
-            at = [np.repeat(x, ends - starts) for x in (starts, ends - 1)]
-            low, high = (np.where(_may(n, pos, n[x], pos[x], similarity), c[x], c) for x in at)
-            keep = size > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, n, pos, low, high)], names=["h", "c", "n", "pos", "low", "high"])
+            size = np.diff(np.append(starts, len(h)))
+            keep = np.repeat(size, size) > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, n, pos)], names=["h", "c", "n", "pos"])
 
-    dealt = prefixes.repartition("h").sortWithinPartitions("h", "c")
-    return dealt.mapInArrow(run, "h long, c long, n int, pos int, low long, high long")
+    return prefixes.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, "h long, c long, n int, pos int")
 
 
-def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The (a, b) edges whose texts' shingle sets have at least the Jaccard similarity. ``texts``: (t), all that are asked for."""
+def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``shared`` with the root of each text's group so far."""
+    own = shared.select("h", "c", "n", "pos").join(small(roots).toDF("c", "root"), "c", "left")
+    return own.select("h", "c", "n", "pos", F.coalesce("root", "c").alias("root"))
+
+
+def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``shared``, with roots, whose shingle stands in texts of several groups."""
+
+    def run(batches):
+        for cols in _grouped(batches):
+            h, root = cols[0], cols[4]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            many = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            keep = np.repeat(many, np.diff(np.append(starts, len(h))))
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["h", "c", "n", "pos", "root"])
+
+    dealt = _rooted(shared, roots).repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "h long, c long, n int, pos int, root long")
 
-    def sets(batches):
+
+def _offers(open_: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b): one partner of another group for each text, the first it can be alike in an order that changes with ``turn``."""
+
+    def rank(c):
+        return mix(c.view(np.uint64) + np.uint64(2 * turn + 1))
+
+    def run(batches):
+        for h, c, n, pos, root in _grouped(batches):
+            order = np.lexsort((rank(c), h))
+            h, c, n, pos, root = (x[order] for x in (h, c, n, pos, root))
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(starts, len(h)))
+            first = np.repeat(starts, size)
+            # the first text of the shingle, and for those of its group the first of another one
+            other = np.where(root != root[first], np.arange(len(h)), len(h))
+            second = np.repeat(np.minimum.reduceat(other, starts), size)
+            partner = np.where(root != root[first], first, np.minimum(second, len(h) - 1))
+            ok = (root[partner] != root) & _may(n, pos, n[partner], pos[partner], similarity)
+            a, b = c[ok], c[partner[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rank(b).view(np.int64))], names=["a", "b", "r"])
+
+    dealt = open_.repartition("h").sortWithinPartitions("h")
+    each = dealt.mapInArrow(run, "a long, b long, r long")
+    return each.groupBy("a").agg(F.min(F.struct("r", "b")).alias("x")).select("a", "x.b")
+
+
+def _texts_of(asked: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(c, w): the compressed words of the texts asked for, read from ``docs`` by the id of one row of each."""
+
+    def packed(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
             normal = _normal(b.column(0).to_pylist())
             c = np.array([xxhash.xxh64_intdigest(t, 1) for t in normal], dtype=np.uint64).view(np.int64)
-            s = pa.array([x.view(np.int64) for x in _sets(normal, shingle)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c), s], names=["c", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([press.compress(t) for t in normal], pa.binary())], names=["c", "w"])
+
+    one = cut(rows.where("id IS NOT NULL").join(asked, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(small(one.select("id").distinct()), "id", "left_semi").select("t")
+    return cut(text.mapInArrow(packed, "c long, w binary").dropDuplicates(["c"]))
+
+
+def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (a, b) edges whose texts' shingle sets have at least the Jaccard similarity."""
 
     def compare(batches):
-        for b in batches:
+        raw = zstandard.ZstdDecompressor()
+        for b in slices(batches, 200):
+            at: dict[bytes, int] = {}
+            place = [[at.setdefault(w, len(at)) for w in b.column(k).to_pylist()] for k in (2, 3)]
+            sets = list(_sets([raw.decompress(w) for w in at], shingle))
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+            for x, y in zip(*place):
+                x, y = sets[x], sets[y]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    s = cut(texts.mapInArrow(sets, "c long, s array<long>").dropDuplicates(["c"]))
-    pairs = edges.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return pairs.mapInArrow(compare, "a long, b long")
-
-
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) by links between texts whose sets of ``shingle``-word shingles are at least ``similarity`` alike.
-
-    Candidates come from prefixes: of two sets of n and m shingles that are so
-    much alike, with all shingles in one order, the first n - ceil(similarity n)
-    + 1 of the one and as many of the other by m have one in common, wherever
-    words were put in, left out or replaced. Shingles are ordered by how common
-    they are, rare ones first, so that a passage that many texts hold seldom
-    makes candidates. The texts of one shingle are first held against its least
-    and its greatest, which gathers most of a group at little cost; then all
-    its pairs that are not together yet are tried, so none is left out. Each
-    candidate link is verified on the full shingle sets, so no link is false.
-    Rows with equal word sequences are always together. Null and empty texts
-    are one group.
+    pairs = edges.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return cut(pairs.mapInArrow(compare, "a long, b long"))
+
+
+#: Turns in which each text of an unsettled shingle tries one partner, before all pairs that are left are tried.
+TURNS = 8
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, c, component_id) by links between texts whose sets of ``shingle``-word shingles are at least ``similarity`` alike.
+
+    First the SimHash blocks: texts whose fingerprints differ in ``distance``
+    bits or fewer are candidates. Sets that are just ``similarity`` alike have
+    fingerprints some ten bits apart, which no blocks can find, so the rest comes
+    from prefixes: of two sets of n and m shingles that are so much alike, with
+    all shingles in one order, the first n - ceil(similarity n) + 1 of the one
+    and as many of the other by m have one in common, wherever words were put
+    in, left out or replaced. Shingles are ordered by how common they are, rare
+    ones first, so that a passage that many texts hold seldom makes candidates.
+    In each of a few turns every text tries one partner that it shares a prefix
+    shingle and not yet a group with, which gathers a large group in stars; then
+    all pairs that are not together yet are tried, so none is left out. Each
+    candidate is verified on the full shingle sets, so no link is false.
+
+    Rows with equal word sequences (hash c) are always together. Null and empty
+    texts are one group. Texts that stand only in rows without an id can't be
+    read again and link to their equals alone.
     """
-    rows = cut(contents(docs, id_col, text_col))
+    rows = cut(contents(docs, id_col, text_col, shingle))
     texts = docs.select(F.col(text_col).cast("string").alias("t"))
     common = docs.sparkSession.sparkContext.broadcast(_commonness(texts, shingle))
-    shared = cut(_shared(_prefixes(texts, shingle, similarity, common), similarity))
-    tried = cut(_ordered(shared.select(F.col("c").alias("a"), F.col("low").alias("b")).union(shared.select("c", "high"))))
-    held = cut(_checked(tried, rows, docs, id_col, text_col, shingle, similarity))
-    rest = _ordered(_apart(shared, components(held), similarity)).join(tried, ["a", "b"], "left_anti")
-    roots = components(held.union(_checked(cut(rest), rows, docs, id_col, text_col, shingle, similarity)))
+    shared = cut(_shared(_prefixes(texts, shingle, similarity, common)))
+    # the fingerprints' links, between one text of each value, and from each text to the one of its value
+    values = cut(rows.groupBy("fp").agg(F.min("c").alias("c")))
+    near = links(values.select("fp"), distance).join(values.toDF("a", "ca"), "a").join(values.toDF("b", "cb"), "b").select("ca", "cb")
+    same = rows.select("c", "fp").distinct().join(small(values).toDF("fp", "to"), "fp").select("c", "to")
+    tried = cut(_ordered(near.union(same).toDF("a", "b")))
+    asked = shared.select("c").union(tried.select("a")).union(tried.select("b")).distinct()
+    words = _texts_of(asked, rows, docs, id_col, text_col)
+    held = _verified(tried, words, shingle, similarity)
+    roots = components(held)
+    left = None
+    for turn in range(TURNS):
+        shared = cut(_unsettled(shared, roots))
+        before, left = left, shared.select("c").distinct().count()
+        if not left or before is not None and left > 0.9 * before:
+            break
+        new = cut(_ordered(_offers(shared, turn, similarity)).join(tried, ["a", "b"], "left_anti"))
+        tried, found = tried.union(new), _verified(new, words, shingle, similarity)
+        held = held.union(found)
+        roots = components(held)
+    rest = cut(_ordered(_apart(shared, roots, similarity)).join(tried, ["a", "b"], "left_anti"))
+    roots = components(held.union(_verified(rest, words, shingle, similarity)))
     named = rows.select("id", "c").join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    named = cut(named.select("id", "root"))
-    return named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+    named = cut(named.select("id", "c", "root"))
+    return named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "c", "component_id")
 
 
 #: Rows of a block that are held against its others at once.
@@ -399,8 +482,7 @@ def _apart(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
         pairs_ = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs_[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    own = shared.select("h", "c", "n", "pos").join(small(roots).toDF("c", "root"), "c", "left")
-    dealt = own.select("h", "c", "n", "pos", F.coalesce("root", "c").alias("root")).repartition("h").sortWithinPartitions("h", "n")
+    dealt = _rooted(shared, roots).repartition("h").sortWithinPartitions("h", "n")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -409,31 +491,27 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _checked(edges: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The materialised (a, b) ``edges`` that hold, with the texts read from ``docs``."""
-    asked = edges.select(F.col("a").alias("c")).union(edges.select("b")).distinct()
-    # one row of each text asked for; its id leads back to the text
-    one = cut(rows.where("id IS NOT NULL").join(asked, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(small(one.select("id").distinct()), "id", "left_semi").select("t")
-    return _verified(edges, text, shingle, similarity)
-
-
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and more, unchanged) that stay when one document of each group of ``similar`` is kept, that of the least id.
 
-    Only the ids that go meet the texts. Rows that share an id are one document:
-    it goes if any of its rows links to a smaller id, and one of its rows stays
-    otherwise. Rows without an id can't be named and stay.
+    Only the ids that go meet the texts. Of rows with one id and equal words one
+    stays at most; rows with one id and different words are judged by their own
+    text. Rows without an id can't be named and stay. An empty table gives an
+    empty result; other columns, whatever their names, are unchanged.
     """
     out = cut(similar(docs, **options))
-    gone = cut(out.where("component_id < id").select(F.col("id").alias("doc_id")).distinct())
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = out.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
+    again = cut(out.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")))
+    gone = cut(out.where("component_id < id").select(F.col("id").alias("doc_id"), "c").distinct())
     if again.isEmpty():
-        return kept
-    # ids that stand in several rows, if there are any: one row of each
-    again = cut(again)
-    single = kept.join(small(again), "doc_id", "left_anti").select(*docs.columns)
-    return single.union(kept.join(small(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return docs.join(small(gone.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    # ids that stand in several rows are told apart by their words, and taken apart from the others
+    single = docs.join(small(gone.select("doc_id").union(again).distinct()), "doc_id", "left_anti").select(*docs.columns)
+    several, at, own = docs.join(small(again), "doc_id", "left_semi").select(*docs.columns), docs.columns.index("text"), "__words"
 
+    def run(batches):
+        for b in slices(batches):
+            c = np.array([_content(_words(t)) for t in b.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield b.append_column(own, pa.array(c))
 
+    known = several.mapInArrow(run, StructType([*several.schema.fields, StructField(own, LongType())])).dropDuplicates(["doc_id", own])
+    return single.union(known.join(gone.toDF("doc_id", own), ["doc_id", own], "left_anti").select(*docs.columns))

@@ -394,7 +394,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stream = stream.union(answers.select("chunk", F.lit(ANSWER), none("int"), none("int"), none("int"), none("binary"), "at"))
     stream = stream.union(marks.select("chunk", "kind", "first", none("int"), none("int"), none("binary"), none("binary")))
     hit = cut(_hit(stream))
-    parts = cut(_windows(_reread(base, rows, hit).join(hit, "sha"), size))
+    # made again for each use from the exchange of the words, which is smaller than the windows
+    parts = _windows(_reread(base, rows, hit).join(hit, "sha"), size)
     at = _repeated(_runs_of(parts)).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("at")).withColumnRenamed("id", "num")
     partly = _strip(parts.where("words IS NOT NULL").select("num", "sha", "words").join(at, "num"), size)
     lost = partly.union(whole.select("sha", none("long").alias("n_removed"), none("binary").alias("kept")))

@@ -402,7 +402,7 @@ def test_leaks_match_brute_force():
                 del chars[k]
         texts.append(" ".join(word() for _ in range(rng.randint(0, 30))) + " " + "".join(chars) + " " + " ".join(word() for _ in range(rng.randint(0, 30))))
     texts += [None, "", "short", items[0][1]]
-    index = decontaminate.Index(items, 0.1, 40)
+    index = decontaminate.Index(items, 0.1)
     got = {(t, index.ids[i]): e for t, hits in enumerate(decontaminate.leaks(index, texts)) for i, e, _ in hits}
     norm = lambda s: " ".join((s or "").lower().split())
     want = {}
@@ -414,6 +414,24 @@ def test_leaks_match_brute_force():
     assert got == want and len(want) > 20
 
 
+def test_short_items_are_found_as_whole_words(docs_of, spark):
+    items = [(1, "yes"), (2, "It is"), (3, "What is 2+2?"), (4, "seventeen"), (5, "on the table"), (6, ""), (7, None), (8, "a b")]
+    texts = {
+        1: "YES", 2: "yesterday eyes", 3: "so it  is\nsaid", 4: "quit is", 5: "q: what is 2+2? 4", 6: "xwhat is 2+2?", 7: "seventeenth", 8: "of seventeen",
+        9: "on  The table", 10: "on the tables, on the table", 11: None, 12: "", 13: "a a b", 14: "ab a", 15: "what is 2+3?",
+    }
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of([(d, t, "s") for d, t in texts.items()])
+    norm = lambda s: " ".join((s or "").lower().split())
+    want = {(d, i) for d, t in texts.items() for i, b in items if norm(b) and f" {norm(b)} " in f" {norm(t)} "}
+    got = decontaminate.op6_decontamination(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and all(r["edits"] == 0 for r in got)
+    assert {(1, 1), (3, 2), (5, 3), (8, 4), (9, 5), (10, 5), (13, 8)} == want
+    for most in (8_000_000, 20):
+        left = decontaminate.clean(docs, bench, most_chars=most)
+        assert {r["doc_id"] for r in left.collect()} == set(texts) - {d for d, _ in want} and left.columns == docs.columns
+
+
 def test_decontamination_of_tables(spark, sf, odd, nothing):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     norm = lambda s: " ".join((s or "").lower().split())
@@ -426,6 +444,7 @@ def test_decontamination_of_tables(spark, sf, odd, nothing):
     assert {r["doc_id"] for r in left.collect()} == set(texts) - {d for d, _ in got} and left.columns == docs.columns
     blocks = decontaminate.find_leaks(docs, bench, most_chars=2000)
     assert {(r["id"], r["item"]) for r in blocks.collect()} == set(got)
+    assert Counter(r["doc_id"] for r in decontaminate.clean(docs, bench, most_chars=2000).collect()) == Counter(r["doc_id"] for r in left.collect())
     assert decontaminate.op6_decontamination(odd, bench).count() == 0 and decontaminate.clean(odd, bench).count() == odd.count()
     assert decontaminate.op6_decontamination(nothing, bench).count() == 0 and decontaminate.op6_decontamination(docs, bench.limit(0)).count() == 0
 

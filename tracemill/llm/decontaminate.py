@@ -5,6 +5,9 @@ least n - q + 1 - k q character q-grams with it, all on diagonals at most k
 apart. Shared q-grams are therefore counted per item in bands of 2 (k + 1)
 diagonals that overlap by half, so that one band holds them all; only bands
 that reach the bound are aligned, and only alignments within the budget count.
+Items under 2 q characters have no budget: they count where they stand exactly,
+as whole words. Those under q characters have no q-gram and are looked up by
+their words.
 Texts and items are compared in lower case with each run of white space as one
 space. Each text is scanned whole, where it lies: there is no shuffle of texts.
 """
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import keep_rows, slices
+from tracemill.llm.common import cut, keep_rows, slices, small
 from tracemill.llm.textkit import U
 
 Q = 8
@@ -30,9 +33,15 @@ def normal(text: str | None) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+def _string(x: np.ndarray) -> str:
+    return x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def qgrams(x: np.ndarray) -> np.ndarray:
     """Polynomial hash of the Q characters from each place on."""
     h, base, width = x.astype(np.uint64), BASE, 1
+    if len(x) < Q:
+        return h[:0]
     while width < Q:
         h = h[:-width] * base + h[width:]
         base = U(int(base) * int(base) & (1 << 64) - 1)
@@ -45,14 +54,19 @@ class Index:
 
     BITS = 21
 
-    def __init__(self, items: list[tuple[object, str]], rate: float, least_chars: int):
-        kept = [(i, x) for i, x in ((i, normal(t)) for i, t in items) if len(x) >= max(least_chars, 2 * Q)]
+    def __init__(self, items: list[tuple[object, str]], rate: float):
+        kept = [(i, x) for i, x in ((i, normal(t)) for i, t in items) if len(x)]
         self.ids = [i for i, _ in kept]
         self.text = [x for _, x in kept]
         self.n = np.array([len(x) for x in self.text], dtype=np.int64)
         # the budget never exceeds what the bound can tell from nothing
-        self.k = np.minimum((rate * self.n).astype(np.int64), (self.n - Q) // Q)
+        self.k = np.clip((rate * self.n).astype(np.int64), 0, np.maximum(0, (self.n - Q) // Q))
         self.bound = self.n - Q + 1 - self.k * Q
+        #: items without a q-gram by their words, and the numbers of words these have
+        self.tiny: dict[tuple[str, ...], list[int]] = {}
+        for i in np.flatnonzero(self.n < Q).tolist():
+            self.tiny.setdefault(tuple(_string(self.text[i]).split()), []).append(i)
+        self.tiny_words = sorted({len(w) for w in self.tiny})
         grams = [qgrams(x) for x in self.text]
         all_ = np.concatenate([np.zeros(0, U), *grams])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -89,6 +103,18 @@ class Index:
         good = joined >= self.bound[key >> 40]
         return key[good] >> 40, key[good] & ((1 << 40) - 1)
 
+    def short(self, x: np.ndarray) -> dict[int, int]:
+        """The items without a q-gram that stand in a character array as whole words, each with the end of its first place."""
+        found: dict[int, int] = {}
+        if self.tiny and len(x):
+            words = _string(x).split(" ")
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            for k in self.tiny_words:
+                for at, own in enumerate(zip(*(words[j:] for j in range(k)))):
+                    for i in self.tiny.get(own, ()):
+                        found.setdefault(i, int(ends[at + k - 1]))
+        return found
+
     def span(self, item: int, band: int) -> tuple[int, int]:
         """First diagonal and number of diagonals of a candidate's two bands."""
         k = int(self.k[item])
@@ -118,6 +144,20 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, width: int, k: int) -
     return int(row[best]), start + n + best
 
 
+def _whole(text: np.ndarray, begin: int, end: int) -> bool:
+    """Whether a stretch of a text begins and ends with words."""
+    return (begin <= 0 or text[begin - 1] == 32) and (end >= len(text) or text[end] == 32)
+
+
+def _exact(index: Index, item: int, text: np.ndarray, low: int, width: int) -> int | None:
+    """Where a short item first stands in a text as whole words, beginning on one of the diagonals."""
+    n = int(index.n[item])
+    for begin in range(max(0, low), min(len(text) - n, low + width - 1) + 1):
+        if np.array_equal(text[begin : begin + n], index.text[item]) and _whole(text, begin, begin + n):
+            return begin + n
+    return None
+
+
 def leaks(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
     """For each text the items found: (item number, edits, where it ends), the best place of each item."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -142,41 +182,55 @@ def leaks(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, in
                 begin = int(ends[d]) - 1 - len(part[d])
                 if begin >= low + width + n + k:
                     break
+                if n < 2 * Q:
+                    end = _exact(index, item, part[d], low - begin, width)
+                    if end is not None:
+                        best[d, item] = min(best.get((d, item), (1, 0)), (0, end))
+                    continue
                 edits, end = align(index.text[item], part[d], low - begin, width, k)
                 if edits <= k and (edits, end) < best.get((d, item), (k + 1, 0)):
                     best[d, item] = (edits, end)
+        for d, x in enumerate(part) if index.tiny else ():
+            best |= {(d, item): (0, end) for item, end in index.short(x).items()}
         for (d, item), (edits, end) in sorted(best.items()):
             out[i + d].append((item, edits, end))
         i = j
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most_chars: int):
-    """The items in blocks of about ``most_chars`` characters, each small enough to be sent to every task."""
+def _parts(benchmark: DataFrame, text_col: str, most_chars: int) -> int:
+    """Blocks of about ``most_chars`` characters, each small enough to be sent to every task."""
+    total = benchmark.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    return int(max(1, -(-total // most_chars)))
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, parts: int):
+    """The items in blocks, by a hash."""
     items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    parts = int(max(1, -(-total // most_chars)))
     for p in range(parts):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).orderBy("i", "t").collect()
         yield [(r["i"], r["t"]) for r in rows]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.1, least_chars: int = 40, most_chars: int = 8_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.1, most_chars: int = 8_000_000) -> DataFrame:
     """(id, item, edits, share, end) for each benchmark item found in each row of ``docs``.
 
     An item is found where its text stands with at most ``rate`` of its length
-    in edits; ``end`` is where it ends in the normalised text. Items under
-    ``least_chars`` characters can't be told from chance and are left out. A
-    benchmark over ``most_chars`` characters is handled in blocks, a pass each.
+    in edits (items under 2 Q characters: exactly, as whole words); ``end`` is
+    where it ends in the normalised text. Null and empty items are found
+    nowhere. A benchmark over ``most_chars`` characters is handled in blocks, one
+    pass after the other, so that the driver and the tasks hold one at a time.
     Null and empty texts hold nothing; null ids are returned as they are;
     repeated rows give repeated results; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    found = None
-    for items in _blocks(benchmark, item_col, item_text, most_chars):
-        part = base.mapInArrow(_finder(Index(items, rate, least_chars), item_kind), f"id {kind}, item {item_kind}, edits int, share double, end long")
+    found, parts = None, _parts(benchmark, item_text, most_chars)
+    for items in _blocks(benchmark, item_col, item_text, parts):
+        part = base.mapInArrow(_finder(Index(items, rate), item_kind), f"id {kind}, item {item_kind}, edits int, share double, end long")
+        if parts > 1:
+            part = cut(part)
         found = part if found is None else found.union(part)
     return found
 
@@ -201,10 +255,26 @@ def op6_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", "share", "end")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 40, most_chars: int = 8_000_000) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, unchanged; each block of items is one filter on the text in place."""
-    out = docs
-    for items in _blocks(benchmark, "item_id", "text", most_chars):
-        index = Index(items, rate, least_chars)
-        out = keep_rows(out, "text", lambda texts, index=index: [not hits for hits in leaks(index, texts)])
-    return out
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, most_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, unchanged: texts are filtered where they lie.
+
+    Items count as in ``find_leaks``. Null and empty texts hold nothing and
+    stay; ties and repeated rows are judged alike; null ids and extra columns,
+    whatever their names, don't matter; empty tables give all of ``docs``. With
+    a benchmark of several blocks, each block's filter is one pass that notes
+    the hashes of the texts that go.
+    """
+    parts = _parts(benchmark, "text", most_chars)
+    blocks = _blocks(benchmark, "item_id", "text", parts)
+    if parts == 1:
+        index = Index(next(blocks), rate)
+        return keep_rows(docs, "text", lambda texts: [not hits for hits in leaks(index, texts)])
+    text = F.col("text").cast("string")
+    gone = None
+    for items in blocks:
+        index = Index(items, rate)
+        part = keep_rows(docs.select(text.alias("text")), "text", lambda texts, index=index: [bool(hits) for hits in leaks(index, texts)])
+        part = cut(part.select(F.xxhash64("text").alias("_h"), F.xxhash64(F.reverse("text")).alias("_r")).distinct())
+        gone = part if gone is None else gone.union(part)
+    gone = small(cut(gone.distinct()))
+    return docs.join(gone, (F.xxhash64(text) == gone["_h"]) & (F.xxhash64(F.reverse(text)) == gone["_r"]), "left_anti")

@@ -24,33 +24,62 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-#: Licence passages that the method labels itself: public licence wording, one or more templates a label.
+#: Licence passages that the method labels itself: public licence wording, one or more templates a label. Fixed values.
 TEMPLATES = {
     "mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
         "released under the mit license",
         "licensed under the mit license",
     ],
     "apache-2.0": [
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
         "licensed under the apache license version 2 0",
+        "released under the apache license version 2 0",
     ],
     "gpl-3.0": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
         "licensed under the gnu general public license version 3",
+        "you should have received a copy of the gnu general public license along with this program",
     ],
     "gpl-2.0": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
         "licensed under the gnu general public license version 2",
     ],
+    "lgpl": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        "licensed under the gnu lesser general public license version",
+    ],
+    "agpl-3.0": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "licensed under the gnu affero general public license version 3",
+    ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "licensed under the bsd license",
     ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "zlib": [
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    ],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "creative commons zero v1 0 universal", "released under cc0 1 0"],
+    "cc-by-4.0": ["this work is licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "no-warranty": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "epl-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"],
+    "no-warranty": [
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    ],
 }
 
 #: Byte table: A-Z to a-z, other ASCII but letters and digits to a space, the rest kept.
@@ -185,19 +214,22 @@ class Scanner:
         found = []
         for t, parts in spans.items():
             label, n = self.templates[t]
-            open_: list[list[int]] = []  # [text start, text end, template end, covered]
+            done: list[list[int]] = []  # [text start, text end, template end, covered]
+            open_: list[list[int]] = []
             for start, at, size in sorted(parts):
                 # the chain that this span best goes on with: text and template move on together
-                best = None
-                for chain in open_[-8:]:
+                best, still = None, []
+                for chain in open_:
                     skip, jump = start - chain[1], at - chain[2]
+                    (done if skip > self.gap else still).append(chain)
                     if 0 <= skip <= self.gap and 0 <= jump <= self.gap and (best is None or chain[3] > best[3]):
                         best = chain
+                open_ = still
                 if best is not None:
                     best[1], best[2], best[3] = start + size, at + size, best[3] + size
                 else:
                     open_.append([start, start + size, at + size, size])
-            found += [(label, a, b, covered / n) for a, b, _, covered in open_ if covered >= max(self.least, self.cover * n)]
+            found += [(label, a, b, covered / n) for a, b, _, covered in done + open_ if covered >= max(self.least, self.cover * n)]
         return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 

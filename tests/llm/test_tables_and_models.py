@@ -37,37 +37,47 @@ def test_odd_rows_match_the_sql(name, spark, odd, nothing, tmp_path):
     assert run(nothing).count() == 0
 
 
-def test_line_links_match_brute_force(docs_of):
-    def lev(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
+def lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("sizes", [(24,), (1, 2, 3, 4, 5), (6, 9, 12)])
+def test_line_links_match_brute_force(docs_of, sizes):
     rng = np.random.default_rng(2)
-    base = ["".join(rng.choice(list("abñ "), 24)) for _ in range(12)]
     some = set()
-    for b in base:
-        for _ in range(8):
-            c = list(b)
-            for _ in range(rng.integers(0, 4)):
-                k, a = rng.integers(len(c)), rng.integers(3)
-                if a == 0:
-                    c[k] = "x"
-                elif a == 1:
-                    c.insert(k, "y")
-                else:
-                    del c[k]
-            some.add("".join(c))
-    some = sorted(x for x in some if len(x) >= 20)
-    docs = docs_of([(i, x + "\n\nshort", "a") for i, x in enumerate(some)])
+    for size in sizes:
+        for b in ["".join(rng.choice(list("abñ 1"), size)) for _ in range(12)]:
+            for _ in range(8):
+                c = list(b)
+                for _ in range(rng.integers(0, 4)):
+                    k, a = rng.integers(len(c) + 1), rng.integers(3)
+                    if a == 0 and k < len(c):
+                        c[k] = "x"
+                    elif a == 1:
+                        c.insert(k, "y")
+                    elif k < len(c):
+                        del c[k]
+                some.add("".join(c))
+    some = sorted(some - {""})
+    docs = docs_of([(i, x + "\n\n" + some[0], "a") for i, x in enumerate(some)])
     got = {some[r["doc_id"]]: r["n_links"] for r in lines.op1_line_dedup(docs).collect() if r["line_no"] == 0}
     assert got == {x: sum(x != y and lev(x, y) <= 2 for y in some) for x in some}
 
 
+@pytest.mark.parametrize("edits", [1, 3])
+def test_lines_of_all_lengths_with_other_edits(docs_of, edits):
+    rng = np.random.default_rng(edits)
+    some = sorted({"".join(rng.choice(list("ab7😀"), rng.integers(1, 8))) for _ in range(120)})
+    got = {some[r["id"]]: r["n_links"] for r in lines.line_classes(docs_of([(i, x, "a") for i, x in enumerate(some)]), edits=edits).collect()}
+    assert got == {x: sum(x != y and lev(x, y) <= edits for y in some) for x in some}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_bit_parallel_distance(spark, edits):
     rng = np.random.default_rng(edits)
@@ -198,6 +208,31 @@ def test_neighbours_recall(spark):
     assert sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("kind", ["spread", "clusters"])
+def test_neighbours_are_whole_whatever_the_batches(spark, kind):
+    """20,000 vectors; a third of them in one dense cluster whose codes hardly differ."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 32))
+    if kind == "clusters":
+        x[::3] = rng.normal(size=32) + 0.05 * rng.normal(size=(len(x[::3]), 32))
+        x[1::9] = x[1] + 0.3 * rng.normal(size=(len(x[1::9]), 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    answers, size = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("10000", "700"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            answers.append([tuple(r) for r in ann.nearest(df, every=500, keep=20).orderBy("query_id", "rank").collect()])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = []
+    for i in range(0, len(x), 500):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        for rank, j in enumerate(sorted(np.argpartition(d, 20)[:20], key=lambda j: (d[j], j))[:10]):
+            want.append((i, rank + 1, int(j), float(d[j])))
+    assert answers[0] == answers[1] == want
+
+
 def test_neighbours_on_odd_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)] + [(i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(100, 400)]

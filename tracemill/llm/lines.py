@@ -35,8 +35,8 @@ def line_key(line: Column) -> Column:
     return F.shiftleft(F.xxhash64(line), 1)
 
 
-#: Letters that are counted, modulo 16, in four bits each.
-LETTERS = "etaoinsrhldcumgb"
+#: Characters that are counted, modulo 16, in four bits each.
+LETTERS = "etaoinsrhl012345"
 
 
 def letter_counts(line: Column) -> Column:
@@ -70,20 +70,22 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _signatures(lines: DataFrame, edits: int, least: int) -> DataFrame:
+def _signatures(lines: DataFrame, edits: int) -> DataFrame:
     """(k, own: keys the line is indexed by, probes: keys it is looked up with, c: letter counts), one row a class."""
     n = F.length("line")
-    base = lines.where(n >= least).select(line_key(F.col("line")).alias("k"), "line", n.alias("n"))
+    base = lines.where(n > edits).select(line_key(F.col("line")).alias("k"), "line", n.alias("n"))
 
     def key(length, i, start, size):
-        return F.xxhash64(length, F.lit(i), F.expr("line").substr(start, size))
+        return F.xxhash64(length, F.lit(i), F.expr("line").substr(start, size)).bitwiseOR(F.lit(1))
 
     cols = {f"o{i}": key(F.col("n"), i, s, size) for i, (s, size) in enumerate(_segments(F.col("n"), edits))}
     for gap in range(edits + 1):
         for i, (s, size) in enumerate(_segments(F.col("n") - gap, edits)):
             for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
                 if gap or shift:  # at equal length without a shift it is the line's own key
-                    cols[f"p{gap}_{i}_{shift + edits}"] = key(F.col("n") - gap, i, s + shift, size)
+                    h = key(F.col("n") - gap, i, s + shift, size)
+                    # 0 is no key: the shorter line would have fewer characters than segments
+                    cols[f"p{gap}_{i}_{shift + edits}"] = F.when(F.col("n") - gap > edits, h).otherwise(F.lit(0).cast("long")) if gap else h
     cols["c"] = letter_counts(F.col("line"))
     # all values of a class are equal: fixed-width minima, combined map-side
     one = base.select("k", *[c.alias(x) for x, c in cols.items()]).groupBy("k").agg(*[F.min(x).alias(x) for x in cols])
@@ -93,16 +95,27 @@ def _signatures(lines: DataFrame, edits: int, least: int) -> DataFrame:
     return one.select("k", F.array(*own).alias("own"), F.array(*probes).alias("probes"), "c")
 
 
-def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
+def _with_tiny(lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b) classes of a line of at most ``edits`` characters and a longer one that has a character of it, and a length to be within ``edits``."""
+    n = F.length("line")
+    short = lines.where(n <= 2 * edits).select(line_key(F.col("line")).alias("k"), "line", n.alias("n")).distinct()
+    char = F.explode(F.array_distinct(_none_if_blank(F.split("line", ""))))
+    own = short.where(F.col("n") <= edits).select(F.col("k").alias("a"), F.col("n").alias("m"), char.alias("x"))
+    longer = short.where(F.col("n") > edits).select(F.col("k").alias("b"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - edits), F.lit(edits))).alias("m"), "line")
+    longer = longer.select("b", "m", char.alias("x"))
+    return own.join(longer, ["m", "x"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def candidates(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b) different classes, a < b, that share a key."""
-    rows = _signatures(lines, edits, least)
+    rows = _signatures(lines, edits)
     own = rows.select("k", "c", F.explode("own").alias("h"))
     twin = own.select(F.col("k").alias("k2"), F.col("c").alias("c2"), "h")
-    probes = rows.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.explode("probes").alias("h"))
+    probes = rows.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.explode("probes").alias("h")).where("h != 0")
     near = counts_apart(F.col("c"), F.col("c2")) <= 2 * edits
     same = own.join(twin, "h").where((F.col("k") < F.col("k2")) & near).select("k", "k2")
     other = own.join(probes, "h").where((F.col("k") != F.col("k2")) & near).select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2"))
-    return same.union(other).distinct().toDF("a", "b")
+    return same.union(other).toDF("a", "b").union(_with_tiny(lines, edits)).distinct()
 
 
 def let(value: Column, then) -> Column:
@@ -189,33 +202,33 @@ def within(longer: Column, shorter: Column, edits: int) -> Column:
     return F.when(m - n > edits, False).when(n <= 0, m <= edits).otherwise(distance <= edits)
 
 
-def links(lines: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
-    """(a, b) classes of different lines within ``edits``, each pair once.
-
-    Lines under ``least`` characters are linked to their equals only (by class).
-    """
-    pairs = cut(candidates(lines, edits, least))
+def links(lines: DataFrame, edits: int = 2) -> DataFrame:
+    """(a, b) classes of different lines within ``edits``, each pair once, but for the pairs of two lines of at most ``edits`` characters: all of these are."""
+    pairs = cut(candidates(lines, edits))
     named = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    n = F.length("line")
-    texts = lines.where(n >= least).select(line_key(F.col("line")).alias("k"), "line").join(small(named), "k", "left_semi").groupBy("k").agg(F.min("line").alias("line"))
+    texts = lines.select(line_key(F.col("line")).alias("k"), "line").join(small(named), "k", "left_semi").groupBy("k").agg(F.min("line").alias("line"))
     texts = cut(texts)
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     return both.where(close(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 20) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2) -> DataFrame:
     """A row for each line that isn't empty: id, line_no, class_id, n_links.
 
     class_id is the MD5 of the line, the same for equal lines; n_links is how
-    many classes of other lines are within ``edits`` (for lines of ``least``
-    characters and more). Null and empty texts have no lines; null ids and
-    repeated rows are kept as they are; other columns are ignored.
+    many classes of other lines are within ``edits``. Null and empty texts have
+    no lines; null ids and repeated rows are kept as they are; other columns are
+    ignored; an empty table gives an empty result.
     """
     lines = split_lines(docs, id_col, text_col)
-    found = cut(links(lines, edits, least))
+    found = cut(links(lines, edits))
     degree = found.select(F.col("a").alias("k")).union(found.select("b")).groupBy("k").agg(F.count("*").alias("n_links"))
-    rows = lines.select("id", "line_no", line_key(F.col("line")).alias("k"), F.md5(F.col("line").cast("binary")).alias("class_id"))
-    return rows.join(small(cut(degree)), "k", "left").select("id", "line_no", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # how many classes there are of lines that are all within reach of each other
+    tiny = lines.where(F.length("line") <= edits).select(line_key(F.col("line")).alias("k")).distinct().count()
+    rows = lines.select("id", "line_no", line_key(F.col("line")).alias("k"), F.md5(F.col("line").cast("binary")).alias("class_id"), (F.length("line") <= edits).alias("is_tiny"))
+    rows = rows.join(small(cut(degree)), "k", "left")
+    n = F.coalesce("n_links", F.lit(0)) + F.when(F.col("is_tiny"), F.lit(tiny - 1)).otherwise(0)
+    return rows.select("id", "line_no", "class_id", n.cast("long").alias("n_links"))
 
 
 def op1_line_dedup(docs: DataFrame) -> DataFrame:
@@ -224,20 +237,22 @@ def op1_line_dedup(docs: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "line_no", "class_id", "n_links")
 
 
-#: Lines share one of three segments at a shift of two at most; DuckDB's distance counts bytes, so each character beyond ASCII
-#: is first put as one control character.
+#: Lines share one of three segments at a shift of two at most, and lines of four characters at most are compared outright. DuckDB's
+#: distance counts bytes, so each character beyond ASCII is first put as one control character.
 OP1_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
 rows_ AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM l WHERE line <> ''),
-d AS (SELECT DISTINCT line, length(line) AS n FROM rows_ WHERE length(line) >= 20),
+d AS (SELECT DISTINCT line, length(line) AS n FROM rows_),
 odd AS (SELECT c, row_number() OVER (ORDER BY c) AS i FROM (SELECT DISTINCT unnest(string_split(line, '')) AS c FROM d) WHERE strlen(c) > 1),
 map AS (SELECT coalesce(string_agg(c, '' ORDER BY i), '') AS was, coalesce(string_agg(chr(CAST(CASE WHEN i < 9 THEN i WHEN i < 28 THEN i + 4 ELSE 0 END AS INTEGER)), '' ORDER BY i), '') AS becomes FROM odd),
 s AS (SELECT line, n, n - CAST(g.range AS BIGINT) AS m, CAST(i.range AS BIGINT) AS i, CAST(h.range AS BIGINT) AS h FROM d, range(3) g, range(3) i, range(-2, 3) h),
 keys AS (
   SELECT line, n, m, i, h, substr(line, CAST(1 + i * (m // 3) + greatest(0, i - (3 - m % 3)) + h AS BIGINT), CAST(m // 3 + CASE WHEN i >= 3 - m % 3 THEN 1 ELSE 0 END AS BIGINT)) AS seg
-  FROM s WHERE 1 + i * (m // 3) + greatest(0, i - (3 - m % 3)) + h >= 1),
+  FROM s WHERE m >= 3 AND 1 + i * (m // 3) + greatest(0, i - (3 - m % 3)) + h >= 1),
 pairs AS (
-  SELECT DISTINCT least(a.line, b.line) AS x, greatest(a.line, b.line) AS y FROM keys a JOIN keys b ON a.m = a.n AND a.h = 0 AND b.m = a.n AND b.i = a.i AND b.seg = a.seg AND a.line <> b.line),
+  SELECT least(a.line, b.line) AS x, greatest(a.line, b.line) AS y FROM keys a JOIN keys b ON a.m = a.n AND a.h = 0 AND b.m = a.n AND b.i = a.i AND b.seg = a.seg AND a.line <> b.line
+  UNION
+  SELECT a.line, b.line FROM d a JOIN d b ON a.n <= 4 AND b.n <= 4 AND a.line < b.line),
 links AS (SELECT x, y FROM pairs, map WHERE levenshtein(translate(x, was, becomes), translate(y, was, becomes)) <= 2),
 degree AS (SELECT line, count(*) AS n FROM (SELECT x AS line FROM links UNION ALL SELECT y FROM links) GROUP BY line)
 SELECT doc_id, line_no, md5(line) AS class_id, coalesce(degree.n, 0) AS n_links FROM rows_ LEFT JOIN degree USING (line)

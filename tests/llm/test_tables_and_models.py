@@ -133,7 +133,9 @@ def test_mixing_keeps_columns_and_odd_rows(odd, nothing):
 
 
 def auc(y, s):
-    rank = np.argsort(np.argsort(s))
+    """Equal scores count half."""
+    _, at, n = np.unique(s, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n + 1) / 2)[at]
     return (rank[y == 1].mean() - ((y == 1).sum() - 1) / 2) / (y == 0).sum()
 
 
@@ -161,31 +163,85 @@ def test_accepted_keeps_rows_unchanged(odd, labels, nothing):
 
 def test_grammar_scores_clauses_not_words():
     g = toxicity.Grammar({}, {})
-    score = lambda t: g.measures(t)[1]
-    assert score("You are an idiot.") > score("The idiot.") > score("You are not an idiot.") > 0
-    assert score("They said idiot.") < score("Idiot.") and score("I will kill you.") > score("I will kill time.") and score("A fine day.") == 0
+    score = lambda t: g.measures(t) @ toxicity.START
+    assert score("You are an idiot.") > score("The idiot.") > score("You are not an idiot.") > score("A fine day.")
+    assert score("They said idiot.") < score("Idiot.") and score("I will kill you.") > score("I will kill time.")
+    assert score("Kill time. You rest.") < score("Kill you. Time rests.")
 
 
-def test_patterns_come_from_different_texts_not_from_copies():
+def clauses(rng, n):
+    """Labelled texts in which the words of a clause alone say nothing: what counts is how they stand to each other."""
+    rows = []
+    for i in range(n):
+        w = rng.choice(["idiot", "moron", "scum", "trash", "clown", "loser"])
+        v = rng.choice(["kill", "hurt", "destroy", "shoot"])
+        who = rng.choice(["you", "them", "him", "her"])
+        fill = lambda: " ".join("".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeou") for _ in range(3)) for _ in range(12))  # noqa: E731, B023
+        toxic = [f"{who} are such an {w}", f"{w} like {who}", f"we will {v} {who}", f"{who} deserve it, {v} {who} now"]
+        fine = [f"{who} are not an {w}", f"he said {who} are an {w}", f"she wrote that we {v} {who}", f"we {v} the old time", f"we never {v} {who}", f"the {w} bin"]
+        y = int(rng.random() < 0.5)
+        rows.append((i, f"{fill()}. {rng.choice(toxic if y else fine).capitalize()}. {fill()}.", y))
+    return rows
+
+
+def test_the_composed_grammar_beats_one_state(spark, docs_of, monkeypatch):
+    import random
+
+    rows = clauses(random.Random(4), 600)
+    docs = docs_of([(i, t, "a") for i, t, _ in rows])
+    marks = spark.createDataFrame([(i, None, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    truth = {i: y for i, _, y in rows}
+
+    def accuracy():
+        held = [r for r in toxicity.op7_toxicity(docs, marks, 0.5).collect() if r["held_out"]]
+        return np.mean([r["predicted"] == truth[r["doc_id"]] for r in held])
+
+    composed = accuracy()
+    arc = lambda c: toxicity.ARCS.index(("insult" if c == toxicity.INSULT else "threat", False, False)) if c in (toxicity.INSULT, toxicity.THREAT) else -1
+    monkeypatch.setattr(toxicity, "compose", lambda: (np.zeros((1, 8), int), np.array([[arc(c) for c in range(8)]])))
+    one_state = accuracy()
+    assert composed > 0.95 and one_state < composed - 0.15
+
+
+def test_patterns_come_from_different_texts_not_from_copies(spark):
     import random
 
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
-    texts, labels = [], []
+    texts, marks = [], []
     base = [word() for _ in range(80)]
     for _ in range(20):
         near = list(base)
         near[rng.randrange(80)] = word()
         texts.append(" ".join(near))
-        labels.append(1)
+        marks.append(1)
     for k in range(20):
-        texts.append(" ".join([word() for _ in range(60)] + ["zonkus", "quibl" + word()[:3], "quibl" + word()[:3]]))
-        labels.append(1)
+        texts.append(" ".join([word() for _ in range(60)] + ["zonkus", "quibl" + word()[:3], "quibl" + word()[:3]]) + " " + "z" * 30_000)
+        marks.append(1)
     for _ in range(300):
         texts.append(" ".join(word() for _ in range(60)))
-        labels.append(0)
-    words, beginnings = toxicity.learn_patterns(texts, labels)
-    assert set(words) == {"zonkus"} and set(beginnings) == {"quibl"}
+        marks.append(0)
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(zip(ids, marks)), "doc_id long, toxic int")
+    words, beginnings = toxicity.learn_patterns(toxicity.sample(docs, labels, 1000))[-1]
+    assert {w for w in words if set(w) != {"z"}} == {"zonkus"} and {b for b in beginnings if set(b) != {"z"}} == {"quibl"}
+
+
+def test_pattern_counts_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(" ".join("".join(rng.choice(list("abc"), rng.integers(2, 7))) for _ in range(8)), int(rng.integers(2)), int(rng.integers(3))) for _ in range(60)]
+    got = {r["pattern"]: r for r in toxicity._counts(spark.createDataFrame(rows, "t string, y int, fold int")).collect()}
+    want, kinds = Counter(), {}
+    for t, y, f in rows:
+        words = {w for w in t.split() if len(w) > 2}
+        want.update((p, y, f) for p in words | {w[:n] + "*" for w in words for n in range(3, len(w))})
+        for w in words if y else ():
+            for n in range(3, len(w)):
+                kinds.setdefault(w[:n] + "*", {}).setdefault(f, set()).add(w)
+    assert {(p, y, f): r[f"{'nt'[y]}{f}"] for p, r in got.items() for y in (0, 1) for f in range(3) if r[f"{'nt'[y]}{f}"]} == {k: c for k, c in want.items() if any(want[k[0], 1, f] for f in range(3))}
+    for p, by in kinds.items():
+        assert [got[p][f"kinds{f}"] for f in range(4)] == [len(set().union(*(v for g, v in by.items() if g != f))) for f in range(4)]
 
 
 def brute_neighbours(rows, every, k):

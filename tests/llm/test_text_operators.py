@@ -158,8 +158,11 @@ def test_an_unrelated_text_does_not_undo_a_link(docs_of):
         assert sorted(r["doc_id"] for r in simhash.one_of_each(docs_of(rows)).collect()) == [1, 2]
 
 
-def test_a_large_group_of_near_copies_is_whole(docs_of):
+@pytest.mark.parametrize("block,turns", [(4096, 8), (16, 0)])
+def test_a_large_group_of_near_copies_is_whole(docs_of, monkeypatch, block, turns):
     """Pairs lie about the threshold, so no text links to all others, and no single hub gathers them."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "TURNS", turns)
     rng = random.Random(21)
     base = [f"b{k}" for k in range(120)]
     rows = []
@@ -172,6 +175,15 @@ def test_a_large_group_of_near_copies_is_whole(docs_of):
     assert got == brute_groups([(i, t) for i, t, _ in rows])
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        pool = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 500))) for _ in range(2))
+        x, y = (np.frombuffer(simhash._bitmap(s), dtype=np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_rows_that_share_an_id_are_judged_by_their_own_text(docs_of):
     text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
     docs = docs_of([(1, text("a"), "s"), (2, text("a"), "s"), (2, text("b"), "s"), (2, text("b"), "s"), (3, text("c"), "s")])

@@ -250,9 +250,12 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, common) -> Data
     """(h, c, n, pos): the rarest of the n shingles of each text, as many as sets that are ``similarity`` alike must share one of."""
 
     def run(batches):
-        counts = common.value
+        counts, seen = common.value, set()
         for b in slices(batches):
-            normal = _normal(b.column(0).to_pylist())
+            # copies within a task bring their rows once; those of different tasks are told apart by c
+            if len(seen) > 1_000_000:
+                seen.clear()
+            normal = [t for t in _normal(b.column(0).to_pylist()) if not ((c := xxhash.xxh64_intdigest(t, 1)) in seen or seen.add(c))]
             out = [(np.zeros(0, np.uint64), 0, 0)]
             for t, s in zip(normal, _sets(normal, shingle)):
                 n = len(s)
@@ -290,15 +293,24 @@ def _may(x, i, y, j, similarity: float):
 
 def _shared(prefixes: DataFrame) -> DataFrame:
     """(h, c, n, pos): the prefix shingles that stand in several texts, once for each text."""
+    names = ["h", "c", "n", "pos"]
 
     def run(batches):
-        for h, c, n, pos in _grouped(batches):
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])  # copies bring the same rows
-            h, c, n, pos = h[new], c[new], n[new], pos[new]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.append(starts, len(h)))
-            keep = np.repeat(size, size) > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, n, pos)], names=["h", "c", "n", "pos"])
+        held, before = None, False  # the last row, and whether the one before it has its shingle
+        for b in batches:
+            cols = [x.to_numpy() for x in b.columns]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            if len(cols[0]):
+                h, c = cols[:2]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])  # copies bring the same rows
+                cols = [x[new] for x in cols]
+                same = cols[0][1:] == cols[0][:-1]
+                left = np.concatenate([[before], same])
+                keep = left[:-1] | same
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in cols], names=names)
+                held, before = [x[-1:] for x in cols], bool(left[-1])
+        if before:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
     return prefixes.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, "h long, c long, n int, pos int")
 
@@ -311,58 +323,49 @@ def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of ``shared``, with roots, whose shingle stands in texts of several groups."""
+    own = _rooted(shared, roots)
+    several = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return own.join(several.select("h"), "h", "left_semi")
 
-    def run(batches):
-        for cols in _grouped(batches):
-            h, root = cols[0], cols[4]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            many = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-            keep = np.repeat(many, np.diff(np.append(starts, len(h))))
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names=["h", "c", "n", "pos", "root"])
 
-    dealt = _rooted(shared, roots).repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "h long, c long, n int, pos int, root long")
+def _offers(open_: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b): a partner of another group for each text, one that it can be alike.
 
+    Each shingle offers one text to all others: at first the one that has the
+    fewest rarer shingles, as the original among its altered copies does, and
+    then another one every turn.
+    """
+    rank = F.col("pos").cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "c")
+    first = open_.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), "c", "n", "pos", "root")).alias("f")).select("h", "f")
+    both = open_.join(first, "h").where("root != f.root")
+    room = F.least(F.col("n") - F.col("pos"), F.col("f.n") - F.col("f.pos")) >= similarity / (1 + similarity) * (F.col("n") + F.col("f.n")) - 1e-6
+    sizes = F.least("n", "f.n") >= similarity * F.greatest("n", "f.n") - 1e-6
+    return both.where(room & sizes).groupBy("c").agg(F.min(F.struct("f.rank", "f.c")).alias("x")).select(F.col("c").alias("a"), F.col("x.c").alias("b"))
 
-def _offers(open_: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b): one partner of another group for each text, the first it can be alike in an order that changes with ``turn``."""
 
-    def rank(c):
-        return mix(c.view(np.uint64) + np.uint64(2 * turn + 1))
+#: Bits of the map of a shingle set.
+BITS = 1024
 
-    def run(batches):
-        for h, c, n, pos, root in _grouped(batches):
-            order = np.lexsort((rank(c), h))
-            h, c, n, pos, root = (x[order] for x in (h, c, n, pos, root))
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.append(starts, len(h)))
-            first = np.repeat(starts, size)
-            # the first text of the shingle, and for those of its group the first of another one
-            other = np.where(root != root[first], np.arange(len(h)), len(h))
-            second = np.repeat(np.minimum.reduceat(other, starts), size)
-            partner = np.where(root != root[first], first, np.minimum(second, len(h) - 1))
-            ok = (root[partner] != root) & _may(n, pos, n[partner], pos[partner], similarity)
-            a, b = c[ok], c[partner[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rank(b).view(np.int64))], names=["a", "b", "r"])
-
-    dealt = open_.repartition("h").sortWithinPartitions("h")
-    each = dealt.mapInArrow(run, "a long, b long, r long")
-    return each.groupBy("a").agg(F.min(F.struct("r", "b")).alias("x")).select("a", "x.b")
-
-
-def _texts_of(asked: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(c, w): the compressed words of the texts asked for, read from ``docs`` by the id of one row of each."""
+
+def _bitmap(s: np.ndarray) -> bytes:
+    """For each of BITS classes of shingles whether the set has an odd number. Two sets differ in at least as many shingles as bits."""
+    return np.packbits(np.bincount((mix(s) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _texts_of(asked: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(c, w, bits): the compressed words and bitmaps of the texts asked for, read from ``docs`` by the id of one row of each."""
 
     def packed(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
             normal = _normal(b.column(0).to_pylist())
             c = np.array([xxhash.xxh64_intdigest(t, 1) for t in normal], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([press.compress(t) for t in normal], pa.binary())], names=["c", "w"])
+            cols = [[press.compress(t) for t in normal], [_bitmap(x) for x in _sets(normal, shingle)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c), *(pa.array(x, pa.binary()) for x in cols)], names=["c", "w", "bits"])
 
     one = cut(rows.where("id IS NOT NULL").join(asked, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id")))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(small(one.select("id").distinct()), "id", "left_semi").select("t")
-    return cut(text.mapInArrow(packed, "c long, w binary").dropDuplicates(["c"]))
+    return cut(text.mapInArrow(packed, "c long, w binary, bits binary").dropDuplicates(["c"]))
 
 
 def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -381,7 +384,8 @@ def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: floa
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = edges.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    words = texts.select("c", "w")
+    pairs = edges.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return cut(pairs.mapInArrow(compare, "a long, b long"))
 
 
@@ -402,7 +406,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
     ones first, so that a passage that many texts hold seldom makes candidates.
     In each of a few turns every text tries one partner that it shares a prefix
     shingle and not yet a group with, which gathers a large group in stars; then
-    all pairs that are not together yet are tried, so none is left out. Each
+    all pairs that are not together yet are tried, so none is left out, but for
+    those that sizes, places or bitmaps of the sets show to be too different. Each
     candidate is verified on the full shingle sets, so no link is false.
 
     Rows with equal word sequences (hash c) are always together. Null and empty
@@ -419,57 +424,67 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
     same = rows.select("c", "fp").distinct().join(small(values).toDF("fp", "to"), "fp").select("c", "to")
     tried = cut(_ordered(near.union(same).toDF("a", "b")))
     asked = shared.select("c").union(tried.select("a")).union(tried.select("b")).distinct()
-    words = _texts_of(asked, rows, docs, id_col, text_col)
+    words = _texts_of(asked, rows, docs, id_col, text_col, shingle)
     held = _verified(tried, words, shingle, similarity)
     roots = components(held)
-    left = None
     for turn in range(TURNS):
         shared = cut(_unsettled(shared, roots))
-        before, left = left, shared.select("c").distinct().count()
-        if not left or before is not None and left > 0.9 * before:
-            break
         new = cut(_ordered(_offers(shared, turn, similarity)).join(tried, ["a", "b"], "left_anti"))
         tried, found = tried.union(new), _verified(new, words, shingle, similarity)
         held = held.union(found)
+        if not (n := found.count()):
+            break
         roots = components(held)
-    rest = cut(_ordered(_apart(shared, roots, similarity)).join(tried, ["a", "b"], "left_anti"))
+        if 100 * n < shared.select("c").distinct().count():
+            break
+    rest = cut(_ordered(_apart(shared, roots, words, similarity)).join(tried, ["a", "b"], "left_anti"))
     roots = components(held.union(_verified(rest, words, shingle, similarity)))
     named = rows.select("id", "c").join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = cut(named.select("id", "c", "root"))
     return named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "c", "component_id")
 
 
-#: Rows of a block that are held against its others at once.
-ROWS = 256
+#: Rows that are held against others at once, and rows of a shingle's block: larger shingles are dealt in pairs of blocks.
+ROWS, BLOCK = 256, 4096
 
 
-def _apart(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts that share a prefix shingle, are not of one root and can be ``similarity`` alike.
+def _apart(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of texts that share a prefix shingle, are not of one root and can be ``similarity`` alike.
 
-    Sizes and places decide that: texts whose first common shingle stands at
-    given places have no more in common than what follows in both.
+    Sizes and places decide that, since texts whose first common shingle stands
+    at given places have no more in common than what follows in both; then
+    bitmaps, since sets of n and m shingles that are so much alike differ in
+    (n + m)(1 - similarity) / (1 + similarity) shingles at most.
     """
 
-    def pairs(c, n, pos, root):
+    def pairs(c, n, pos, root, part, bits):
+        crossed = part.any() and not part.all()  # two blocks: pairs within them are tried elsewhere
         for s in range(0, len(c), ROWS):
             e = min(s + ROWS, len(c))
             # sizes ascend: partners come later and aren't too long for the longest here
             far = int(np.searchsorted(n, n[e - 1] / similarity + 1e-6, side="right"))
             i, j = slice(s, e), slice(s, far)
             ok = (root[i, None] != root[None, j]) & (np.arange(s, e)[:, None] < np.arange(s, far)[None, :])
+            if crossed:
+                ok &= part[i, None] != part[None, j]
             ok &= _may(n[i, None], pos[i, None], n[None, j], pos[None, j], similarity)
             u, v = np.nonzero(ok)
-            if len(u):
-                yield c[s + u], c[s + v]
+            for k in range(0, len(u), 100_000):
+                x, y = s + u[k : k + 100_000], s + v[k : k + 100_000]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                close = apart <= (n[x] + n[y]) * (1 - similarity) / (1 + similarity) + 1e-6
+                if close.any():
+                    yield c[x[close]], c[y[close]]
 
     def run(batches):
-        for h, c, n, pos, root in _grouped(batches):
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            ends = np.append(starts[1:], len(h))
+        for g, c, n, pos, root, part, bits in _grouped(batches):
+            maps = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(g), -1)
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            ends = np.append(starts[1:], len(g))
             out, held = [], 0
             for s, e in zip(starts, ends):
                 if (root[s:e] != root[s]).any():
-                    for a, b in pairs(c[s:e], n[s:e], pos[s:e], root[s:e]):
+                    for a, b in pairs(c[s:e], n[s:e].astype(np.int64), pos[s:e], root[s:e], part[s:e], maps[s:e]):
                         out.append((a, b))
                         held += len(a)
                         if held > 1_000_000:
@@ -482,7 +497,13 @@ def _apart(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
         pairs_ = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs_[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    dealt = _rooted(shared, roots).repartition("h").sortWithinPartitions("h", "n")
+    own = _rooted(shared, roots)
+    blocks = own.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
+    own = own.join(blocks.where("low < high").select("h", "blocks"), "h").join(texts.select("c", "bits"), "c")
+    block = F.pmod(F.xxhash64("c"), "blocks").cast("int")
+    own = own.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.when(F.col("blocks") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")))
+    dealt = own.select(group.alias("g"), "c", "n", "pos", "root", (F.col("i") <= F.col("j")).alias("part"), "bits").repartition("g").sortWithinPartitions("g", "n")
     return dealt.mapInArrow(run, "a long, b long")
 
 

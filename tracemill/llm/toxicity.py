@@ -217,7 +217,7 @@ def _counts(texts: DataFrame) -> DataFrame:
     each = part.groupBy("pattern").agg(*[cell(2 * f + y).alias(f"{'nt'[y]}{f}") for f in range(FOLDS) for y in (0, 1)])
     each = cut(each.where(" + ".join(f"t{f}" for f in range(FOLDS)) + " > 0"))
     toxic = [" + ".join(f"t{g}" for g in range(FOLDS) if g != f) + " > 0" for f in range(FOLDS + 1)]
-    words = each.where("pattern NOT LIKE '%*'").select(F.explode(F.expr("transform(sequence(3, greatest(3, least(8, length(pattern) - 1))), n -> concat(left(pattern, n), '*'))")).alias("pattern"), *[F.expr(c).alias(f"k{f}") for f, c in enumerate(toxic)])
+    words = each.where("pattern NOT LIKE '%*' AND length(pattern) > 3").select(F.explode(F.expr("transform(sequence(3, least(8, length(pattern) - 1)), n -> concat(left(pattern, n), '*'))")).alias("pattern"), *[F.expr(c).alias(f"k{f}") for f, c in enumerate(toxic)])
     kinds = words.groupBy("pattern").agg(*[F.count_if(f"k{f}").alias(f"kinds{f}") for f in range(FOLDS + 1)])
     return each.join(kinds, "pattern", "left")
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import replay
-from tracemill.plans.config import Fifo, MemoryConfig
+from tracemill.plans.config import Fifo, Lfu, Lru, MemoryConfig, S3Fifo, Sieve
 from tracemill.sources import traces
 from tracemill.streaming.replay import replay_stream, upsert_latest, windowed_counters
 
@@ -17,6 +17,21 @@ def test_csv_and_zipf(spark, tmp_path):
     assert sum(counts.values()) == 5000 and counts[1] > counts[2] > counts[10]
 
 
+def test_csv_to_hit_ratio(spark, tmp_path):
+    """A trace file with keys that aren't numbers, to the hit ratios of several policies."""
+    path = tmp_path / "t.csv"
+    path.write_text("at,key\n" + "".join(f"{i},obj/{i * i % 13}\n" for i in range(200)) + "200,\n")
+    trace = traces.csv_trace(spark, str(path))
+    log = replay.replay(trace, MemoryConfig(6, 2, Fifo()))
+    assert log.schema["key"].dataType.simpleString() == "string" and log.count() == 200
+    ratio = replay.hit_ratio(log).collect()[0]
+    many = {r["policy"]: r for r in replay.compare_policies(trace, 6, 2, {"fifo": Fifo(), "lru": Lru(1.0)}).collect()}
+    assert ratio["accesses"] == 200 and 0 < ratio["hits"] == many["fifo"]["hits"] and many["lru"]["hits"] > 0
+    assert {r["key"] for r in replay.leavings(trace, MemoryConfig(6, 2, Fifo())).select("key").collect()} <= {f"obj/{k}" for k in range(13)}
+    dates = spark.range(40).select(F.col("id").alias("seq"), F.lit("get_or_fetch").alias("op"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 5).cast("int")).alias("key"), F.lit(1).alias("weight"))
+    assert replay.hit_ratio(replay.replay(dates, MemoryConfig(10, 2, Fifo()))).collect()[0]["hits"] == 35
+
+
 @pytest.mark.parametrize("how", ["none", "zstd", "lz4"])
 def test_log_round_trip(spark, tmp_path, how):
     df = spark.range(50).withColumn("value", F.md5(F.col("id").cast("string")))
@@ -27,8 +42,9 @@ def test_log_round_trip(spark, tmp_path, how):
     traces.discard(both)
 
 
-def test_stream_equals_batch(spark, sf, tmp_path):
-    config = MemoryConfig(20, 4, Fifo())
+@pytest.mark.parametrize("policy", [Fifo(), Lru(0.5), Lfu(), S3Fifo(), Sieve()], ids=lambda p: p.name)
+def test_stream_equals_batch(spark, sf, tmp_path, policy):
+    config = MemoryConfig(20, 4, policy)
     batch = traces.events_trace(traces.table(spark, sf, "events"))
     half = batch.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
     batch.where(F.col("seq") <= half).coalesce(1).write.parquet(f"{tmp_path}/in")

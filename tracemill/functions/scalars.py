@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tracemill.plans.config import PAGE
 
@@ -13,6 +14,13 @@ def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(key, F.lit(shards))
 
 
+def route(rows: DataFrame, shards: int, by: Column | None = None, key: str = "key") -> Column:
+    """Shard of each row's key: by a given integer column (a hash of one's own), else by the key if that is an integer, else by its xxHash64."""
+    if by is None:
+        by = F.col(key) if isinstance(rows.schema[key].dataType, IntegralType) else F.xxhash64(key)
+    return shard_of(by, shards).cast("int")
+
+
 def shard_capacity(total: Column, shards: int, shard: Column) -> Column:
     """Capacity of a shard: the remainder of the division goes to the first shards, one each."""
     return F.floor(total / shards).cast("long") + (shard < total % shards).cast("long")

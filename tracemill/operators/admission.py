@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.scalars import size_between
+from tracemill.functions.scalars import iops, size_between
 from tracemill.operators.fold import ordered_fold
+from tracemill.plans.config import Throttle
 
 
 def admit_all() -> Column:
@@ -58,3 +59,17 @@ def token_bucket(rows: DataFrame, group: str, rate: float, cost: str = "cost", t
         yield g, seq, quota, max(0, -quota * 1_000_000 // per_second) if quota < 0 else 0, quota < 0
 
     return ordered_fold(rows.select(group, "seq", ts, cost), group, ["seq"], f"{group} int, seq long, quota long, wait_us long, throttled boolean", start, step)
+
+
+def throttle(rows: DataFrame, group: str, limits: Throttle, direction: str = "read", size: str = "size", ts: str = "at_us") -> DataFrame:
+    """Token buckets of bytes and of operations side by side: (group, seq, wait_us, throttled), the longer wait of the two.
+
+    A limit of None or 0 never throttles.
+    """
+    buckets = [(getattr(limits, f"{direction}_throughput"), F.col(size)), (getattr(limits, f"{direction}_iops"), iops(F.col(size), limits.counter.unit))]
+    out = rows.select(group, "seq", F.lit(0).cast("long").alias("wait_us"), F.lit(False).alias("throttled"))
+    for rate, cost in buckets:
+        if rate:
+            one = token_bucket(rows.withColumn("cost", cost.cast("long")), group, rate, "cost", ts).select("seq", F.col("wait_us").alias("_w"), F.col("throttled").alias("_t"))
+            out = out.join(one, "seq").select(group, "seq", F.greatest("wait_us", "_w").alias("wait_us"), (F.col("throttled") | F.col("_t")).alias("throttled"))
+    return out

@@ -13,6 +13,21 @@ def deduplicated(requests: DataFrame, key: str, bucket: Column) -> DataFrame:
     return first.withColumn("role", F.when(F.row_number().over(w) == 1, "lead").otherwise("wait")).withColumnRenamed("_bucket", "bucket")
 
 
+def resolved(requests: DataFrame, key: str, bucket: Column, inserts: Column) -> DataFrame:
+    """As ``deduplicated``, with inserts among the requests (``inserts`` is true): role lead, wait, insert or hit, and ``resolved_by``.
+
+    A request after an insert of its bucket hits it; those that are under way are
+    resolved by the first insert that comes, whose seq is ``resolved_by`` (null:
+    by the fetch of the lead).
+    """
+    rows = requests.withColumn("bucket", bucket).withColumn("_insert", F.when(inserts, F.col("seq")))
+    w = Window.partitionBy(key, "bucket").orderBy("seq")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    role = F.when(inserts, "insert").when(F.min("_insert").over(before).isNotNull(), "hit").when(F.row_number().over(w) == 1, "lead").otherwise("wait")
+    rows = rows.withColumn("role", role).withColumn("_next", F.min("_insert").over(after))
+    return rows.withColumn("resolved_by", F.when(F.col("role").isin("lead", "wait"), F.col("_next"))).drop("_insert", "_next")
+
+
 def read_through(requests: DataFrame, memory: DataFrame, disk: DataFrame, outer: DataFrame, key: str = "key") -> DataFrame:
     """Answer requests from memory, else disk, else the source: value and where it came from. Each store has one row a key."""
     def side(df, name):

@@ -11,14 +11,13 @@ from tracemill.plans.config import BlockConfig
 
 
 def latest(log: DataFrame, key: str = "hash", sequence: str = "sequence") -> DataFrame:
-    """The latest version of each key. ``max_by`` combines map-side, so a hot key never fills a task.
+    """The latest version of each key: a maximum of whole rows, combined map-side, so a hot key never fills a task.
 
-    One ``max_by`` a column keeps fixed-width logs in hash aggregation; all of
-    them see the same rows in the same order, so they pick the same row.
+    Rows of one key and sequence are told apart by their other columns, the greatest wins.
     """
     rest = [c for c in log.columns if c not in (key, sequence)]
-    best = log.groupBy(key).agg(F.max(sequence).alias(sequence), *[F.max_by(c, sequence).alias(c) for c in rest])
-    return best.select(*log.columns)
+    best = log.groupBy(key).agg(F.max(F.struct(sequence, *rest)).alias("_best"))
+    return best.select(key, "_best.*").select(*log.columns)
 
 
 def live(log: DataFrame, key: str = "hash", sequence: str = "sequence", tombstone: str = "is_tombstone") -> DataFrame:
@@ -133,5 +132,24 @@ def partial(entries: DataFrame, capacity: int, group: str) -> DataFrame:
 
 
 def intact(entries: DataFrame, stored: str = "checksum", key: str = "key", value: str = "value") -> DataFrame:
-    """Entries whose value and key still have their stored checksum; others read as absent."""
-    return entries.where(F.crc32(F.concat(value, key)) == F.col(stored))
+    """Entries whose value and key still have their stored checksum; others read as absent. A null key or value counts as empty."""
+    both = F.concat(F.coalesce(F.col(value), F.lit("")), F.coalesce(F.col(key), F.lit("")))
+    return entries.where(F.crc32(both) == F.col(stored))
+
+
+def enqueued(entries: DataFrame, window: Column, threshold: int, flushers: int = 1) -> DataFrame:
+    """Add ``accepted`` and ``flusher``: entries (hash, sequence, size) that come while more than ``threshold`` bytes wait are dropped.
+
+    What a flusher was given in a ``window`` waits until the window's end. An
+    entry is accepted as long as what stands before it is within the threshold;
+    dropped entries wait too, so that one running sum decides.
+    """
+    rows = entries.withColumn("flusher", F.pmod("hash", F.lit(flushers)).cast("int")).withColumn("_window", window)
+    before = F.sum("size").over(Window.partitionBy("flusher", "_window").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("accepted", F.coalesce(before, F.lit(0)) <= threshold).drop("_window")
+
+
+def tombstone_ring(tombstones: DataFrame, slots: int, number: str = "number") -> DataFrame:
+    """What a log of ``slots`` tombstones still holds: of those that fall into one slot (number modulo slots) the latest, and its slot."""
+    rows = tombstones.withColumn("slot", F.pmod(number, F.lit(slots)))
+    return latest(rows, "slot", number)

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.scalars import shard_of
+from tracemill.functions.scalars import route
 from tracemill.operators.fold import ordered_fold
 from tracemill.operators.memory import Entry, MemoryShard
 from tracemill.plans.config import MemoryConfig, Policy, split_capacity
 
-LOG = "shard int, seq long, op string, key long, result string, evicted array<long>, replaced boolean, usage long, entries long"
+LOG = "shard int, seq long, op string, key {key}, result string, evicted array<{key}>, replaced boolean, usage long, entries long"
 
 
-def sharded(trace: DataFrame, shards: int, weight: Column | None = None, phantom: Column | None = None) -> DataFrame:
-    """Only the columns a replay needs, with the shard: pruning can't reach through the fold."""
+def key_type(trace: DataFrame) -> str:
+    return trace.schema["key"].dataType.simpleString()
+
+
+def sharded(trace: DataFrame, shards: int, weight: Column | None = None, phantom: Column | None = None, route_by: Column | None = None) -> DataFrame:
+    """Only the columns a replay needs, with the shard: pruning can't reach through the fold. Rows without a key name nothing and are left out."""
     have = set(trace.columns)
-    return trace.select(
-        shard_of(F.col("key"), shards).cast("int").alias("shard"),
+    return trace.where("key IS NOT NULL").select(
+        route(trace, shards, route_by).alias("shard"),
         "seq",
         "op",
         "key",
@@ -28,9 +32,11 @@ def sharded(trace: DataFrame, shards: int, weight: Column | None = None, phantom
 
 
 def apply(shard: MemoryShard, op: str, key, weight: int, hint: str, phantom: bool):
-    """Run one operation of a trace on a shard. ``touch`` is a lookup without a handle; ``resize`` takes the weight as capacity."""
-    if op in ("get", "touch"):
+    """Run one operation of a trace on a shard. ``touch`` only tells and, under LRU, pins; ``resize`` takes the weight as capacity."""
+    if op == "get":
         return shard.get(key)
+    if op == "touch":
+        return shard.touch(key)
     if op == "get_or_fetch":
         found = shard.get(key)
         if found.result == "hit":
@@ -58,8 +64,11 @@ def apply(shard: MemoryShard, op: str, key, weight: int, hint: str, phantom: boo
     raise ValueError(f"unknown operation {op!r}")
 
 
-def replay(trace: DataFrame, config: MemoryConfig, weight: Column | None = None, phantom: Column | None = None) -> DataFrame:
-    """A row for each operation of a trace (seq, op, key, weight and maybe hint): its result, what left, and usage after it."""
+def replay(trace: DataFrame, config: MemoryConfig, weight: Column | None = None, phantom: Column | None = None, route_by: Column | None = None) -> DataFrame:
+    """A row for each operation of a trace (seq, op, key, weight and maybe hint): its result, what left, and usage after it.
+
+    Keys are of any type; ``route_by`` is an integer column to deal them to shards by (see ``route``).
+    """
     capacities = split_capacity(config.capacity, config.shards)
 
     def step(state: MemoryShard, row):
@@ -68,7 +77,7 @@ def replay(trace: DataFrame, config: MemoryConfig, weight: Column | None = None,
         evicted = [k for reason, k, _ in out.left if reason == "evict"]
         yield shard, seq, op, key, out.result, evicted, any(r == "replace" for r, _, _ in out.left), state.usage, len(state.entries)
 
-    return ordered_fold(sharded(trace, config.shards, weight, phantom), "shard", ["seq"], LOG, lambda shard: MemoryShard(capacities[int(shard)], config.policy), step)
+    return ordered_fold(sharded(trace, config.shards, weight, phantom, route_by), "shard", ["seq"], LOG.format(key=key_type(trace)), lambda shard: MemoryShard(capacities[int(shard)], config.policy), step)
 
 
 def leavings(trace: DataFrame, config: MemoryConfig) -> DataFrame:
@@ -80,7 +89,7 @@ def leavings(trace: DataFrame, config: MemoryConfig) -> DataFrame:
         for i, (reason, k, entry) in enumerate(apply(state, op, key, w, hint, ph).left):
             yield shard, seq, i, reason, k, entry.weight
 
-    return ordered_fold(sharded(trace, config.shards), "shard", ["seq"], "shard int, seq long, at int, reason string, key long, weight long", lambda shard: MemoryShard(capacities[int(shard)], config.policy), step)
+    return ordered_fold(sharded(trace, config.shards), "shard", ["seq"], f"shard int, seq long, at int, reason string, key {key_type(trace)}, weight long", lambda shard: MemoryShard(capacities[int(shard)], config.policy), step)
 
 
 def residual(trace: DataFrame, config: MemoryConfig) -> DataFrame:

@@ -14,6 +14,7 @@ EVENTS = ("evict", "replace", "remove", "clear")
 WRITE_POLICIES = ("write_on_eviction", "write_on_insertion")
 RECOVER_MODES = ("none", "quiet", "strict")
 COMPRESSIONS = ("none", "zstd", "lz4")
+PICKERS = ("invalid_ratio", "fifo")
 PAGE = 4096
 
 
@@ -42,17 +43,25 @@ class Lfu:
     protected_ratio: float = 0.8
     epsilon: float = 0.001
     confidence: float = 0.9
+    sketch: bool = False
     name: str = "lfu"
 
     def __post_init__(self):
         if not (0 < self.window_ratio < 1 and 0 < self.protected_ratio < 1 and self.window_ratio + self.protected_ratio < 1):
             raise ValueError("window and protected ratios must be in (0, 1), together below 1")
+        if not (0 < self.epsilon and 0 < self.confidence < 1):
+            raise ValueError("epsilon must be positive and confidence in (0, 1)")
 
     @property
     def width(self) -> int:
-        """Updates between two agings of the frequencies."""
+        """Updates between two agings of the frequencies, and counters in a row of their sketch."""
         return math.ceil(2 / self.epsilon)
 
+    @property
+    def depth(self) -> int:
+        """Rows of the sketch."""
+        return max(1, math.ceil(-math.log2(1 - self.confidence)))
+
 
 @dataclass(frozen=True)
 class S3Fifo:
@@ -132,7 +141,13 @@ class Throttle:
 
 @dataclass(frozen=True)
 class BlockConfig:
-    """A log-structured block store."""
+    """A log-structured block store.
+
+    A picker is the name of a built-in one or a function of the store that gives
+    the id of one of its ``evictable`` blocks, or None to leave it to the next.
+    ``reinsert`` says which keys survive the reclaiming of their block: "none",
+    "all" or "old" (those that were on probation).
+    """
 
     blocks: int = 4
     block_size: int = 16 << 20
@@ -140,16 +155,21 @@ class BlockConfig:
     clean_threshold: int = 1
     probation_ratio: float = 0.1
     invalid_ratio: float = 0.8
-    pickers: tuple[str, ...] = ("invalid_ratio", "fifo")
-    reinsert: str | None = None
+    pickers: tuple = ("invalid_ratio", "fifo")
+    reinsert: str = "none"
     tombstone_log: bool = False
     compression: str = "none"
     recover_mode: str = "quiet"
 
     def __post_init__(self):
         _ratio("probation_ratio", self.probation_ratio)
+        unknown = [p for p in self.pickers if p not in PICKERS and not callable(p)]
+        if unknown:
+            raise ValueError(f"unknown pickers {unknown}: one of {PICKERS} or a function of the store")
         if self.compression not in COMPRESSIONS or self.recover_mode not in RECOVER_MODES:
             raise ValueError("unknown compression or recover mode")
+        if self.reinsert not in ("none", "all", "old"):
+            raise ValueError(f"unknown reinsertion rule {self.reinsert!r}")
 
     @property
     def index_entries(self) -> int:

@@ -280,3 +280,73 @@ t AS (
   SELECT user_id % {SHARDS} AS shard, row_number() OVER (PARTITION BY user_id % {SHARDS} ORDER BY event_id) AS i, event_id AS seq, user_id AS key,
     CASE event_type WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'on_disk' WHEN 'signup' THEN 'in_mem' ELSE 'read' END AS kind FROM events)"""
     return f"WITH RECURSIVE {trace}, {walk} SELECT CAST(shard AS INTEGER) AS shard, seq, source FROM w WHERE i > 0"
+
+
+def string_key_log() -> str:
+    """The FIFO walk over string keys, dealt by the first digits of their MD5."""
+    of = f"CAST('0x' || substr(md5('user-' || user_id), 1, 8) AS BIGINT) % {SHARDS}"
+    trace = f"""
+t AS (SELECT {of} AS shard, row_number() OVER (PARTITION BY {of} ORDER BY event_id) AS i, event_id AS seq, 'user-' || user_id AS key FROM events)"""
+    walk = FIFO_WALK.replace("CAST([] AS BIGINT[])", "CAST([] AS VARCHAR[])").replace("CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT) FROM", "CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR) FROM")
+    return f"WITH RECURSIVE {trace}, {walk} {LOG}"
+
+
+def hybrid_lifecycle_log() -> str:
+    """On a disk that loses nothing, a key that was seen since the last clear is in memory or else on the disk."""
+    walk = lifecycle_log()
+    cleared = "2 * ((SELECT max(event_id) + 1 FROM events) // 4 * 3) - 1"
+    return f"""
+WITH l AS ({walk}), x AS (
+  SELECT l.*, e.user_id AS key, l.seq > {cleared} AS late FROM l LEFT JOIN events e ON l.seq = 2 * e.event_id)
+SELECT shard, seq, result_ AS result, source FROM (
+  SELECT shard, seq, CASE WHEN result = 'done' THEN NULL WHEN result = 'hit' THEN 'memory' WHEN seq = min(seq) OVER (PARTITION BY key, late, result = 'done') THEN 'outer' ELSE 'disk' END AS source,
+    CASE WHEN result = 'done' THEN 'done' WHEN result = 'hit' OR seq > min(seq) OVER (PARTITION BY key, late, result = 'done') THEN 'hit' ELSE 'miss' END AS result_ FROM x)"""
+
+
+#: Kinds of the two walks below. q holds keys and whether they are written when they leave; dsk the disk's keys.
+def _two_tier(kind: str, ok: str) -> str:
+    kw = "CAST([] AS STRUCT(k BIGINT, w BOOLEAN)[])"
+    walk = f"""
+w(shard, i, q, dsk, seq, op, result, source) AS (
+  SELECT shard, CAST(0 AS BIGINT), {kw}, {NONE}, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) {START}
+  UNION ALL
+  SELECT shard, i,
+    CASE WHEN op IN ('read', 'late') AND had OR op = 'written' AND NOT ok THEN q WHEN op IN ('written', 'forced') THEN list_filter(q, lambda x: x.k <> key)
+      ELSE list_append(q1, {{'k': key, 'w': op = 'read' AND NOT stored AND ok}}) END,
+    CASE WHEN op IN ('written', 'forced') THEN CASE WHEN ok THEN list_append(list_filter(dsk, lambda x: x <> key), key) ELSE dsk END
+      WHEN goes AND q[1].w THEN list_append(list_filter(dsk, lambda x: x <> q[1].k), q[1].k) ELSE dsk END,
+    seq, op,
+    CASE op WHEN 'written' THEN CASE WHEN ok THEN 'phantom' ELSE 'rejected' END WHEN 'forced' THEN 'phantom' ELSE CASE WHEN had OR op = 'read' AND stored THEN 'hit' ELSE 'miss' END END,
+    CASE WHEN op IN ('read', 'late') THEN CASE WHEN had THEN 'memory' WHEN op = 'read' AND stored THEN 'disk' ELSE 'outer' END END
+  FROM (
+    SELECT *, CASE WHEN goes THEN q[2:] ELSE q END AS q1
+    FROM (
+      SELECT *, len(q) >= {PER_SHARD} AND op IN ('read', 'late') AND NOT had AS goes
+      FROM (
+        SELECT t.shard, t.i, t.seq, t.key, t.kind AS op, t.ok, r.q, r.dsk, list_contains(list_transform(r.q, lambda x: x.k), t.key) AS had, list_contains(r.dsk, t.key) AS stored
+        FROM w r JOIN t ON t.shard = r.shard AND t.i = r.i + 1))))"""
+    trace = f"""
+t AS (
+  SELECT user_id % {SHARDS} AS shard, row_number() OVER (PARTITION BY user_id % {SHARDS} ORDER BY event_id) AS i, event_id AS seq, user_id AS key, {kind} AS kind, {ok} AS ok FROM events)"""
+    return f"WITH RECURSIVE {trace}, {walk} SELECT CAST(shard AS INTEGER) AS shard, seq, result, source FROM w WHERE i > 0"
+
+
+def throttled_log() -> str:
+    """Errors' reads of the disk are throttled: they go to the source and what they fetch is not written."""
+    return _two_tier("CASE WHEN event_type = 'error' THEN 'late' ELSE 'read' END", "true")
+
+
+def writer_log() -> str:
+    """Purchases go through the storage writer, errors force it; sizes from 20 to 300 are admitted."""
+    return _two_tier("CASE event_type WHEN 'purchase' THEN 'written' WHEN 'error' THEN 'forced' ELSE 'read' END", "ceil(value) >= 20 AND ceil(value) < 300")
+
+
+#: Blocks of 16 pages, one of them the index, and entries of a page each: 15 entries a block. Of 6 blocks one is kept clean, so the
+#: open block and the 4 before it hold what can be read.
+DISK_WINDOW = f"""
+WITH t AS (
+  SELECT user_id % {SHARDS} AS shard, event_id AS seq, user_id AS key, event_type IN ('purchase', 'signup') AS writes FROM events),
+n AS (SELECT *, count(*) FILTER (WHERE writes) OVER (PARTITION BY shard ORDER BY seq) AS written FROM t),
+k AS (
+  SELECT *, max(CASE WHEN writes THEN written END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own FROM n)
+SELECT CAST(shard AS INTEGER) AS shard, seq, CASE WHEN own IS NOT NULL AND (own - 1) // 15 >= (written - 1) // 15 - 4 THEN 'present' ELSE 'absent' END AS result FROM k WHERE NOT writes"""

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tracemill.functions import scalars as S
 from tracemill.operators import admission, fetch, hybrid, logstore, metrics, replay
 from tracemill.plans import oracles as O
-from tracemill.plans.config import BlockConfig, Fifo, HybridConfig, Lfu, Lru, MemoryConfig, S3Fifo, Sieve
-from tracemill.sources.traces import events_trace, table
+from tracemill.plans.config import BlockConfig, Fifo, HybridConfig, IopsCounter, Lfu, Lru, MemoryConfig, S3Fifo, Sieve, Throttle
+from tracemill.sources.traces import combined, events_trace, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -168,17 +168,19 @@ def next_sequence(spark, d):
 
 
 def block_entries(spark, d):
-    """Entries laid out in blocks of a ring of 40 with 100 entries each, so that later rounds overwrite the front of earlier ones."""
+    """Entries laid out in a ring of blocks of 100 entries, two fifths of the log long, so that later rounds overwrite the front of earlier ones."""
     log = version_log(spark, d).where("NOT is_tombstone")
-    place = F.col("sequence") % 4000
+    ring = table(spark, d, "events").select(F.expr("greatest(1, (max(event_id) + 1) * 2 div 500) * 100")).scalar()
+    place = F.col("sequence") % ring
     written = log.select("hash", "sequence", F.floor(place / 100).cast("long").alias("block"), (place % 100).alias("offset"), "size")
     return logstore.latest(written.withColumn("slot", F.col("block") * 100 + F.col("offset")), "slot").drop("slot")
 
 
 BLOCKS_SQL = """
+r AS (SELECT greatest(1, (max(event_id) + 1) * 2 // 500) * 100 AS ring FROM events),
 e AS (
-  SELECT user_id AS hash, event_id AS sequence, event_id % 4000 // 100 AS block, event_id % 100 AS off, event_type FROM events WHERE event_type <> 'error'
-  QUALIFY row_number() OVER (PARTITION BY event_id % 4000 ORDER BY event_id DESC) = 1),
+  SELECT user_id AS hash, event_id AS sequence, event_id % ring // 100 AS block, event_id % 100 AS off, event_type FROM events, r WHERE event_type <> 'error'
+  QUALIFY row_number() OVER (PARTITION BY event_id % ring ORDER BY event_id DESC) = 1),
 f AS (SELECT *, coalesce(sequence < lag(sequence) OVER (PARTITION BY block ORDER BY off), false) AS fall FROM e),
 v AS (SELECT *, sum(CAST(fall AS INTEGER)) OVER (PARTITION BY block ORDER BY off) = 0 AS valid FROM f)"""
 
@@ -242,8 +244,8 @@ def block_states(spark, d):
     newest = logstore.latest(e).select("hash", F.col("sequence").alias("newest"))
     per = e.join(newest, "hash").withColumn("block", F.floor(F.col("sequence") / 1000).cast("long"))
     blocks = per.groupBy("block").agg(F.sum(F.when(F.col("sequence") < F.col("newest"), F.col("size")).otherwise(0)).alias("invalid"), F.min("sequence").alias("since"))
-    last = e.agg(F.floor(F.max("sequence") / 1000)).first()[0]
-    return blocks.withColumn("evictable", F.col("block") < F.lit(last))
+    last = e.select(F.floor(F.max("sequence") / 1000)).scalar()
+    return blocks.withColumn("evictable", F.col("block") < last)
 
 
 STATES_SQL = """
@@ -276,10 +278,12 @@ def block_probation(spark, d):
 
 
 @query("block_compaction", f"""
-WITH {BLOCKS_SQL}, b AS (SELECT hash, max(sequence) AS sequence, arg_max(block, sequence) AS block FROM v WHERE valid GROUP BY hash), c AS (SELECT min(block) AS block FROM b)
+WITH {BLOCKS_SQL}, a AS (SELECT hash, max(sequence) AS sequence, arg_max(block, sequence) AS block FROM v WHERE valid GROUP BY hash),
+d AS (SELECT user_id AS hash, max(event_id) AS dead FROM events WHERE event_type = 'error' GROUP BY user_id),
+b AS (SELECT a.* FROM a LEFT JOIN d USING (hash) WHERE dead IS NULL OR sequence > dead), c AS (SELECT min(block) AS block FROM b)
 SELECT hash, sequence, hash % 2 = 1 AS written_again FROM b JOIN c USING (block)""")
 def block_compaction(spark, d):
-    index = logstore.recovered(block_entries(spark, d), version_log(spark, d).limit(0))
+    index = logstore.recovered(block_entries(spark, d), version_log(spark, d).where("is_tombstone"))
     victim = index.agg(F.min("block").alias("block"))
     again, gone = logstore.compact(index, victim, F.col("hash") % 2 == 1)
     return again.select("hash", "sequence", F.lit(True).alias("written_again")).union(gone.select("hash", "sequence", F.lit(False)))
@@ -449,13 +453,86 @@ def fetch_errors_log(spark, d):
 @query("lifecycle_operations_log", O.lifecycle_log())
 def lifecycle_operations_log(spark, d):
     trace = reads(spark, d).select((F.col("seq") * 2).alias("seq"), "op", "key", "weight")
-    quarter = table(spark, d, "events").agg(F.expr("(max(event_id) + 1) div 4")).first()[0]
+    quarter = table(spark, d, "events").select(F.expr("(max(event_id) + 1) div 4")).scalar()
     for k, op in O.STEPS.items():
-        rows = spark.range(O.SHARDS).select(F.lit(2 * quarter * k - 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
+        rows = spark.range(O.SHARDS).select((2 * quarter * k - 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
         trace = trace.unionByName(rows)
     return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())).select("shard", "seq", "result", "entries")
 
 
+@query("string_key_replay", O.string_key_log())
+def string_key_replay(spark, d):
+    trace = reads(spark, d).withColumn("key", F.concat(F.lit("user-"), F.col("key").cast("string")))
+    md5 = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("long")
+    log = replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Fifo()), route_by=md5)
+    return log.select("shard", "seq", "key", (F.col("result") == "hit").alias("hit"), F.get("evicted", F.lit(0)).alias("evicted"))
+
+
+@query("hybrid_lifecycle", O.hybrid_lifecycle_log())
+def hybrid_lifecycle(spark, d):
+    trace = reads(spark, d).select((F.col("seq") * 2).alias("seq"), "op", "key", "weight", "size", "hint", F.lit("default").alias("location"))
+    quarter = table(spark, d, "events").select(F.expr("(max(event_id) + 1) div 4")).scalar()
+    for k, op in O.STEPS.items():
+        shards = spark.range(O.SHARDS).select((2 * quarter * k - 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
+        trace = trace.unionByName(shards.withColumns({"size": F.lit(0).cast("long"), "hint": F.lit("normal"), "location": F.lit("default")}))
+    return hybrid.replay_hybrid(trace, HYBRID).select("shard", "seq", "result", "source")
+
+
+@query("hybrid_throttled", O.throttled_log())
+def hybrid_throttled(spark, d):
+    late = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("seq"), F.lit(True).alias("late"))
+    trace = reads(spark, d).withColumn("location", F.lit("default")).join(late, "seq", "left")
+    return hybrid.replay_hybrid(trace, HYBRID, throttled=F.coalesce("late", F.lit(False))).select("shard", "seq", "result", "source")
+
+
+@query("hybrid_writer", O.writer_log())
+def hybrid_writer(spark, d):
+    kinds = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "disk_insert").when(F.col("event_type") == "error", "disk_force").otherwise("get_or_fetch").alias("op"))
+    trace = reads(spark, d).drop("op").join(kinds, "seq").withColumn("location", F.lit("default"))
+    return hybrid.replay_hybrid(trace, HYBRID, admission.estimated_size(F.col("size"), 20, 300)).select("shard", "seq", "result", "source")
+
+
+@query("hybrid_disk_window", O.DISK_WINDOW)
+def hybrid_disk_window(spark, d):
+    trace = ops(spark, d).withColumn("op", F.when(F.col("op") == "insert", "insert").otherwise("contains")).withColumn("location", F.lit("default"))
+    small = HybridConfig(MemoryConfig(0, O.SHARDS, Fifo()), BlockConfig(blocks=6, block_size=16 * 4096, pickers=("fifo",)), "write_on_insertion")
+    return hybrid.replay_hybrid(trace, small).where("op = 'contains'").select("shard", "seq", "result")
+
+
+@query("throttle_bytes_and_operations", f"""
+SELECT a.part, a.seq, greatest(a.wait_us, b.wait_us) AS wait_us, a.throttled OR b.throttled AS throttled
+FROM ({BUCKET_SQL.format(rate=2)}) a JOIN ({BUCKET_SQL.replace("CAST(ceil(value) AS BIGINT) * 1000000 AS cost", "CAST(ceil(ceil(value) / 64.0) AS BIGINT) * 1000000 AS cost").format(rate=1)}) b USING (seq)""")
+def throttle_bytes_and_operations(spark, d):
+    rows = table(spark, d, "events").select((F.col("user_id") % 8).cast("int").alias("part"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.ceil("value").cast("long").alias("size"))
+    return admission.throttle(rows, "part", Throttle(read_iops=1, read_throughput=2, counter=IopsCounter(64)))
+
+
+@query("fetch_insert_during_flight", """
+WITH t AS (SELECT event_id AS seq, user_id AS key, event_id // 500 AS bucket, event_type IN ('signup', 'purchase') AS ins FROM events),
+x AS (SELECT *, min(CASE WHEN ins THEN seq END) OVER (PARTITION BY key, bucket ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was,
+  min(CASE WHEN ins THEN seq END) OVER (PARTITION BY key, bucket ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next, row_number() OVER (PARTITION BY key, bucket ORDER BY seq) AS n FROM t)
+SELECT seq, key, bucket, CASE WHEN ins THEN 'insert' WHEN was IS NOT NULL THEN 'hit' WHEN n = 1 THEN 'lead' ELSE 'wait' END AS role, CASE WHEN NOT ins AND was IS NULL THEN next END AS resolved_by FROM x""")
+def fetch_insert_during_flight(spark, d):
+    rows = ops(spark, d).select("seq", "key", F.col("op") == "insert").toDF("seq", "key", "inserts")
+    out = fetch.resolved(rows, "key", F.floor(F.col("seq") / 500).cast("long"), F.col("inserts"))
+    return out.select("seq", "key", "bucket", "role", "resolved_by")
+
+
+@query("submit_queue_overflow", """
+SELECT event_id AS sequence, CAST(user_id % 2 AS INTEGER) AS flusher,
+  coalesce(sum(CAST(ceil(value) AS BIGINT)) OVER (PARTITION BY user_id % 2, event_id // 50 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 1000 AS accepted FROM events""")
+def submit_queue_overflow(spark, d):
+    rows = version_log(spark, d).select("hash", "sequence", "size")
+    return logstore.enqueued(rows, F.floor(F.col("sequence") / 50), 1000, 2).select("sequence", "flusher", "accepted")
+
+
+@query("tombstone_ring", """
+SELECT event_id % 97 AS slot, max(event_id) AS number, arg_max(user_id, event_id) AS hash FROM events WHERE event_type = 'error' GROUP BY 1""")
+def tombstone_ring(spark, d):
+    gone = version_log(spark, d).where("is_tombstone").select("hash", F.col("sequence").alias("number"))
+    return logstore.tombstone_ring(gone, 97).select("slot", "number", "hash")
+
+
 @query("partial_store_view", """
 SELECT CAST(page_id % 4 AS INTEGER) AS flusher, page_id AS sequence FROM pages
 QUALIFY sum(CAST(ceil((strlen(html) + strlen(url) + 36) / 4096.0) * 4096 AS BIGINT)) OVER (PARTITION BY page_id % 4 ORDER BY page_id) <= 200000""")
@@ -470,7 +547,6 @@ def corruption_check(spark, d):
     return logstore.intact(damaged).select("page_id")
 
 
-@query("combined_stores", "SELECT 'orders' AS store, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+@query("combined_stores", "SELECT part, n FROM (SELECT 0 AS part, count(*) AS n FROM orders UNION ALL SELECT 1, count(*) FROM lineitem)")
 def combined_stores(spark, d):
-    parts = [table(spark, d, t).select(F.lit(t).alias("store")) for t in ("orders", "lineitem")]
-    return parts[0].unionByName(parts[1]).groupBy("store").agg(F.count("*").alias("n"))
+    return combined(spark, [f"{d}/{t}.parquet" for t in ("orders", "lineitem")]).groupBy("part").agg(F.count("*").alias("n"))

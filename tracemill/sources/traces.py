@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of a normalised trace.
@@ -43,28 +43,32 @@ def csv_trace(spark: SparkSession, path: str, column: int = 1) -> DataFrame:
 
 
 def combined(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several stores read as one, in order of the list."""
+    """Several stores read as one, in order of the list; columns that one lacks are null there."""
     parts = [spark.read.parquet(p).withColumn("part", F.lit(i)) for i, p in enumerate(paths)]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+#: Items whose weights are summed in one task.
+RUN = 10_000
+
+
 def zipf_trace(spark: SparkSession, items: int, accesses: int, exponent: float, seed: int = 0, partitions: int = 8) -> DataFrame:
     """``accesses`` read-through accesses of keys 1..items with Zipf probabilities, by inversion of the cumulative weights.
 
     The cumulative weights (one number an item) are joined by range through a
     bucket of equal probability, so the trace itself is never sorted or collected.
     """
-    ranks = spark.range(1, items + 1).select(F.col("id").alias("key"), (1 / F.pow("id", F.lit(exponent))).alias("w"))
-    from pyspark.sql import Window
-
-    order = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)  # one row an item
-    cum = ranks.withColumn("hi", F.sum("w").over(order)).withColumn("lo", F.col("hi") - F.col("w"))
-    total = cum.agg(F.max("hi")).first()[0]
+    ranks = spark.range(1, items + 1).select(F.col("id").alias("key"), (1 / F.pow("id", F.lit(exponent))).alias("w"), F.expr(f"id div {RUN}").alias("run"))
+    # running sums inside runs of items, and over the runs' totals: one row for RUN items meets in a window
+    runs = ranks.groupBy("run").agg(F.sum("w").alias("t"))
+    before = runs.select("run", (F.sum("t").over(Window.orderBy("run")) - F.col("t")).alias("base"), F.sum("t").over(Window.partitionBy()).alias("total"))
+    inside = F.sum("w").over(Window.partitionBy("run").orderBy("key"))
+    cum = ranks.withColumn("in_run", inside).join(F.broadcast(before), "run").select("key", (F.col("base") + F.col("in_run") - F.col("w")).alias("lo"), (F.col("base") + F.col("in_run")).alias("hi"), "total")
     buckets = max(1, items)
-    cum = cum.select("key", (F.col("lo") / total).alias("lo"), (F.col("hi") / total).alias("hi"))
+    cum = cum.select("key", (F.col("lo") / F.col("total")).alias("lo"), F.when(F.col("key") == items, 1.0).otherwise(F.col("hi") / F.col("total")).alias("hi"))
     cum = cum.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") * buckets), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets - 1)))))
     draws = spark.range(0, accesses, 1, partitions).select(F.col("id").alias("seq"), F.rand(seed).alias("u")).withColumn("b", F.floor(F.col("u") * buckets))
     hit = (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tracemill.functions.scalars import shard_of
+from tracemill.functions.scalars import route
 from tracemill.operators.memory import MemoryShard
-from tracemill.operators.replay import apply
+from tracemill.operators.replay import apply, key_type
 from tracemill.plans.config import MemoryConfig, split_capacity
 
-LOG = "shard int, seq long, op string, key long, result string, usage long, entries long"
+LOG = "shard int, seq long, op string, key {key}, result string, usage long, entries long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -59,8 +59,8 @@ class ReplayProcessor(StatefulProcessor):
 def replay_stream(trace: DataFrame, config: MemoryConfig) -> DataFrame:
     """A streaming trace (seq, op, key, weight, hint) replayed; needs the RocksDB state store."""
     trace.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = trace.select(shard_of(F.col("key"), config.shards).cast("int").alias("shard"), "seq", "op", "key", F.col("weight").cast("long").alias("weight"), "hint")
-    return rows.groupBy("shard").transformWithStateInPandas(ReplayProcessor(config), outputStructType=LOG, outputMode="Append", timeMode="None")
+    rows = trace.where("key IS NOT NULL").select(route(trace, config.shards).alias("shard"), "seq", "op", "key", F.col("weight").cast("long").alias("weight"), "hint")
+    return rows.groupBy("shard").transformWithStateInPandas(ReplayProcessor(config), outputStructType=LOG.format(key=key_type(trace)), outputMode="Append", timeMode="None")
 
 
 def windowed_counters(trace: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:

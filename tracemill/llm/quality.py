@@ -1,6 +1,7 @@
 """Quality by positive-unlabelled learning with a non-negative risk.
 
-Each text gives a short vector of style measures. With the squared loss the
+Each text gives a short vector: style measures, and the shares of its words and
+of its character trigrams that fall into hash buckets. With the squared loss the
 non-negative PU risk
 
     pi E_P[l(z)] + max(0, E_U[l(-z)] - pi E_P[l(-z)]),   z = w.x, l(z) = (1 - z)^2 / 4
@@ -11,8 +12,9 @@ tables in one distributed pass (a fixed number of sums, whatever the input),
 and the risk is minimised on the driver. The class prior pi is estimated from
 the tails of the scores: inf over t of P_U(z >= t) / P_P(z >= t), with an
 allowance for chance (best-bin estimate), and the fit is repeated with it.
-Scores are made probabilities by a logistic curve over binned counts of the
-labelled rows that may be learned from. Nothing is sampled.
+Scores are made probabilities by a logistic curve over the binned counts of the
+positives, weighted to the prior, against the unlabelled rest. Labels 0 are not
+used, and nothing is sampled.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut, held_out, keep_rows
+from tracemill.llm.common import cut, held_out, keep_rows, slices
+from tracemill.llm.textkit import U, Words, chunks, mix
 
 BINS = 400
 SYMBOLS = b"#$%&*@^~=<>{}[]\\/_+`"
@@ -68,16 +71,42 @@ def style(text: str | None) -> list[float]:
     ]
 
 
-DIM = len(style(""))
+STYLE = len(style(""))
+#: Buckets of hashed words and of hashed character trigrams.
+WORDS, TRIGRAMS = 48, 48
+DIM = STYLE + WORDS + TRIGRAMS
+
+
+def _shares(owner: np.ndarray, hashes: np.ndarray, texts: int, buckets: int) -> np.ndarray:
+    """For each text the shares of its hashes that fall into each bucket, scaled to 1 where they are even."""
+    at = (mix(hashes) >> U(40)).astype(np.int64) % buckets
+    count = np.bincount(owner * buckets + at, minlength=texts * buckets).reshape(texts, buckets)
+    return count * buckets / np.maximum(1, count.sum(axis=1, keepdims=True)) / 4
+
+
+def features(texts: list[str | None]) -> np.ndarray:
+    """The vectors of whole texts, a row each."""
+    out = np.zeros((len(texts), DIM), dtype=np.float32)
+    normal = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
+    for i, j in chunks(normal):
+        w = Words(normal[i:j])
+        out[i:j, :STYLE] = [style(t) for t in texts[i:j]]
+        out[i:j, STYLE : STYLE + WORDS] = _shares(np.repeat(np.arange(j - i), w.counts), w.hashes(), j - i, WORDS)
+        buf = w.buf.astype(U)
+        grams = buf[:-2] | buf[1:-1] << U(8) | buf[2:] << U(16)
+        begin = np.cumsum([0] + [len(t) + 1 if t else 0 for t in normal[i:j]])
+        owner = np.searchsorted(begin, np.arange(len(grams)), side="right") - 1
+        out[i:j, STYLE + WORDS :] = _shares(owner, grams, j - i, TRIGRAMS)
+    return out
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x) for every row: the style vector of its whole text."""
+    """(id, x) for every row: the vector of its whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            x = np.array([style(t.as_py()) for t in b.column(1)], dtype=np.float32).reshape(-1, DIM)
+        for b in slices(batches):
+            x = features(b.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * DIM + 1, DIM), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "x"])
 
@@ -108,10 +137,15 @@ def moments(rows: DataFrame) -> dict[str, np.ndarray]:
     return {"u": u, "p": p}
 
 
-def fit(m: dict[str, np.ndarray], prior: float, ridge: float = 1e-3, steps: int = 400) -> np.ndarray:
+def penalty(n: float, ridge: float = 1e-3, hashed: float = 30.0) -> np.ndarray:
+    """Ridge: a little for style measures, and for hashed shares the more the fewer positives there are."""
+    return np.diag(np.concatenate([np.full(STYLE, ridge), np.full(WORDS + TRIGRAMS, ridge + hashed / max(1.0, np.sqrt(n)))]))
+
+
+def fit(m: dict[str, np.ndarray], prior: float, steps: int = 400) -> np.ndarray:
     """Minimise the non-negative PU risk for squared loss, from the unbiased solution on."""
     mu, mp = m["u"] / max(1.0, m["u"][0, 0]), m["p"] / max(1.0, m["p"][0, 0])
-    reg = ridge * np.eye(DIM)
+    reg = penalty(m["p"][0, 0])
     # unbiased risk: l(z) - l(-z) = -z, so grad = -pi E_P[x] + (E_U[x] + M_U w) / 2
     w = np.linalg.solve(mu / 2 + reg, prior * mp[0] - mu[0] / 2)
     rate = 0.5 / np.linalg.norm(mu + prior * mp + reg, 2)
@@ -125,23 +159,21 @@ def fit(m: dict[str, np.ndarray], prior: float, ridge: float = 1e-3, steps: int
 
 
 def histogram(rows: DataFrame, w: np.ndarray) -> np.ndarray:
-    """Counts of scores z in BINS bins over [-3, 3], of all rows, of the trusted positives and of labels 0 and 1 to learn from."""
+    """Counts of scores z in BINS bins over [-3, 3], of all rows and of the trusted positives."""
 
     def run(batches):
-        total = np.zeros((4, BINS))
+        total = np.zeros((2, BINS))
         for b in batches:
             at = bin_of(_matrix(b) @ w)
-            label = b.column(1).to_pylist()
-            y = np.array([-1 if v is None else v for v in label])
-            for k, mask in enumerate((y > -2, y == 1, y == 0, y == 1)):
-                total[k] += np.bincount(at[mask], minlength=BINS)
+            total[0] += np.bincount(at, minlength=BINS)
+            total[1] += np.bincount(at[b.column(1).to_numpy(zero_copy_only=False).astype(bool)], minlength=BINS)
         flat = total.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["cell", "v"])
 
-    flat = np.zeros(4 * BINS)
-    for r in rows.select("x", "y").mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
+    flat = np.zeros(2 * BINS)
+    for r in rows.select("x", "positive").mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
         flat[r["cell"]] = r["v"]
-    return flat.reshape(4, BINS)
+    return flat.reshape(2, BINS)
 
 
 def bin_of(z: np.ndarray) -> np.ndarray:
@@ -162,11 +194,11 @@ def prior_of(counts: np.ndarray, delta: float = 0.1) -> float:
     return float(np.clip(qu[best] / qp[best], 0.05, 0.95))
 
 
-def calibrate(counts: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Logistic curve a z + b for binned labelled counts, by damped Newton steps; (2, 0) where a label is missing."""
-    n0, n1 = counts[2], counts[3]
-    if not n0.sum() or not n1.sum():
-        return 2.0, 0.0
+def calibrate(counts: np.ndarray, prior: float, steps: int = 100) -> tuple[float, float]:
+    """Logistic curve a z + b, by damped Newton steps, for the positives expected in each bin against what else is there."""
+    u, p = counts
+    n1 = prior * u.sum() * p / max(1.0, p.sum())
+    n0 = np.maximum(0.0, u - n1)
     z = (np.arange(BINS) + 0.5) / BINS * 6 - 3
     x = np.stack([z, np.ones(BINS)], axis=1)
     n = n0 + n1
@@ -181,8 +213,8 @@ def calibrate(counts: np.ndarray, steps: int = 100) -> tuple[float, float]:
 
 
 def train(rows: DataFrame, rounds: int = 3) -> dict:
-    """Fit on (x, y) rows: y 1 trusted positive, 0 known negative (only for the calibration), null unlabelled."""
-    m = moments(rows.withColumn("positive", F.coalesce(F.col("y") == 1, F.lit(False))))
+    """Fit on (x, positive) rows: trusted positives among unlabelled ones."""
+    m = moments(rows)
     prior, w = 0.5, np.zeros(DIM)
     if m["p"][0, 0] == 0:
         return {"w": w, "a": 0.0, "b": 0.0, "prior": prior}
@@ -191,7 +223,7 @@ def train(rows: DataFrame, rounds: int = 3) -> dict:
         w = fit(m, prior)
         counts = histogram(rows, w)
         prior = prior_of(counts)
-    a, b = calibrate(counts)
+    a, b = calibrate(counts, prior)
     return {"w": w, "a": a, "b": b, "prior": prior}
 
 
@@ -203,9 +235,9 @@ def scored(rows: DataFrame, model: dict) -> DataFrame:
 
 
 def labelled(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Add y, the row's label if it may be learned from, else null. Repeated labels of an id: the greatest."""
+    """Add ``positive``: whether the row has label 1 and may be learned from. Repeated labels of an id: the greatest."""
     one = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("y"))
-    return rows.join(one, "id", "left")
+    return rows.join(one.where("y = 1"), "id", "left").withColumn("positive", F.col("y").isNotNull())
 
 
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,13 +261,16 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """The rows of ``docs`` (doc_id, text and more, unchanged) that score at least ``threshold``.
 
     Texts are scored where they lie: there is no join and no shuffle of texts.
+    Null, empty and repeated texts and null ids are treated as by ``assess``;
+    an empty table gives an empty result; without any trusted positive each row
+    scores 0.5 and goes unless the threshold allows it.
     """
     x = cut(measured(docs, "doc_id", "text"))
     model = train(labelled(x, labels, "quality"))
     w, a, b = model["w"], model["a"], model["b"]
 
     def decide(texts):
-        x = np.array([style(t) for t in texts], dtype=np.float32).reshape(-1, DIM).astype(np.float64)
+        x = features(texts).astype(np.float64)
         return 1 / (1 + np.exp(-(a * (x @ w) + b))) >= threshold
 
     return keep_rows(docs, "text", decide)

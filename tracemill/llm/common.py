@@ -49,3 +49,8 @@ def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     Meant for materialised sides of a few fixed-width columns.
     """
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+
+
+def tight(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A materialised table in no more partitions than its rows need: what is made of a small one is then no flood of small tasks and files."""
+    return df.coalesce(max(1, -(-df.count() // rows)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.session import cut
+from tracemill.llm.common import cut, tight
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,12 +34,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a round changes nothing; ``max_rounds`` only guards against a defect and
     raises instead of returning a partial answer.
     """
-    e = cut(edges.select("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = tight(cut(edges.select("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     seen = None
     for _ in range(max_rounds):
         mark = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if seen == tuple(mark) or mark["n"] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(mark)
-        e = cut(_small_star(_large_star(e)))
+        e = tight(cut(_small_star(_large_star(e))))
     raise RuntimeError("components did not settle")

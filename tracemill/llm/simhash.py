@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracemill.llm.common import cut, slices, small
+from tracemill.llm.common import cut, slices, small, tight
 from tracemill.llm.graph import components
 from tracemill.llm.textkit import Words, chunks, grams, mix
 
@@ -386,7 +386,7 @@ def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
     words = texts.select("c", "w")
     pairs = edges.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return cut(pairs.mapInArrow(compare, "a long, b long"))
+    return tight(cut(pairs.mapInArrow(compare, "a long, b long")))
 
 
 #: Turns in which each text of an unsettled shingle tries one partner, before all pairs that are left are tried.
@@ -417,19 +417,19 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
     rows = cut(contents(docs, id_col, text_col, shingle))
     texts = docs.select(F.col(text_col).cast("string").alias("t"))
     common = docs.sparkSession.sparkContext.broadcast(_commonness(texts, shingle))
-    shared = cut(_shared(_prefixes(texts, shingle, similarity, common)))
+    shared = tight(cut(_shared(_prefixes(texts, shingle, similarity, common))))
     # the fingerprints' links, between one text of each value, and from each text to the one of its value
-    values = cut(rows.groupBy("fp").agg(F.min("c").alias("c")))
+    values = tight(cut(rows.groupBy("fp").agg(F.min("c").alias("c"))))
     near = links(values.select("fp"), distance).join(values.toDF("a", "ca"), "a").join(values.toDF("b", "cb"), "b").select("ca", "cb")
     same = rows.select("c", "fp").distinct().join(small(values).toDF("fp", "to"), "fp").select("c", "to")
-    tried = cut(_ordered(near.union(same).toDF("a", "b")))
+    tried = tight(cut(_ordered(near.union(same).toDF("a", "b"))))
     asked = shared.select("c").union(tried.select("a")).union(tried.select("b")).distinct()
     words = _texts_of(asked, rows, docs, id_col, text_col, shingle)
     held = _verified(tried, words, shingle, similarity)
     roots = components(held)
     for turn in range(TURNS):
-        shared = cut(_unsettled(shared, roots))
-        new = cut(_ordered(_offers(shared, turn, similarity)).join(tried, ["a", "b"], "left_anti"))
+        shared = tight(cut(_unsettled(shared, roots)))
+        new = tight(cut(_ordered(_offers(shared, turn, similarity)).join(tried, ["a", "b"], "left_anti")))
         tried, found = tried.union(new), _verified(new, words, shingle, similarity)
         held = held.union(found)
         if not (n := found.count()):
@@ -437,7 +437,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance
         roots = components(held)
         if 100 * n < shared.select("c").distinct().count():
             break
-    rest = cut(_ordered(_apart(shared, roots, words, similarity)).join(tried, ["a", "b"], "left_anti"))
+    rest = tight(cut(_ordered(_apart(shared, roots, words, similarity)).join(tried, ["a", "b"], "left_anti")))
     roots = components(held.union(_verified(rest, words, shingle, similarity)))
     named = rows.select("id", "c").join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = cut(named.select("id", "c", "root"))

@@ -156,6 +156,65 @@ def test_classifiers_on_odd_rows(run, odd, nothing, labels):
     assert all(0 <= r["score"] <= 1 for r in out) and run(nothing, labels).count() == 0 and run(odd, labels.limit(0)).count() == len(out)
 
 
+def test_quality_matches_brute_force(spark, sf):
+    """The scores from tables and sums in tasks against all of it in one place."""
+    docs, marks = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = docs.collect()
+    good = {r["doc_id"] for r in marks.collect() if r["quality"] == 1 and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    x = np.concatenate([quality.features([r["text"]]) for r in rows]).astype(np.float64)  # each text on its own
+    p = np.array([r["doc_id"] in good for r in rows])
+    m = {"u": x.T @ x, "p": x[p].T @ x[p]}
+    measured = quality.labelled(quality.measured(docs, "doc_id", "text"), marks, "quality")
+    summed = quality.moments(measured)
+    assert all(np.allclose(summed[k], m[k], rtol=1e-6, atol=1e-6) for k in m)
+    w = quality.fit(m, 0.6)
+    at = quality.bin_of(x @ w)
+    binned = quality.histogram(measured, w)
+    assert np.abs(binned - np.stack([np.bincount(at, minlength=quality.BINS), np.bincount(at[p], minlength=quality.BINS)])).sum() <= 4
+    prior = 0.5
+    for _ in range(3):
+        w = quality.fit(m, prior)
+        at = quality.bin_of(x @ w)
+        counts = np.stack([np.bincount(at, minlength=quality.BINS), np.bincount(at[p], minlength=quality.BINS)])
+        prior = quality.prior_of(counts)
+    a, b = quality.calibrate(counts, prior)
+    want = dict(zip((r["doc_id"] for r in rows), 1 / (1 + np.exp(-(a * (x @ w) + b)))))
+    got = {r["doc_id"]: r["score"] for r in quality.op10_quality(docs, marks).collect()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 0.05  # a score at the edge of a bin moves the prior
+
+
+def test_the_fit_is_a_minimum_of_the_non_negative_risk():
+    rng = np.random.default_rng(6)
+    n = 4000
+    y = rng.random(n) < 0.6
+    x = np.zeros((n, quality.DIM))
+    x[:, 0] = 1
+    x[:, 1:6] = rng.normal(size=(n, 5)) + y[:, None] * np.array([1.5, -1, 0, 0, 0.5])
+    p = y & (rng.random(n) < 0.4)
+    m = {"u": x.T @ x, "p": x[p].T @ x[p]}
+
+    def risk(w, prior):
+        loss = lambda z: (1 - z) ** 2 / 4
+        z, reg = x @ w, w @ quality.penalty(p.sum()) @ w / 2
+        return prior * loss(z[p]).mean() + max(0.0, loss(-z).mean() - prior * loss(-z[p]).mean()) + reg
+
+    w = quality.fit(m, 0.6)
+    for _ in range(200):
+        assert risk(w + 0.02 * rng.normal(size=len(w)), 0.6) > risk(w, 0.6) - 1e-6
+    at = quality.bin_of(x @ w)
+    counts = np.stack([np.bincount(at, minlength=quality.BINS), np.bincount(at[p], minlength=quality.BINS)])
+    assert abs(quality.prior_of(counts) - 0.6) < 0.1
+    a, b = quality.calibrate(counts, 0.6)
+    assert np.mean((a * (x @ w) + b > 0) == y) > 0.75
+
+
+def test_features_of_whole_texts():
+    texts = [None, "", " ", "a b", "Ab ab", "word " * 3000, "é ñ"]
+    x = quality.features(texts)
+    assert x.shape == (7, quality.DIM) and np.isfinite(x).all() and np.allclose(x[0], x[1]) and not x[1, quality.STYLE :].any()
+    assert np.allclose(x, np.concatenate([quality.features([t]) for t in texts]))
+
+
 def test_accepted_keeps_rows_unchanged(odd, labels, nothing):
     assert quality.accepted(odd, labels, 0.0).count() == odd.count() and quality.accepted(odd, labels).columns == odd.columns
     assert quality.accepted(nothing, labels).count() == 0

@@ -96,7 +96,8 @@ def features(texts: list[str | None]) -> np.ndarray:
         grams = buf[:-2] | buf[1:-1] << U(8) | buf[2:] << U(16)
         begin = np.cumsum([0] + [len(t) + 1 if t else 0 for t in normal[i:j]])
         owner = np.searchsorted(begin, np.arange(len(grams)), side="right") - 1
-        out[i:j, STYLE + WORDS :] = _shares(owner, grams, j - i, TRIGRAMS)
+        inside = np.arange(len(grams)) + 2 < begin[owner + 1]  # up to the space that ends a text
+        out[i:j, STYLE + WORDS :] = _shares(owner[inside], grams[inside], j - i, TRIGRAMS)
     return out
 
 

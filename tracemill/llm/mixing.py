@@ -36,26 +36,27 @@ def weights(sized: DataFrame, max_repeat: float = 2.0, target_entropy: float | N
     ``budget`` is the mixture's tokens; by default as many as let the source
     with the least repetition pass exactly once, so that no document is left
     out. quota is weight * budget, rounded; full its whole epochs and rest the
-    tokens of the last one. One number a source meets in a single row for the
+    tokens of the last one. Sources with one total have one weight, so only the
+    different totals, with their numbers of sources, meet in a row for the
     bisection; documents never do. A null source is a source of its own.
     """
-    totals = sized.groupBy("source").agg(F.sum("tokens").alias("total"))
-    row = totals.agg(F.array_sort(F.collect_list(F.struct("total", "source"))).alias("s"), F.sum("total").alias("all"))
-    row = row.withColumn("p", F.transform("s", lambda x: x["total"] / F.col("all")))
+    totals = cut(sized.groupBy("source").agg(F.sum("tokens").alias("total")))
+    row = totals.groupBy("total").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("total", "n"))).alias("s"), F.sum(F.col("total") * F.col("n")).alias("all"))
+    row = row.withColumn("p", F.transform("s", lambda x: F.struct((x["total"] / F.col("all")).alias("p"), x["n"].alias("n"))))
 
     def norm(a):
-        return F.aggregate("p", F.lit(0.0), lambda acc, p: acc + F.pow(p, a))
+        return F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x["n"] * F.pow(x["p"], a))
 
     def entropy(a):
         z = norm(a)
-        return F.aggregate("p", F.lit(0.0), lambda acc, p: acc - F.pow(p, a) / z * F.log(F.pow(p, a) / z))
+        return F.aggregate("p", F.lit(0.0), lambda acc, x: acc - x["n"] * F.pow(x["p"], a) / z * F.log(F.pow(x["p"], a) / z))
 
     def too_flat(a):
         """Whether exponent ``a`` lies below the wanted one."""
         if target_entropy is not None:
             return entropy(a) > target_entropy
-        most = F.array_max(F.transform("p", lambda p: F.pow(p, a) / p))
-        least = F.array_min(F.transform("p", lambda p: F.pow(p, a) / p)) if budget is None else F.col("all") * norm(a) / F.lit(float(budget))
+        most = F.array_max(F.transform("p", lambda x: F.pow(x["p"], a) / x["p"]))
+        least = F.array_min(F.transform("p", lambda x: F.pow(x["p"], a) / x["p"])) if budget is None else F.col("all") * norm(a) / F.lit(float(budget))
         return most > max_repeat * least
 
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
@@ -66,14 +67,14 @@ def weights(sized: DataFrame, max_repeat: float = 2.0, target_entropy: float | N
         return F.struct(F.when(flat, mid).otherwise(acc["lo"]).alias("lo"), F.when(flat, acc["hi"]).otherwise(mid).alias("hi"))
 
     # where even exponent 0 is not too flat, the interval's upper end falls to 0
-    row = row.withColumn("a", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)["hi"])
-    row = cut(row)
+    row = cut(row.withColumn("a", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)["hi"]))
     row = row.withColumn("z", norm(F.col("a")))
-    size = F.lit(float(budget)) if budget is not None else F.col("all") * F.array_max(F.transform("p", lambda p: p * F.col("z") / F.pow(p, F.col("a"))))
-    row = row.withColumn("size", size)
-    each = row.select("a", "size", "z", "all", F.explode("s").alias("x")).select(F.col("x.source").alias("source"), F.col("x.total").alias("total"), F.col("a").alias("exponent"), (F.pow(F.col("x.total") / F.col("all"), "a") / F.col("z")).alias("weight"), "size")
-    each = each.withColumn("quota", F.round(F.col("weight") * F.col("size")).cast("long"))
-    return each.withColumn("full", F.expr("quota div total")).withColumn("rest", F.expr("quota % total")).drop("size")
+    size = F.lit(float(budget)) if budget is not None else F.col("all") * F.array_max(F.transform("p", lambda x: x["p"] * F.col("z") / F.pow(x["p"], F.col("a"))))
+    got = row.select("a", "z", size.alias("size"), "all").first()  # four numbers
+    weight = F.pow(F.col("total") / F.lit(got["all"]), F.lit(got["a"])) / F.lit(got["z"])
+    each = totals.select("source", "total", F.lit(got["a"]).alias("exponent"), weight.alias("weight"))
+    each = each.withColumn("quota", F.round(F.col("weight") * F.lit(got["size"])).cast("long"))
+    return each.withColumn("full", F.expr("quota div total")).withColumn("rest", F.expr("quota % total"))
 
 
 def schedule(docs: DataFrame, doc_id: str = "doc_id", seed: int = 42, block_tokens: int = 100_000, max_repeat: float = 2.0, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
@@ -83,6 +84,8 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", seed: int = 42, block_toke
     one it is if its key is at most the key at which the tokens before it still
     leave room. Repeated rows share a key and go together. block is the run of
     the mixture the use falls into, slot its place there. Empty in, empty out.
+    Columns of ``docs`` named epoch, key, weight, block, slot or with a leading
+    underscore are reserved.
     """
     w = cut(weights(docs, max_repeat, target_entropy, budget))
     size = w.agg(F.sum("quota")).first()[0] or 1
@@ -96,7 +99,7 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", seed: int = 42, block_toke
     # rows that share a key are told apart by arrival only: they all stand where the first does
     room = at.where(F.col("before") < F.col("quota"))
     ends = room.where(F.col("epoch") == F.col("full")).groupBy("source").agg(F.max("key").alias("_end"))
-    ends = ends.withColumnRenamed("source", "_s")
+    ends = small(cut(ends.withColumnRenamed("source", "_s")))
     kept = at.join(ends, at["source"].eqNullSafe(ends["_s"]), "left").where((F.col("epoch") < F.col("full")) | (F.col("key") <= F.col("_end")))
     part = F.expr(f"(CAST(before AS DECIMAL(20,0)) * {blocks}) div CAST(quota AS DECIMAL(20,0))")
     kept = kept.withColumn("block", F.least(part, F.lit(blocks - 1)).cast("long"))
@@ -119,7 +122,11 @@ def mixed(docs: DataFrame, seed: int = 42, **kwargs) -> DataFrame:
     """``docs`` (with doc_id, source, text) with each row as often as the mixture uses it; the columns are unchanged.
 
     The same uses as ``schedule`` gives; texts are not shuffled for it, since a
-    source's last key decides the partial pass.
+    source's last key decides the partial pass. Null, empty and very long texts
+    count their words, one at least; null ids and null sources are ids and a
+    source of their own; repeated rows are used alike; an empty table gives an
+    empty result; extra columns are kept, names with two leading underscores
+    are reserved.
     """
     sized = cut(docs.select("doc_id", "source", n_tokens(F.col("text").cast("string")).alias("tokens")))
     ends = cutoffs(sized, "doc_id", seed, **kwargs).toDF("__source", "__full", "__end")

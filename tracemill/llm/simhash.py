@@ -162,8 +162,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("id", "fp", "component_id")
+    by_fp = cut(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    # a group of copies is one key of the rows: where the distinct values are few, the rows stay where they are
+    return fps.join(small(by_fp), "fp").select("id", "fp", "component_id")
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:

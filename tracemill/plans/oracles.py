@@ -236,7 +236,8 @@ w(shard, i, q, seq, result) AS (
 STEPS = {1: "resize", 2: "evict_all", 3: "clear"}
 
 
-def lifecycle_log() -> str:
+def lifecycle_log(on_hit: str = "r.q") -> str:
+    """Of FIFO, or of LRU if a hit moves the key to the end."""
     at = "(SELECT max(event_id) + 1 FROM events) // 4"
     extra = " UNION ALL ".join(f"SELECT CAST(range AS BIGINT), 2 * ({at} * {k}) - 1, '{op}' FROM range({SHARDS})" for k, op in STEPS.items())
     return f"""
@@ -246,12 +247,15 @@ w(shard, i, q, seq, result) AS (
   SELECT shard, CAST(0 AS BIGINT), {NONE}, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) {START}
   UNION ALL
   SELECT t.shard, t.i, CASE WHEN t.op IN ('evict_all', 'clear') THEN r.q[:0] WHEN t.op = 'resize' THEN r.q[greatest(1, len(r.q) - t.room + 1):]
-      WHEN list_contains(r.q, t.key) THEN r.q WHEN len(r.q) >= t.room THEN list_append(r.q[2:], t.key) ELSE list_append(r.q, t.key) END,
+      WHEN list_contains(r.q, t.key) THEN {on_hit} WHEN len(r.q) >= t.room THEN list_append(r.q[2:], t.key) ELSE list_append(r.q, t.key) END,
     t.seq, CASE WHEN t.op <> 'get_or_fetch' THEN 'done' WHEN list_contains(r.q, t.key) THEN 'hit' ELSE 'miss' END
   FROM w r JOIN t ON t.shard = r.shard AND t.i = r.i + 1)
 SELECT CAST(shard AS INTEGER) AS shard, seq, result, CAST(len(q) AS BIGINT) AS entries FROM w WHERE i > 0"""
 
 
+LRU_HIT = "list_append(list_filter(r.q, lambda x: x <> t.key), t.key)"
+
+
 def locations_log() -> str:
     """Signups live in memory only, purchases on disk only; q holds keys and whether they are written when they leave, dsk the disk's keys.
 

@@ -450,14 +450,25 @@ def fetch_errors_log(spark, d):
     return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())).select("shard", "seq", "result")
 
 
-@query("lifecycle_operations_log", O.lifecycle_log())
-def lifecycle_operations_log(spark, d):
-    trace = reads(spark, d).select((F.col("seq") * 2).alias("seq"), "op", "key", "weight")
+def lifecycle_trace(spark, d):
+    """The reads, and on every shard a resize to half, an evict_all and a clear."""
+    trace = reads(spark, d).select((F.col("seq") * 2).alias("seq"), "op", "key", "weight", "size", "hint", F.lit("default").alias("location"))
     quarter = table(spark, d, "events").select(F.expr("(max(event_id) + 1) div 4")).scalar()
     for k, op in O.STEPS.items():
-        rows = spark.range(O.SHARDS).select((2 * quarter * k - 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
-        trace = trace.unionByName(rows)
-    return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())).select("shard", "seq", "result", "entries")
+        shards = spark.range(O.SHARDS).select((2 * quarter * k - 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
+        trace = trace.unionByName(shards.withColumns({"size": F.lit(0).cast("long"), "hint": F.lit("normal"), "location": F.lit("default")}))
+    return trace
+
+
+@query("lifecycle_operations_log", O.lifecycle_log())
+def lifecycle_operations_log(spark, d):
+    return replay.replay(lifecycle_trace(spark, d), MemoryConfig(O.CAPACITY, O.SHARDS, Fifo())).select("shard", "seq", "result", "entries")
+
+
+@query("lru_lifecycle_log", O.lifecycle_log(O.LRU_HIT))
+def lru_lifecycle_log(spark, d):
+    trace = lifecycle_trace(spark, d).withColumn("hint", F.lit("normal"))
+    return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Lru(1.0))).select("shard", "seq", "result", "entries")
 
 
 @query("string_key_replay", O.string_key_log())
@@ -470,11 +481,7 @@ def string_key_replay(spark, d):
 
 @query("hybrid_lifecycle", O.hybrid_lifecycle_log())
 def hybrid_lifecycle(spark, d):
-    trace = reads(spark, d).select((F.col("seq") * 2).alias("seq"), "op", "key", "weight", "size", "hint", F.lit("default").alias("location"))
-    quarter = table(spark, d, "events").select(F.expr("(max(event_id) + 1) div 4")).scalar()
-    for k, op in O.STEPS.items():
-        shards = spark.range(O.SHARDS).select((2 * quarter * k - 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").alias("key"), F.lit(O.PER_SHARD // 2).cast("long").alias("weight"))
-        trace = trace.unionByName(shards.withColumns({"size": F.lit(0).cast("long"), "hint": F.lit("normal"), "location": F.lit("default")}))
+    trace = lifecycle_trace(spark, d)
     return hybrid.replay_hybrid(trace, HYBRID).select("shard", "seq", "result", "source")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import aligned
 from tracemill.operators.fold import ordered_fold
+from tracemill.operators.prefix import running_total
 from tracemill.plans.config import BlockConfig
 
 
@@ -127,8 +128,7 @@ def footprint(entries: DataFrame, group: str) -> DataFrame:
 
 def partial(entries: DataFrame, capacity: int, group: str) -> DataFrame:
     """A view of each group's store that ends where its pages would exceed ``capacity``, in sequence order."""
-    w = Window.partitionBy(group).orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("_end", F.sum(aligned(F.col("size"))).over(w)).where(F.col("_end") <= capacity).drop("_end")
+    return running_total(entries, ["sequence"], [group], "_end", aligned(F.col("size"))).where(F.col("_end") <= capacity).drop("_end")
 
 
 def intact(entries: DataFrame, stored: str = "checksum", key: str = "key", value: str = "value") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.prefix import running_total
+
 #: Percentiles of the latency analysis.
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999, "p9999": 0.9999, "p99999": 0.99999}
 
@@ -14,9 +16,8 @@ def counters(log: DataFrame, by: list[str]) -> DataFrame:
 
 
 def gauge(log: DataFrame, delta: Column, group: str, order: str = "seq") -> DataFrame:
-    """Running value of a gauge in each group."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("gauge", F.sum(delta).over(w))
+    """Running value of a gauge in each group, by prefix sums over ranges, so that a group may be of any size."""
+    return running_total(log, [order], [group], "gauge", delta.cast("long"))
 
 
 def histogram(rows: DataFrame, bucket: Column, by: list[str]) -> DataFrame:

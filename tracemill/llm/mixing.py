@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import cut, small
-from tracemill.llm.prefix import ranged, running
+from tracemill.operators.prefix import ranged, running
 
 STEPS = 60  # halvings of the exponent's interval
 

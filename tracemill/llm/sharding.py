@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import cut
-from tracemill.llm.prefix import ranged, running
+from tracemill.operators.prefix import ranged, running
 
 
 def size_of(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from tracemill.functions import scalars as S
 from tracemill.operators import admission, fetch, hybrid, logstore, metrics, replay
 from tracemill.plans import oracles as O
 from tracemill.plans.config import BlockConfig, Fifo, HybridConfig, IopsCounter, Lfu, Lru, MemoryConfig, S3Fifo, Sieve, Throttle
+from tracemill.session import ensure_checkpoint_dir
 from tracemill.sources.traces import combined, events_trace, table
+from tracemill.streaming.replay import replay_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -471,6 +475,21 @@ def lru_lifecycle_log(spark, d):
     return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Lru(1.0))).select("shard", "seq", "result", "entries")
 
 
+@query("online_replay", O.mixed_log())
+def online_replay(spark, d):
+    """The trace as a stream of files, replayed until it is drained; the sink's files are the result."""
+    events = table(spark, d, "events")
+    # a stream reads folders: the table's, or that of its one file
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    one = not path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet" if one else "*.parquet").parquet(d if one else f"{d}/events.parquet")
+    out = replay_stream(events_trace(source), MemoryConfig(O.CAPACITY, O.SHARDS, Fifo()))
+    folder = f"{ensure_checkpoint_dir(spark)}/online-{uuid.uuid4().hex}"
+    sink = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("shard", "seq", "op", "key", "result", F.get("evicted", F.lit(0)).alias("evicted"))
+
+
 @query("string_key_replay", O.string_key_log())
 def string_key_replay(spark, d):
     trace = reads(spark, d).withColumn("key", F.concat(F.lit("user-"), F.col("key").cast("string")))

@@ -20,7 +20,7 @@ from tracemill.operators.memory import MemoryShard
 from tracemill.operators.replay import apply, key_type
 from tracemill.plans.config import MemoryConfig, split_capacity
 
-LOG = "shard int, seq long, op string, key {key}, result string, usage long, entries long"
+LOG = "shard int, seq long, op string, key {key}, result string, evicted array<{key}>, usage long, entries long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -44,13 +44,14 @@ class ReplayProcessor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("seq")
         for seq, op, k, weight, hint in batch[["seq", "op", "key", "weight", "hint"]].itertuples(index=False, name=None):
             if seq <= last:
-                out.append((shard, seq, op, k, "late", state.usage, len(state.entries)))
+                out.append((shard, seq, op, k, "late", [], state.usage, len(state.entries)))
                 continue
             last = seq
-            result = apply(state, op, k, weight, hint, False).result
-            out.append((shard, seq, op, k, result, state.usage, len(state.entries)))
+            done = apply(state, op, k, weight, hint, False)
+            evicted = [key_ for reason, key_, _ in done.left if reason == "evict"]
+            out.append((shard, seq, op, k, done.result, evicted, state.usage, len(state.entries)))
         self.cache.update((pickle.dumps(state.snapshot()), int(last)))
-        yield pd.DataFrame(out, columns=["shard", "seq", "op", "key", "result", "usage", "entries"])
+        yield pd.DataFrame(out, columns=["shard", "seq", "op", "key", "result", "evicted", "usage", "entries"])
 
     def close(self) -> None:
         pass

@@ -19,27 +19,51 @@ from tracemill.session import ensure_checkpoint_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score 0.7 or more)."""
+    """Documents that the classifier accepts (score 0.7 or more).
+
+    Null and empty texts are scored by their measures, rows that share an id or
+    text alike; an empty table, or one without a labelled good document, gives
+    an empty result.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least id.
+
+    Null and empty texts are one group; rows without an id can't be named and
+    stay; of rows with one id and equal words one stays; an empty table gives
+    an empty result.
+    """
     return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, as rows without an id do; repeated
+    rows are judged alike; an empty benchmark or table takes nothing away.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture of sources uses it, once at least."""
+    """Each document as often as the mixture of sources uses it, once at least.
+
+    Null and empty texts count one token; a null source is a source of its own;
+    rows without an id and repeated rows are used like others; an empty table
+    gives an empty result.
+    """
     return mixing.mixed(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every use of a document with its shard and slot, its text and other columns."""
+    """Every use of a document with its shard and slot, its text and other columns.
+
+    Null texts have one byte; null ids sort first; equal rows take neighbouring
+    slots; an empty table gives an empty result; columns named as one of the
+    result's are left out.
+    """
     return sharding.shards_of(docs)
 
 

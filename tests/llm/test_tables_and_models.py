@@ -362,6 +362,19 @@ def test_neighbours_on_odd_vectors(spark):
     assert ann.op3_ann(df.limit(0)).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf, odd, nothing):
+    pipe = pytest.importorskip("corpus_pipeline")
+    kept = {}
+    for name, stage in pipe.STAGES:
+        out = stage(spark, odd, sf)
+        kept[name] = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        assert name == "sharding" or out.columns == odd.columns
+        assert {"text", "source", "lang"} <= set(out.columns) and stage(spark, nothing, sf).count() == 0
+    every = Counter(r["doc_id"] for r in odd.select("doc_id").collect())
+    assert kept["quality_classifier"] <= every and kept["sharding"] == kept["benchmark_decontamination"] == every and kept["source_mixing"] >= every
+    assert set(kept["simhash_near_dedup"]) == {None, 1, 4, 6, 8, 9, 10} and kept["simhash_near_dedup"][None] == 2
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     pipe = pytest.importorskip("corpus_pipeline")
     docs = table(spark, sf, "documents")

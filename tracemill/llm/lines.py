@@ -35,26 +35,25 @@ def line_key(line: Column) -> Column:
     return F.shiftleft(F.xxhash64(line), 1)
 
 
-#: Characters that are counted, modulo 16, in four bits each.
-LETTERS = "etaoinsrhl012345"
+#: Characters that are counted, modulo 256, in eight bits each.
+LETTERS = "etaoin01"
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of LETTERS, modulo 16, packed into a long."""
+    """Counts of LETTERS, modulo 256, packed into a long."""
     out = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft((n % 16).cast("long"), 4 * i))
+        out = out.bitwiseOR(F.shiftleft((n % 256).cast("long"), 8 * i))
     return out
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """Sum over LETTERS of how far two packed counts are apart, the short way round 16: no more than the true sum."""
+    """Sum over LETTERS of how far two packed counts are apart, the short way round 256: no more than the true sum."""
     out = F.lit(0).cast("long")
     for i in range(len(LETTERS)):
-        d = F.shiftright(a, 4 * i).bitwiseAND(F.lit(15).cast("long")) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15).cast("long"))
-        d = d.bitwiseAND(F.lit(15).cast("long"))
-        out = out + F.least(d, 16 - d)
+        d = (F.shiftright(a, 8 * i) - F.shiftright(b, 8 * i)).bitwiseAND(F.lit(255).cast("long"))
+        out = out + F.least(d, 256 - d)
     return out
 
 
@@ -95,10 +94,14 @@ def _signatures(lines: DataFrame, edits: int) -> DataFrame:
     return one.select("k", F.array(*own).alias("own"), F.array(*probes).alias("probes"), "c")
 
 
-def _with_tiny(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b) classes of a line of at most ``edits`` characters and a longer one that has a character of it, and a length to be within ``edits``."""
+def short_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """(k, line, n): the classes of lines so short that they may be within ``edits`` of one that has no more characters than that."""
     n = F.length("line")
-    short = lines.where(n <= 2 * edits).select(line_key(F.col("line")).alias("k"), "line", n.alias("n")).distinct()
+    return cut(lines.where(n <= 2 * edits).select(line_key(F.col("line")).alias("k"), "line", n.alias("n")).distinct())
+
+
+def _with_tiny(short: DataFrame, edits: int) -> DataFrame:
+    """(a, b) classes of a line of at most ``edits`` characters and a longer one that has a character of it, and a length to be within ``edits``."""
     char = F.explode(F.array_distinct(_none_if_blank(F.split("line", ""))))
     own = short.where(F.col("n") <= edits).select(F.col("k").alias("a"), F.col("n").alias("m"), char.alias("x"))
     longer = short.where(F.col("n") > edits).select(F.col("k").alias("b"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - edits), F.lit(edits))).alias("m"), "line")
@@ -106,8 +109,8 @@ def _with_tiny(lines: DataFrame, edits: int) -> DataFrame:
     return own.join(longer, ["m", "x"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b) different classes, a < b, that share a key."""
+def candidates(lines: DataFrame, short: DataFrame, edits: int) -> DataFrame:
+    """(a, b) different classes, a < b, that share a key. ``short``: the short lines among them."""
     rows = _signatures(lines, edits)
     own = rows.select("k", "c", F.explode("own").alias("h"))
     twin = own.select(F.col("k").alias("k2"), F.col("c").alias("c2"), "h")
@@ -115,7 +118,7 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
     near = counts_apart(F.col("c"), F.col("c2")) <= 2 * edits
     same = own.join(twin, "h").where((F.col("k") < F.col("k2")) & near).select("k", "k2")
     other = own.join(probes, "h").where((F.col("k") != F.col("k2")) & near).select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2"))
-    return same.union(other).toDF("a", "b").union(_with_tiny(lines, edits)).distinct()
+    return same.union(other).toDF("a", "b").union(_with_tiny(short, edits)).distinct()
 
 
 def let(value: Column, then) -> Column:
@@ -202,9 +205,9 @@ def within(longer: Column, shorter: Column, edits: int) -> Column:
     return F.when(m - n > edits, False).when(n <= 0, m <= edits).otherwise(distance <= edits)
 
 
-def links(lines: DataFrame, edits: int = 2) -> DataFrame:
+def links(lines: DataFrame, edits: int = 2, short: DataFrame | None = None) -> DataFrame:
     """(a, b) classes of different lines within ``edits``, each pair once, but for the pairs of two lines of at most ``edits`` characters: all of these are."""
-    pairs = cut(candidates(lines, edits))
+    pairs = cut(candidates(lines, short_lines(lines, edits) if short is None else short, edits))
     named = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     texts = lines.select(line_key(F.col("line")).alias("k"), "line").join(small(named), "k", "left_semi").groupBy("k").agg(F.min("line").alias("line"))
     texts = cut(texts)
@@ -221,10 +224,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ignored; an empty table gives an empty result.
     """
     lines = split_lines(docs, id_col, text_col)
-    found = cut(links(lines, edits))
+    short = short_lines(lines, edits)
+    found = cut(links(lines, edits, short))
     degree = found.select(F.col("a").alias("k")).union(found.select("b")).groupBy("k").agg(F.count("*").alias("n_links"))
     # how many classes there are of lines that are all within reach of each other
-    tiny = lines.where(F.length("line") <= edits).select(line_key(F.col("line")).alias("k")).distinct().count()
+    tiny = short.where(F.col("n") <= edits).count()
     rows = lines.select("id", "line_no", line_key(F.col("line")).alias("k"), F.md5(F.col("line").cast("binary")).alias("class_id"), (F.length("line") <= edits).alias("is_tiny"))
     rows = rows.join(small(cut(degree)), "k", "left")
     n = F.coalesce("n_links", F.lit(0)) + F.when(F.col("is_tiny"), F.lit(tiny - 1)).otherwise(0)

@@ -6,6 +6,8 @@ leaves, so evictions have closed forms instead of inner loops.
 
 from __future__ import annotations
 
+import re
+
 SHARDS, CAPACITY = 8, 80
 PER_SHARD = CAPACITY // SHARDS
 
@@ -253,6 +255,22 @@ w(shard, i, q, seq, result) AS (
 SELECT CAST(shard AS INTEGER) AS shard, seq, result, CAST(len(q) AS BIGINT) AS entries FROM w WHERE i > 0"""
 
 
+def wiped_log(policy: str, lists: str) -> str:
+    """A policy's walk where its lists (named by letters) are emptied before the first access from half and from three quarters of the trace on.
+
+    What else the policy knows stays, be it evicted or cleared; a hand goes back to the start.
+    """
+    walk = re.sub(rf"\br\.([{lists}])\b", r"(CASE WHEN t.wipe THEN r.\1[:0] ELSE r.\1 END)", WALKS[policy])
+    named = walk.replace("r.h", "(CASE WHEN t.wipe THEN 0 ELSE r.h END)")
+    for name in [*lists, "h"]:
+        was = f"(CASE WHEN t.wipe THEN r.{name}[:0] ELSE r.{name} END)" if name != "h" else "(CASE WHEN t.wipe THEN 0 ELSE r.h END)"
+        named = named.replace(f", {was},", f", {was} AS {name},").replace(f", {was} FROM", f", {was} AS {name} FROM")
+    at = "(SELECT max(event_id) + 1 FROM events) // 4"
+    first = " OR ".join(f"event_id = min(CASE WHEN event_id >= {at} * {k} THEN event_id END) OVER (PARTITION BY user_id % {SHARDS})" for k in (2, 3))
+    trace = TRACE.replace("event_type IN ('view', 'click') AS low", f"event_type IN ('view', 'click') AS low, {first} AS wipe")
+    return f"WITH RECURSIVE {trace}, {named} {LOG}"
+
+
 LRU_HIT = "list_append(list_filter(r.q, lambda x: x <> t.key), t.key)"
 
 

@@ -475,6 +475,19 @@ def lru_lifecycle_log(spark, d):
     return replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, Lru(1.0))).select("shard", "seq", "result", "entries")
 
 
+def _lifecycle(policy: str):
+    def run(spark, d):
+        trace = lifecycle_trace(spark, d).where("op <> 'resize'")
+        log = replay.replay(trace, MemoryConfig(O.CAPACITY, O.SHARDS, POLICIES[policy])).where("op = 'get_or_fetch'")
+        return log.select("shard", F.expr("seq div 2").alias("seq"), "key", (F.col("result") == "hit").alias("hit"), F.get("evicted", F.lit(0)).alias("evicted"))
+
+    return run
+
+
+for _p, _lists in {"lru_priority": "ab", "lfu": "abc", "s3fifo_no_ghost": "sm", "sieve": "qv"}.items():
+    query(f"{_p}_lifecycle_log", O.wiped_log(_p, _lists))(_lifecycle(_p))
+
+
 @query("online_replay", O.mixed_log())
 def online_replay(spark, d):
     """The trace as a stream of files, replayed until it is drained; the sink's files are the result."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut, held_out, keep_rows, slices
+from tracemill.llm.common import cut, held_out, keep_rows, slices, small
 from tracemill.llm.textkit import U, Words, chunks, mix
 
 BINS = 400
@@ -85,7 +85,7 @@ def _shares(owner: np.ndarray, hashes: np.ndarray, texts: int, buckets: int) ->
 
 
 def features(texts: list[str | None]) -> np.ndarray:
-    """The vectors of whole texts, a row each."""
+    """The vectors of whole texts, a row each, in half precision."""
     out = np.zeros((len(texts), DIM), dtype=np.float32)
     normal = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
     for i, j in chunks(normal):
@@ -98,7 +98,7 @@ def features(texts: list[str | None]) -> np.ndarray:
         owner = np.searchsorted(begin, np.arange(len(grams)), side="right") - 1
         inside = np.arange(len(grams)) + 2 < begin[owner + 1]  # up to the space that ends a text
         out[i:j, STYLE + WORDS :] = _shares(owner[inside], grams[inside], j - i, TRIGRAMS)
-    return out
+    return out.astype(np.float16)
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,15 +107,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            x = features(b.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * DIM + 1, DIM), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "x"])
+            x = pa.array([v.tobytes() for v in features(b.column(1).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), x], names=["id", "x"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, x array<float>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, x binary")
 
 
 def _matrix(batch, index: int = 0) -> np.ndarray:
-    return batch.column(index).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM).astype(np.float64)
+    return np.frombuffer(b"".join(batch.column(index).to_pylist()), dtype=np.float16).reshape(-1, DIM).astype(np.float64)
 
 
 def moments(rows: DataFrame) -> dict[str, np.ndarray]:
@@ -228,17 +227,25 @@ def train(rows: DataFrame, rounds: int = 3) -> dict:
     return {"w": w, "a": a, "b": b, "prior": prior}
 
 
+def scores(x: np.ndarray, model: dict) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model["a"] * (x @ model["w"]) + model["b"], -30, 30)))
+
+
 def scored(rows: DataFrame, model: dict) -> DataFrame:
-    """Add ``score`` in [0, 1] to rows with ``x``: one arithmetic expression, in the JVM."""
-    w = F.array(*[F.lit(float(v)) for v in model["w"]])
-    z = F.aggregate(F.zip_with("x", w, lambda x, v: x.cast("double") * v), F.lit(0.0), lambda a, v: a + v)
-    return rows.withColumn("score", 1 / (1 + F.exp(-(F.lit(model["a"]) * z + F.lit(model["b"])))))
+    """(id, x) -> (id, score), each in [0, 1]."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(_matrix(b, 1), model))], names=["id", "score"])
+
+    return rows.select("id", "x").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Add ``positive``: whether the row has label 1 and may be learned from. Repeated labels of an id: the greatest."""
     one = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("y"))
-    return rows.join(one.where("y = 1"), "id", "left").withColumn("positive", F.col("y").isNotNull())
+    good = small(cut(one.where("y = 1").select("id", F.lit(True).alias("positive"))))
+    return rows.join(good, "id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
 
 
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +256,7 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     columns are ignored; without any trusted positive each score is 0.5.
     """
     x = cut(measured(docs, id_col, text_col))
-    return scored(x, train(labelled(x, labels, "quality"))).select("id", "score")
+    return scored(x, train(labelled(x, labels, "quality")))
 
 
 def op10_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -268,10 +275,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """
     x = cut(measured(docs, "doc_id", "text"))
     model = train(labelled(x, labels, "quality"))
-    w, a, b = model["w"], model["a"], model["b"]
-
-    def decide(texts):
-        x = features(texts).astype(np.float64)
-        return 1 / (1 + np.exp(-(a * (x @ w) + b))) >= threshold
-
-    return keep_rows(docs, "text", decide)
+    return keep_rows(docs, "text", lambda texts: scores(features(texts).astype(np.float64), model) >= threshold)

@@ -286,7 +286,9 @@ def test_words_that_collide_in_polynomials_are_told_apart(docs_of):
     assert len({*w.hashes().tolist(), *w.hashes(1).tolist()}) == 14
 
 
-def test_repeated_lines_with_one_changed_word(docs_of):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_repeated_lines_with_one_changed_word(docs_of, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(10**6)}"
     rows = [(1000 + i, " ".join(word() for _ in range(400)), "s") for i in range(50)]

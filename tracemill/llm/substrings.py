@@ -327,6 +327,10 @@ def _runs_of(parts: DataFrame) -> DataFrame:
     return each.select("id", "start", "n", F.xxhash64(*ends).alias("r1"), F.xxhash64(F.lit(1), *ends).alias("r2"), "h1", "h2")
 
 
+#: A run that stands more often than HOT is dealt to SALTS tasks.
+HOT, SALTS = 1000, 64
+
+
 def _repeated(keyed: DataFrame) -> DataFrame:
     """Runs -> (id, start, n): the repeated windows.
 
@@ -337,13 +341,19 @@ def _repeated(keyed: DataFrame) -> DataFrame:
     grouping, and only runs that stand once ask for its answer.
     """
     kinds = keyed.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.first(F.struct("id", "start", "h1", "h2")).alias("x")).select("r1", "r2", "c", "x.*")
-    whole = keyed.select("id", "start", "n", "r1", "r2").join(kinds.where("c > 1").select("r1", "r2"), ["r1", "r2"], "left_semi").select("id", "start", "n")
+    # a run that stands very often is dealt to SALTS tasks: its rows by their text, its kind to all of them
+    often = cut(keyed.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = small(often.where(F.col("c") > HOT).select("r1", "r2", F.lit(True).alias("hot")))
+    rows = keyed.select("id", "start", "n", "r1", "r2").join(hot, ["r1", "r2"], "left")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    dealt = often.select("r1", "r2", F.explode(F.sequence(F.lit(0), F.when(F.col("c") > HOT, SALTS - 1).otherwise(0))).alias("salt"))
+    whole = rows.join(dealt, ["r1", "r2", "salt"], "left_semi").select("id", "start", "n")
     # both uses below read all columns of the grouping, so that its exchange, the largest one, is made once
     single = (F.col("c") == 1) & F.col("id").isNotNull() & F.col("start").isNotNull()
     each = kinds.select("id", single.alias("single"), F.col("start").alias("s"), F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h"))
     each = each.select("id", "single", (F.col("s") + F.col("at")).alias("start"), "h.h1", "h.h2")
-    often = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("c")).where("c > 1").select("h1", "h2")
-    part = each.where("single").select("id", "start", "h1", "h2").join(often, ["h1", "h2"], "left_semi").select("id", "start", F.lit(1).alias("n"))
+    twice = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("c")).where("c > 1").select("h1", "h2")
+    part = each.where("single").select("id", "start", "h1", "h2").join(twice, ["h1", "h2"], "left_semi").select("id", "start", F.lit(1).alias("n"))
     return whole.union(part)
 
 

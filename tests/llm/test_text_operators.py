@@ -94,6 +94,29 @@ def test_links_of_dense_buckets_are_whole(spark):
     assert {v: got.get(v, v) for v in vs} == {v: find(v) for v in vs}
 
 
+@pytest.mark.parametrize("few", [500_000, 40, 0])
+def test_components_match_brute_force(spark, monkeypatch, few):
+    from tracemill.llm import graph
+
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(few)
+    edges = [(rng.randrange(-60, 60) * 3, rng.randrange(-60, 60) * 3) for _ in range(70)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, k) for k in range(5001, 5040)] + [(7, 7)]
+    group = {}
+
+    def find(x):
+        group.setdefault(x, x)
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        group[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in group if find(x) != x}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_one_of_each_catches_near_copies_and_leaves_others(docs_of, odd, nothing):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(4000)]

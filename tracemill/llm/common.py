@@ -48,7 +48,8 @@ def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
     Meant for materialised sides of a few fixed-width columns.
     """
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+    n = side.limit(rows + 1).count()
+    return F.broadcast(side.coalesce(max(1, n // 50_000))) if n <= rows else side
 
 
 def tight(df: DataFrame, rows: int = 50_000) -> DataFrame:

@@ -326,7 +326,7 @@ def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of ``shared``, with roots, whose shingle stands in texts of several groups."""
     own = _rooted(shared, roots)
     several = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    return own.join(small(tight(cut(several))), "h", "left_semi")
+    return own.join(small(cut(several)), "h", "left_semi")
 
 
 def _offers(open_: DataFrame, turn: int, similarity: float) -> DataFrame:
@@ -387,7 +387,7 @@ def _verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
     # only the texts asked for travel
     named = edges.select(F.col("a").alias("c")).union(edges.select("b")).distinct()
-    words = texts.select("c", "w").join(small(tight(cut(named))), "c", "left_semi")
+    words = texts.select("c", "w").join(small(cut(named)), "c", "left_semi")
     pairs = edges.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return tight(cut(pairs.mapInArrow(compare, "a long, b long")))
 

@@ -35,25 +35,25 @@ def line_key(line: Column) -> Column:
     return F.shiftleft(F.xxhash64(line), 1)
 
 
-#: Characters that are counted, modulo 256, in eight bits each.
-LETTERS = "etaoin01"
+#: Characters that are counted, modulo 32, in five bits each.
+LETTERS = "etaoinsrhl01"
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of LETTERS, modulo 256, packed into a long."""
+    """Counts of LETTERS, modulo 32, packed into a long."""
     out = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft((n % 256).cast("long"), 8 * i))
+        out = out.bitwiseOR(F.shiftleft((n % 32).cast("long"), 5 * i))
     return out
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """Sum over LETTERS of how far two packed counts are apart, the short way round 256: no more than the true sum."""
+    """Sum over LETTERS of how far two packed counts are apart, the short way round 32: no more than the true sum."""
     out = F.lit(0).cast("long")
     for i in range(len(LETTERS)):
-        d = (F.shiftright(a, 8 * i) - F.shiftright(b, 8 * i)).bitwiseAND(F.lit(255).cast("long"))
-        out = out + F.least(d, 256 - d)
+        d = (F.shiftright(a, 5 * i) - F.shiftright(b, 5 * i)).bitwiseAND(F.lit(31).cast("long"))
+        out = out + F.least(d, 32 - d)
     return out
 
 

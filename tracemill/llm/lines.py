@@ -40,11 +40,13 @@ LETTERS = "etaoinsrhl01"
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of LETTERS, modulo 32, packed into a long."""
-    out = F.lit(0).cast("long")
+    """Counts of LETTERS, modulo 32, packed into a long. Each letter is taken out of what the ones before have left."""
+    out, was = F.lit(0).cast("long"), line
     for i, c in enumerate(LETTERS):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        rest = F.replace(was, F.lit(c), F.lit(""))
+        n = F.octet_length(was) - F.octet_length(rest)
         out = out.bitwiseOR(F.shiftleft((n % 32).cast("long"), 5 * i))
+        was = rest
     return out
 
 
@@ -83,8 +85,8 @@ def _signatures(lines: DataFrame, edits: int) -> DataFrame:
             for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
                 if gap or shift:  # at equal length without a shift it is the line's own key
                     h = key(F.col("n") - gap, i, s + shift, size)
-                    # 0 is no key: the shorter line would have fewer characters than segments
-                    cols[f"p{gap}_{i}_{shift + edits}"] = F.when(F.col("n") - gap > edits, h).otherwise(F.lit(0).cast("long")) if gap else h
+                    # 0 is no key: the shorter line would have fewer characters than segments (a mask, as what is conditional is not computed once)
+                    cols[f"p{gap}_{i}_{shift + edits}"] = h.bitwiseAND(F.negative((F.col("n") - gap > edits).cast("long"))) if gap else h
     cols["c"] = letter_counts(F.col("line"))
     # all values of a class are equal: fixed-width minima, combined map-side
     one = base.select("k", *[c.alias(x) for x, c in cols.items()]).groupBy("k").agg(*[F.min(x).alias(x) for x in cols])

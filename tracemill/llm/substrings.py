@@ -21,8 +21,8 @@ window whose word sequence also starts anywhere else goes.
 4. Windows found repeated go back to their text; only texts that lose a part
    of their words are read again. The others' digests are known from step 1.
 
-Window identity is by two independent 64-bit hashes built from two independent
-hashes of each word, text identity by SHA-256.
+Window identity is by 96 bits, 64 and 32 of two independent hashes built from
+two independent 64-bit hashes of each word; text identity is by SHA-256.
 """
 
 from __future__ import annotations
@@ -283,7 +283,7 @@ def _reread(base: DataFrame, rows: DataFrame, hit: DataFrame) -> DataFrame:
 
 #: A text with windows estimated repeated: its compressed words (null if the text has copies and so goes whole), the first window
 #: number of windows and windows before of each such run, and the hashes of all these windows.
-PARTS = "num long, sha binary, words binary, start array<int>, n array<int>, before array<int>, h1 array<long>, h2 array<long>"
+PARTS = "num long, sha binary, words binary, start array<int>, n array<int>, before array<int>, h1 array<long>, h2 array<int>"
 
 
 def _windows(texts: DataFrame, size: int) -> DataFrame:
@@ -302,9 +302,9 @@ def _windows(texts: DataFrame, size: int) -> DataFrame:
         windows = np.repeat(start - ends[:-1], count) + np.arange(ends[-1])
         own = np.repeat(w.first[:-1], np.diff(offsets))
         of_runs = lambda v: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v.astype(np.int32)))
-        of_windows = lambda v, k: pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(grams(v, size, k)[windows].view(np.int64)))
+        of_windows = lambda v: pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(v[windows]))
         kept = [None if c else t for c, t in zip(copied, words)]
-        cols = [pa.array(num, pa.int64()), pa.array(sha, pa.binary()), pa.array(kept, pa.binary()), of_runs(start - own), of_runs(count), of_runs(ends[:-1] - np.repeat(ends[offsets[:-1]], np.diff(offsets))), of_windows(x, 3), of_windows(w.hashes(1), 4)]
+        cols = [pa.array(num, pa.int64()), pa.array(sha, pa.binary()), pa.array(kept, pa.binary()), of_runs(start - own), of_runs(count), of_runs(ends[:-1] - np.repeat(ends[offsets[:-1]], np.diff(offsets))), of_windows(grams(x, size, 3).view(np.int64)), of_windows(grams(w.hashes(1), size, 4).view(np.int32)[::2])]
         return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in PARTS.split(", ")])
 
     def run(batches):

@@ -60,13 +60,16 @@ def next_sequence(log: DataFrame) -> DataFrame:
     return log.agg((F.coalesce(F.max("sequence"), F.lit(0)) + 1).alias("next_sequence"))
 
 
-def pack(entries: DataFrame, config: BlockConfig, group: str = "flusher") -> DataFrame:
+def pack(entries: DataFrame, config: BlockConfig, group: str = "flusher", oversize: str = "drop") -> DataFrame:
     """Place each flusher's entries (hash, sequence, size) into blobs and blocks, first come, first served.
 
     A blob begins with its index page; it ends when its index is full or its
     block is, and an entry that doesn't fit opens the next block. Entries larger
-    than a block are dropped. -> flusher, sequence, hash, block, blob, offset, len
+    than a block are dropped, or, with ``oversize="alone"``, each has a block to
+    itself that runs over. -> flusher, sequence, hash, block, blob, offset, len
     """
+    if oversize not in ("drop", "alone"):
+        raise ValueError(f"unknown rule for entries larger than a block: {oversize!r}")
     room, head, most = config.block_size, config.index_size, config.index_entries
 
     def start(_):
@@ -75,7 +78,7 @@ def pack(entries: DataFrame, config: BlockConfig, group: str = "flusher") -> Dat
     def step(s, row):
         flusher, sequence, hash_, size = row
         size = -(-size // 4096) * 4096
-        if head + size > room:
+        if head + size > room and oversize == "drop":
             return
         if s["count"] == most:
             s.update(blob=s["blob"] + 1, blob_at=s["blob_at"] + s["used"], used=head, count=0)

@@ -141,7 +141,7 @@ class Throttle:
 
 @dataclass(frozen=True)
 class BlockConfig:
-    """A log-structured block store.
+    """A log-structured block store of so many blocks, or, where ``blocks`` is None, of as many as it takes: it then loses nothing.
 
     A picker is the name of a built-in one or a function of the store that gives
     the id of one of its ``evictable`` blocks, or None to leave it to the next.
@@ -149,7 +149,7 @@ class BlockConfig:
     "all" or "old" (those that were on probation).
     """
 
-    blocks: int = 4
+    blocks: int | None = 4
     block_size: int = 16 << 20
     index_size: int = PAGE
     clean_threshold: int = 1

@@ -1,9 +1,15 @@
+import random
+import tracemalloc
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import replay
 from tracemill.plans.config import Fifo, Lfu, Lru, MemoryConfig, S3Fifo, Sieve
+from tracemill.operators.memory import MemoryShard
 from tracemill.sources import traces
+from tracemill.streaming import replay as online
 from tracemill.streaming.replay import replay_stream, upsert_latest, windowed_counters
 
 
@@ -62,6 +68,55 @@ def test_stream_equals_batch(spark, sf, tmp_path, policy):
     assert sorted(spark.read.parquet(out).select("seq", "result", "usage").collect()) == sorted(want.collect())
 
 
+class Value:
+    """A state value without Spark."""
+
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+@pytest.mark.parametrize("rows,limits", [(0, {}), (777, {}), (777, {"RUN": 10, "CHUNK": 3, "FAN": 2}), (60_000, {"RUN": 4000, "CHUNK": 500, "FAN": 4})])
+def test_a_long_micro_batch_is_sorted_in_parts(monkeypatch, rows, limits):
+    """Two micro-batches of a shard, the first out of order, the second with late rows, against a plain fold; memory and frames stay small."""
+    for name, value in limits.items():
+        monkeypatch.setattr(online, name, value, raising=False)
+    ordered = [(7 * i + 3, random.Random(i).choice(["get_or_fetch", "insert", "remove"]), f"k{i * i % 41}", 1, "normal") for i in range(rows + 5)]
+    state, want = MemoryShard(6, Fifo()), []
+    for seq, op, key, weight, hint in ordered:
+        done = replay.apply(state, op, key, weight, hint, False)
+        want.append((0, seq, op, key, done.result, [k for reason, k, _ in done.left if reason == "evict"], state.usage, len(state.entries)))
+    random.Random(1).shuffle(first := ordered[:rows])
+    processor = online.ReplayProcessor(MemoryConfig(6, 1, Fifo()))
+    processor.cache = Value()
+    at, late, longest = 0, [], 0
+    tracemalloc.start()
+    base = tracemalloc.get_traced_memory()[0]
+    for part in (first, ordered[rows:] + ordered[:2]):
+        frames = (pd.DataFrame(part[i : i + 100], columns=["seq", "op", "key", "weight", "hint"]) for i in range(0, len(part), 100))
+        for f in processor.handleInputRows((0,), frames, None) if part else ():
+            longest = max(longest, len(f))
+            for row in f.itertuples(index=False, name=None):
+                if row[4] == "late":
+                    late.append(row[1])
+                else:
+                    assert row == want[at]
+                    at += 1
+    peak = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert at == len(want) and late == [3, 10]
+    assert peak < 6_000_000 and longest <= online.CHUNK
+    with pytest.raises(ValueError):
+        list(online.in_order([pd.DataFrame([(None, "get", 1, 1, "normal")], columns=online.COLUMNS)]))
+
+
 def test_upserts_and_windows(spark, sf):
     a = spark.createDataFrame([(1, 5, "a"), (2, 7, "b")], "hash long, sequence long, v string")
     b = spark.createDataFrame([(1, 4, "late"), (2, 9, "new")], "hash long, sequence long, v string")
